@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixture, transport_stream
+from . import line_dedup, mixture, substring_dedup, suffix_array_dedup, transport_stream
 from .tables import fanout, read
 
 MIX_SQL = r"""
@@ -56,6 +56,20 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.by_position(out, fanout(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def removed(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["len"]).alias("n_removed")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_words(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", removed("spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", removed("spans"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -64,5 +78,5 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op8_line_dedup, op9_transport_stream)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op5_substring_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
 ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL}
