@@ -36,7 +36,7 @@ from .repeats import PACKED, deal, first_of, gather, packed_batch
 from .tables import cut, fanout
 
 #: Assumed company of a segment of no elements, halved by each element; ratio of band edges; spare segments a H.
-COMPANY, SPARE = 8.0, 6
+COMPANY, SPARE = 2.0, 6
 SKETCH = 8
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixture, ngram_join, substring_dedup, suffix_array_dedup, transport_stream
+from . import embedding_dedup, line_dedup, mixture, ngram_join, substring_dedup, suffix_array_dedup, transport_stream
 from .tables import fanout, read
 
 MIX_SQL = r"""
@@ -74,6 +74,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_links(read(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -82,5 +86,5 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op5_substring_dedup, op6_ngram_join, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
 ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL}
