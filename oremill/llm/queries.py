@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, mixture, ngram_join, substring_dedup, suffix_array_dedup, transport_stream
+from . import embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, substring_dedup, suffix_array_dedup, transport_stream
 from .tables import fanout, held_out, read
 
 MIX_SQL = r"""
@@ -84,6 +84,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = quality.score(docs.select("doc_id", "text"), quality.learn(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -92,5 +98,5 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op3_language_id, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op3_language_id, op4_quality, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
 ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL}
