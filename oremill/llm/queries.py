@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, substring_dedup, suffix_array_dedup, transport_stream
-from .tables import fanout, held_out, read
+from . import embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, sentencepiece, substring_dedup, suffix_array_dedup, transport_stream
+from .tables import fanout, held_out, read, tokenizer_path
 
 MIX_SQL = r"""
 WITH sized AS (
@@ -78,6 +78,13 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_links(read(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it; the vocabulary of ``path``."""
+    path = path or tokenizer_path()
+    out = sentencepiece.decode(sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return out.select("doc_id", "n_tokens", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = language_id.label(docs, language_id.learn(docs))
@@ -98,5 +105,5 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op3_language_id, op4_quality, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_sentencepiece, op3_language_id, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
 ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL}

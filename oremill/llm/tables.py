@@ -49,3 +49,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fresh(prefix: str) -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model", folder: str = "/opt/tokenizers") -> str:
+    """Where the driver finds a public tokenizer's vocabulary file."""
+    return f"{folder}/{name}"
