@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = 2) -> Da
     firsts = texts.where("is_first").select(F.col("digest").alias("first_digest"), F.col("chunk").alias("first_chunk")).groupBy("first_digest").agg(F.min("first_chunk").alias("first_chunk"))
     removed = texts.where("not is_first").join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("chunk") == F.col("first_chunk")), "left_semi")
     removed = removed.groupBy(*key).agg(F.collect_set("start").alias("__gone"))
-    out = with_chunks(docs.withColumn("__row", F.xxhash64("text")), period).alias("d").join(removed.alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.__row") == F.col("r.__row")), "left").select("d.*", F.coalesce("r.__gone", F.array().cast("array<int>")).alias("__gone"))
+    out = docs.withColumn("__row", F.xxhash64("text")).alias("d").join(removed.hint("shuffle_hash").alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.__row") == F.col("r.__row")), "left")
+    out = with_chunks(out.select("d.*", F.coalesce("r.__gone", F.array().cast("array<int>")).alias("__gone")), period)
     kept = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["start"]))
     out = out.withColumn("__kept", kept)
     lines = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["len"])
