@@ -75,14 +75,15 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (1.0, 2.0, 3.0), cap: float =
     """
     order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), order.alias("__h"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    sized = sized.withColumn("__block", F.substring("__h", 1, 3))
-    blocks = sized.groupBy("source", "__block").agg(F.sum("size").alias("__sum"))
+    # a key without nulls, so that the join's and the window's partitions are the same
+    sized = sized.withColumn("__block", F.substring("__h", 1, 3)).withColumn("__key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    blocks = sized.groupBy("__key", "__block").agg(F.sum("size").alias("__sum"), F.first("source").alias("source"))
     targets = source_targets(blocks.groupBy("source").agg(F.sum("__sum").alias("source_size")), cycle, cap)
-    earlier = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
-    offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.__block", "o.__offset", "t.source_size", "t.target", "t.rank")
-    d = sized.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.__block") == F.col("o.__block"))).select("d.*", "o.__offset", "o.source_size", "o.target", "o.rank")
-    inside = Window.partitionBy("source", "__block").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.__key", "o.__block", "o.__offset", "t.source_size", "t.target", "t.rank")
+    d = sized.join(offsets, ["__key", "__block"])
+    inside = Window.partitionBy("__key", "__block").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__before", F.col("__offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     rest = F.col("target") - F.col("__rounds") * F.col("source_size")
