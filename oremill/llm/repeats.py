@@ -33,21 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import column, pair, slices, spread
+from .batches import SLICE, column, pair, slices, spread
 from .tables import cut, fanout
 
 #: Windows looked at together; a longer document goes in overlapping blocks.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 
 
-def levels(units: np.ndarray, top: int) -> dict[int, np.ndarray]:
-    out, n = {1: units}, 1
-    while 2 * n <= top:
-        h = out[n]
-        out[2 * n] = pair(h[: max(0, len(h) - n)], h[n:])
+def levels(units: np.ndarray, *sizes: int) -> dict[int, np.ndarray]:
+    """Bucket identifiers of the powers of two that ``identifiers`` of these sizes are made from."""
+    needed, h, n, out = {1 << (s.bit_length() - 1) for s in sizes}, units, 1, {}
+    while True:
+        if n in needed:
+            out[n] = h
+        if 2 * n > max(needed):
+            return out
+        h = pair(h[: max(0, len(h) - n)], h[n:])
         n *= 2
-    return out
 
 
 def identifiers(by_size: dict[int, np.ndarray], size: int, count: int) -> np.ndarray:
@@ -83,7 +86,7 @@ def runs(units: np.ndarray, first: np.ndarray, width: int, gram: int) -> Iterato
         if not len(fits):
             continue
         n = len(u) - width + 1
-        by_size = levels(u, width)
+        by_size = levels(u, gram, width)
         grams = identifiers(by_size, gram, len(u) - gram + 1)
         whole = identifiers(by_size, width, n)
         key = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
@@ -234,11 +237,11 @@ class Open:
             lo = hi
 
 
-def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: int = 0) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: int = 0, at_once: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(texts, found): ``keyed`` texts, and ``LISTS`` of the runs of windows that also start earlier, and where.
 
     ``units`` makes hashes and the first unit of each row from a slice's bytes
-    and offsets. Rows with a null doc_id or text have none. In ``found`` runs
+    and offsets; slices have ``at_once`` bytes. Rows with a null doc_id or text have none. In ``found`` runs
     that are ``open`` are no results.
     """
     parts = fanout(docs, 1.5)
@@ -250,21 +253,21 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=at_once):
                 doc, row = ids(rows)
                 for grams, context, d, start, n, lead in runs(*units(data, off), width, gram):
                     yield dealt(grams, context, doc[d], row[d], start.astype("<u4"), n.astype("<u2"), lead.astype("<u2"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=at_once):
                 doc, row = ids(rows)
                 u, first = units(data, off)
                 o = Open(rows, first)
                 o.spread_out(piece)
                 for base, k in o.blocks(BLOCK):
                     part = u[base : base + BLOCK + 2 * width]
-                    by_size = levels(part, width)
+                    by_size = levels(part, width, width - piece + 1)
                     whole = identifiers(by_size, width, len(part) - width + 1)
                     shared = identifiers(by_size, width - piece + 1, len(part) - width + piece)
                     a = o.at[k] - base
@@ -274,7 +277,7 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=at_once):
                 doc, row = ids(rows)
                 u, first = units(data, off)
                 o = Open(rows, first)

@@ -68,11 +68,11 @@ def per_document(found: DataFrame) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, width: int = 100, gram: int = 32, piece: int = 9) -> DataFrame:
     """``OUT``: one row per document with its removed spans and its remaining bytes."""
-    own, found = repeats.repeated_runs(docs, as_bytes, width, gram, piece)
+    own, found = repeats.repeated_runs(docs, as_bytes, width, gram, piece, at_once=1 << 20)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=1 << 20):
                 gone = repeats.covered(off, *run_lists(rows), width)
                 left = data[~gone]
                 kept_off = np.concatenate([[0], np.cumsum(~gone)])[off]
