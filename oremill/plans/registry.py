@@ -1,4 +1,6 @@
 """Queries of the reference's operators by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import models, tables  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
