@@ -240,14 +240,15 @@ def single_link_cut(df: DataFrame, ident: str, feats: Sequence[str], t: float) -
     cells of side t around them.
     """
     d, side = len(feats), t / np.sqrt(len(feats))
-    x = df.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in feats]).dropna()
-    fine = x.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in feats]))
+    dims = [f"__{i}" for i in range(d)]
+    x = df.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(k) for c, k in zip(feats, dims, strict=True)]).dropna()
+    fine = x.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in dims]))
     star = fine.groupBy("cell").agg(F.min("id").alias("a"))
     inside = fine.join(star, "cell").select("a", F.col("id").alias("b")).where("a != b")
     reach = range(-(int(np.sqrt(d)) + 1), int(np.sqrt(d)) + 2)
     steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in np.array(np.meshgrid(*[list(reach)] * d)).T.reshape(-1, d).tolist()])
-    around = fine.select(F.col("id").alias("b"), F.col("cell").alias("own"), *[F.col(c).alias(f"__{c}") for c in feats], F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-    near = sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in feats), F.lit(0.0)) <= F.lit(t * t)
+    around = fine.select(F.col("id").alias("b"), F.col("cell").alias("own"), *[F.col(c).alias(f"{c}b") for c in dims], F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda u, v: u + v))).alias("cell"))
+    near = sum(((F.col(c) - F.col(f"{c}b")) * (F.col(c) - F.col(f"{c}b")) for c in dims), F.lit(0.0)) <= F.lit(t * t)
     across = fine.join(around, "cell").where((F.col("cell") < F.col("own")) & near).select(F.col("id").alias("a"), "b")
     edges = checkpointed(inside.unionByName(across).distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
