@@ -43,7 +43,10 @@ def chunk_text(c: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = 2) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and n_lines, n_chunks, n_removed_lines."""
-    key = ["doc_id", "__row"]
+    key, results = ["doc_id", "__row"], ("doc_id", "text", "n_lines", "n_chunks", "n_removed_lines")
+    # the caller's other columns travel in a struct, where no name can clash
+    others = [c for c in docs.columns if c not in results]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__end")).alias("__others"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("__row"))
     found = with_chunks(own, period).select(*key, F.explode(F.transform(F.filter("__chunks", lambda c: c["len"] >= min_lines), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.unhex(F.md5(chunk_text(c).cast("binary"))).alias("digest")))).alias("c"))
     found = found.where(F.col("doc_id").isNotNull()).select(*key, "c.*")
@@ -55,7 +58,7 @@ def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = 2) -> Da
     firsts = texts.where("is_first").select(F.col("digest").alias("first_digest"), F.col("chunk").alias("first_chunk")).groupBy("first_digest").agg(F.min("first_chunk").alias("first_chunk"))
     removed = texts.where("not is_first").join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("chunk") == F.col("first_chunk")), "left_semi")
     removed = removed.groupBy(*key).agg(F.collect_set("start").alias("__gone"))
-    out = docs.withColumn("__row", F.xxhash64("text")).alias("d").join(removed.hint("shuffle_hash").alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.__row") == F.col("r.__row")), "left")
+    out = packed.withColumn("__row", F.xxhash64("text")).alias("d").join(removed.hint("shuffle_hash").alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.__row") == F.col("r.__row")), "left")
     out = with_chunks(out.select("d.*", F.coalesce("r.__gone", F.array().cast("array<int>")).alias("__gone")), period)
     kept = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["start"]))
     out = out.withColumn("__kept", kept)
@@ -63,4 +66,4 @@ def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = 2) -> Da
     text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform("__kept", chunk_text), "\n"))
     out = out.withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(0))).withColumn("n_chunks", F.greatest(F.size("__chunks"), F.lit(0)))
     out = out.withColumn("n_removed_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - lines)).withColumn("text", text)
-    return out.drop("__row", "__gone", "__kept", "__chunks", "__lines")
+    return out.select(*[c if c in results else F.col("__others")[c].alias(c) for c in docs.columns], *[c for c in results if c not in docs.columns])

@@ -301,8 +301,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             texts = column(batch, "text")
             if pc.any(pc.match_substring(texts, MARK)).as_py():
                 texts = pc.replace_substring(texts, MARK, " ")
-            work = pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "__text"])
-            for rows, data, off in slices(work, "__text"):
+            work = pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "__sp_text"])
+            for rows, data, off in slices(work, "__sp_text"):
                 ids, at = encode_slice(shared.value, data, off)
                 null = column(rows, "text").is_null()
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null)
@@ -312,21 +312,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = shared.value.longest
         for batch in batches:
-            for key, text in zip(column(batch, "__key").to_pylist(), column(batch, "text"), strict=True):
+            for key, text in zip(column(batch, "__sp_key").to_pylist(), column(batch, "text"), strict=True):
                 s = MARK + text.as_py().replace(" ", MARK)
                 n = -(-len(s) // CHUNK)
                 for k in range(n):
                     lo, hi = k * CHUNK, min(len(s), (k + 1) * CHUNK)
                     a, b = max(0, lo - wide), min(len(s), hi + wide)
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([lo - a], pa.int32()), pa.array([hi - a], pa.int32()), pa.array([s[a:b]])], ["__key", "k", "n", "lo", "hi", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([lo - a], pa.int32()), pa.array([hi - a], pa.int32()), pa.array([s[a:b]])], ["__sp_key", "k", "n", "lo", "hi", "s"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 m = shared.value.transfer(r["s"], r["lo"], r["hi"], r["k"] == 0, r["k"] == r["n"] - 1)
-                out.append((r["__key"], r["k"], len(m), (m.reshape(-1) == 0).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["__key", "k", "rows", "cells"])
+                out.append((r["__sp_key"], r["k"], len(m), (m.reshape(-1) == 0).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["__sp_key", "k", "rows", "cells"])
 
     def scan(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for m in reversed(ms):
             behind.append((m + behind[-1][None, :]).max(axis=1))
         state = [int(np.argmax(a + b)) for a, b in zip(ahead, behind[::-1], strict=True)]
-        return pa.table({"__key": [r["__key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "enter": pa.array(state[:-1], pa.int32()), "leave": pa.array(state[1:], pa.int32())})
+        return pa.table({"__sp_key": [r["__sp_key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "enter": pa.array(state[:-1], pa.int32()), "leave": pa.array(state[1:], pa.int32())})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -347,16 +347,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 s, lo, hi = r["s"], r["lo"], r["hi"]
                 enter = (0, "") if r["k"] == 0 else v.states(s, lo)[r["enter"]]
                 out.append(v.trace(s, lo, hi, enter, None if r["k"] == r["n"] - 1 else v.states(s, hi)[r["leave"]]))
-            yield pa.RecordBatch.from_arrays([column(batch, "__key"), column(batch, "k"), pa.array(out, pa.list_(pa.int32()))], ["__key", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([column(batch, "__sp_key"), column(batch, "k"), pa.array(out, pa.list_(pa.int32()))], ["__sp_key", "k", "ids"])
 
     key = F.concat_ws("-", F.sha2("text", 256), F.length("text"))
-    large = own.where(giant).withColumn("__key", key)
+    large = own.where(giant).withColumn("__sp_key", key)
     # equal texts are encoded once
-    pieces = large.select("__key", "text").dropDuplicates(["__key"]).mapInArrow(split, "__key string, k int, n int, lo int, hi int, s string").repartition("__key", "k")
-    states = pieces.mapInArrow(matrices, "__key string, k int, rows int, cells binary").groupBy("__key").applyInArrow(scan, "__key string, k int, enter int, leave int")
-    traced = pieces.join(states, ["__key", "k"]).select("__key", "k", "n", "lo", "hi", "s", "enter", "leave").mapInArrow(trace, "__key string, k int, ids array<int>")
-    whole = traced.groupBy("__key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    encoded = large.join(whole, "__key").select(*own.columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    pieces = large.select("__sp_key", "text").dropDuplicates(["__sp_key"]).mapInArrow(split, "__sp_key string, k int, n int, lo int, hi int, s string").repartition("__sp_key", "k")
+    states = pieces.mapInArrow(matrices, "__sp_key string, k int, rows int, cells binary").groupBy("__sp_key").applyInArrow(scan, "__sp_key string, k int, enter int, leave int")
+    traced = pieces.join(states, ["__sp_key", "k"]).select("__sp_key", "k", "n", "lo", "hi", "s", "enter", "leave").mapInArrow(trace, "__sp_key string, k int, ids array<int>")
+    whole = traced.groupBy("__sp_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    encoded = large.join(whole, "__sp_key").select(*own.columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
     return own.where(~giant).mapInArrow(small, schema).unionByName(encoded)
 
 
