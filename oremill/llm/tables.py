@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The driver's separators of words, as a Java and RE2 pattern for one word.
+#: Sizes from here on are Spark's word for not knowing.
+UNKNOWN = 1 << 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,11 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fanout(df: DataFrame, share: float = 1.0, mb: int = 64) -> int:
-    """Partitions so that ``share`` of the input's size makes about ``mb`` MB in each."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = math.ceil(min(size, 1 << 50) * share / (mb << 20))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
+    """Partitions so that ``share`` of the tables' size that are read makes about ``mb`` MB in each.
+
+    The session's number of shuffle partitions at least; it alone where Spark
+    knows no size, as for rows made in Python.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    wanted = math.ceil(sum(s for s in sizes if s < UNKNOWN) * share / (mb << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
