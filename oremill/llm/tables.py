@@ -25,7 +25,7 @@ def fanout(df: DataFrame, share: float = 1.0, mb: int = 64) -> int:
     knows no size, as for rows made in Python.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     wanted = math.ceil(sum(s for s in sizes if s < UNKNOWN) * share / (mb << 20))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
 
