@@ -36,7 +36,7 @@ from .repeats import PACKED, deal, first_of, gather, packed_batch
 from .tables import cut, fanout
 
 #: Assumed company of a segment of no elements, halved by each element; ratio of band edges; spare segments a H.
-COMPANY, SPARE = 2.0, 6
+COMPANY, SPARE = 2.0, 12
 SKETCH = 8
 
 
@@ -234,16 +234,21 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     seen = companies(docs, n, percent)
     band = lambda size: F.array_size(F.filter(F.array(*[F.lit(int(x)) for x in edges(percent)[:-1]]), lambda x: x <= size)) - 1
     spare = known.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n_shingles").alias("size")).select("doc", F.element_at(F.array(*[F.lit(p) for p in plan]), F.greatest(band(F.col("size")) - 1, F.lit(0)) + 1).alias("spare"))
+    # of equal sets one stands for all, as their links are known; but not where an id has several texts
+    p = known.groupBy("doc_id").agg(F.min_by("n_shingles", "same").alias("n_shingles"), F.min("same").alias("same"), F.min_by("sketch", "same").alias("sketch"), (F.count("*") > 1).alias("twice"))
+    p = cut(p)
+    equal = links.select(F.col("b").alias("doc")).distinct().join(p.where("not twice").select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    seen = seen.join(equal, "doc", "left_anti")
     by_doc = seen.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("loose"), F.struct("many", "sig")))).alias("loose"), F.collect_set(F.when(~F.col("loose"), F.col("sig"))).alias("tight"))
     by_doc = by_doc.join(spare, "doc").withColumn("loose", F.slice(F.transform("loose", lambda x: x["sig"]), F.lit(1), F.greatest(F.size("loose") - F.col("spare"), F.lit(0))))
-    company = cut(by_doc.select("doc", F.explode(F.array_union("loose", "tight")).alias("sig")))
+    company = by_doc.select("doc", F.explode(F.array_union("loose", "tight")).alias("sig"))
+    del seen, by_doc
+    company = cut(company)
 
     # first round: each set with the least of its leaders and with the leader that it meets most
     leaders = company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("sig", "a")
     met = company.join(leaders, "sig").where("doc != a").groupBy("doc", "a").count()
     met = met.groupBy("doc").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("count", -F.col("a"))))).alias("as")).select(F.explode("as").alias("a"), F.col("doc").alias("b"))
-    p = known.groupBy("doc_id").agg(F.min_by("n_shingles", "same").alias("n_shingles"), F.min("same").alias("same"), F.min_by("sketch", "same").alias("sketch"), (F.count("*") > 1).alias("twice"))
-    p = cut(p)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         c = pairs.alias("c").join(p.alias("x"), F.col("c.a") == F.col("x.doc_id")).join(p.alias("y"), F.col("c.b") == F.col("y.doc_id"))

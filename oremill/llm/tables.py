@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -43,9 +44,16 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder."""
+    """The rows, computed once and kept in the shared checkpoint folder.
+
+    Spark drops shuffle files of what is done only when the driver collects its
+    garbage; that is asked for here, so that steps' files do not add up.
+    """
     ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
