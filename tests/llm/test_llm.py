@@ -192,6 +192,23 @@ def test_op7_against_brute_force(spark):
     assert embedding_dedup.near_links(df.where("false")).count() == 0
 
 
+def test_op7_finds_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    n, cosines = 4000, np.linspace(0.901, 0.95, 2000)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=(2000, 64))
+    u -= (u * x[:2000]).sum(axis=1)[:, None] * x[:2000]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    x = np.concatenate([x, cosines[:, None] * x[:2000] + np.sqrt(1 - cosines**2)[:, None] * u])
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in embedding_dedup.near_links(df).orderBy("vec_id").collect()])
+    want = near.sum(axis=1)
+    assert want.sum() == 4000 and (got <= want).all()
+    assert got.sum() >= 0.99 * want.sum() and got[:400].sum() >= 0.98 * want[:400].sum()
+
+
 def test_op1_targets_by_water_filling(spark):
     sizes = [("a", 10), ("b", 1000), (None, 400), ("c", 0), ("d", 90)]
     got = {r["source"]: r["target"] for r in mixture.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
