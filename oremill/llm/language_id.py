@@ -1,7 +1,7 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-A word's features are its whole form, prefixes, suffixes and byte n-grams,
-hashed to ``FEATURES`` weights per label, and whether it is among a label's
+A word's features are its whole form, prefixes, suffixes and all its byte n-grams,
+however long it is (a sentence without blanks is one word), hashed to ``FEATURES`` weights per label, and whether it is among a label's
 most frequent words (lexicon). Chains are lines, cut every ``CHAIN`` words;
 transitions between labels are learned too, from lines and from pairs of half
 lines of different labels, so that code-switched lines are labelled word by
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .batches import Words, column, slices, text_bytes
 from .tables import held_out
-from .word_features import affixes_and_ngrams
+from .word_features import PIECE, affixes_and_ngrams
 
 FEATURES, LEXICON, CHAIN = 1 << 15, 500, 256
 DOCS, LINES, LINE_BYTES, LABELS, STEPS = 1500, 6000, 2000, 100, 30
@@ -56,14 +56,19 @@ class Vocabulary:
         hashes, where, self.of = np.unique(w.hash, return_index=True, return_inverse=True)
         word, feature = affixes_and_ngrams(w, where)
         order = np.argsort(word, kind="stable")
-        self.word, self.feature = word[order], (feature[order] >> np.uint64(17)).astype(np.int64) % FEATURES
+        self.word, self.feature = word[order].astype(np.int32), ((feature[order] >> np.uint64(17)) % np.uint64(FEATURES)).astype(np.int32)
         self.begin = np.searchsorted(self.word, np.arange(len(hashes)))
         self.known = np.stack([lex[np.minimum(np.searchsorted(lex, hashes), len(lex) - 1)] == hashes if len(lex) else np.zeros(len(hashes), bool) for lex in lexicon], axis=1).astype(float)
         seen = np.concatenate([[0], np.cumsum(LETTER[w.data])])
         self.lettered = seen[(w.start + w.length)[where]] > seen[w.start[where]]
 
     def scores(self, m: Model) -> np.ndarray:
-        s = np.add.reduceat(m.weights[self.feature], self.begin, axis=0) if len(self.begin) else np.zeros((0, len(m.labels)))
+        s = np.zeros((len(self.begin), len(m.labels)))
+        for lo in range(0, len(self.feature), PIECE):
+            # a word on the border of two pieces takes its sum from both
+            word = self.word[lo : lo + PIECE]
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            s[word[begin]] += np.add.reduceat(m.weights[self.feature[lo : lo + PIECE]], begin, axis=0)
         return s + self.known @ m.lexical + m.bias
 
 
@@ -150,8 +155,7 @@ def train(lines: list[tuple[str, str]]) -> Model | None:
         gap = -gamma
         gap[np.arange(len(w)), gold] += 1
         of_word = np.stack([np.bincount(v.of, gap[:, k], len(v.begin)) for k in range(n)], axis=1)
-        pull = np.repeat(of_word, np.diff(np.append(v.begin, len(v.word))), axis=0)
-        grads = {"weights": np.stack([np.bincount(v.feature, pull[:, k], FEATURES) for k in range(n)], axis=1), "lexical": v.known.T @ of_word, "bias": of_word.sum(axis=0), "transitions": seen - moved}
+        grads = {"weights": np.stack([np.bincount(v.feature, of_word[v.word, k], FEATURES) for k in range(n)], axis=1), "lexical": v.known.T @ of_word, "bias": of_word.sum(axis=0), "transitions": seen - moved}
         for k, g in grads.items():
             g = g * rare - 1e-6 * getattr(m, k)
             steps[k] += g * g

@@ -7,6 +7,10 @@ import numpy as np
 from .batches import BYTE, MULT, Words, spread
 
 
+#: N-grams whose bytes are gathered at once.
+PIECE = 1 << 18
+
+
 def gathered(w: Words, which: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
     """Hash of ``length`` bytes of the words ``which``, from byte ``offset`` of each."""
     at = w.start[which] + offset
@@ -17,7 +21,7 @@ def gathered(w: Words, which: np.ndarray, offset: np.ndarray, length: int) -> np
 
 
 def affixes_and_ngrams(w: Words, which: np.ndarray, grams: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(word of ``which``, hash) of the words' prefixes and suffixes of 2 to 4 bytes, byte n-grams and whole forms."""
+    """(word of ``which``, hash) of the words' prefixes and suffixes of 2 to 4 bytes, all byte n-grams and whole forms."""
     n = w.length[which]
     word, out = [np.arange(len(which))], [spread(w.hash[which] + MULT[301])]
     for size in (2, 3, 4):
@@ -25,10 +29,13 @@ def affixes_and_ngrams(w: Words, which: np.ndarray, grams: int = 3) -> tuple[np.
         word += [k, k]
         out += [gathered(w, which[k], np.zeros(len(k), np.int64), size) + MULT[310], gathered(w, which[k], n[k] - size, size) + MULT[311]]
     k = np.flatnonzero(n >= grams)
-    per = np.minimum(n[k] - grams + 1, 24)
-    at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    word.append(np.repeat(k, per))
-    out.append(gathered(w, which[np.repeat(k, per)], at, grams) + MULT[312])
+    per = n[k] - grams + 1
+    end = np.cumsum(per)
+    for lo in range(0, int(per.sum()), PIECE):
+        i = np.arange(lo, min(lo + PIECE, int(end[-1])))
+        of = np.searchsorted(end, i, side="right")
+        word.append(k[of])
+        out.append(gathered(w, which[k[of]], i - (end - per)[of], grams) + MULT[312])
     return np.concatenate(word), np.concatenate(out)
 
 

@@ -292,6 +292,37 @@ def test_op3_code_switched_line(spark):
     assert [s["lang"] for s in spans] == ["en", "de"] and abs(spans[0]["len"] - 10) <= 1
 
 
+def unspaced(rng, tail):
+    """One word without blanks: 40 bytes and the last 8 alike in all languages, what tells them apart between."""
+    return "x" * 40 + "".join(rng.choice(tail) for _ in range(20)) + "y" * 8
+
+
+def test_op3_reads_all_of_a_long_word(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["ruf", "gel", "zob"]}
+    rows = [(i, unspaced(rng, syllables[lang]), lang) for i, lang in enumerate(["aa", "bb"] * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    out = language_id.label(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out(F.col("doc_id"))).collect()
+    assert len(out) > 50 and np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95
+    far = [(1, "x" * 40 + "katomi" * 100_000 + "y" * 8), (2, "x" * 40 + "rufgel" * 100_000 + "y" * 8)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.label(spark.createDataFrame(far, "doc_id long, text string"), model).collect()}
+    assert got == {1: "aa", 2: "bb"}
+
+
+def test_op3_scores_do_not_depend_on_pieces():
+    rng = np.random.default_rng(4)
+    texts = ["a" + "bcd" * 150_000 + " ef", "g h " + "ij" * 70_000]
+    data, off = language_id.text_bytes(language_id.pa.array(texts))
+    w = language_id.Words(data, off, lower=True)
+    v = language_id.Vocabulary(w, [np.zeros(0, np.uint64)] * 2)
+    m = language_id.Model(["p", "q"], rng.normal(size=(language_id.FEATURES, 2)), [], np.zeros((2, 2)), np.zeros(2), np.zeros((2, 2)))
+    want = np.stack([np.bincount(v.word, m.weights[v.feature, k], len(v.begin)) for k in range(2)], axis=1)
+    assert np.allclose(v.scores(m), want)
+    # a whole form, two affixes for each of 2 to 4 bytes that it has, and length - 2 trigrams
+    assert len(v.feature) == sum(1 + 2 * min(max(n - 1, 0), 3) + max(n - 2, 0) for n in {t: len(t) for x in texts for t in x.split()}.values())
+
+
 def test_op3_odd_rows(spark, odd, empty):
     model = language_id.learn(odd)
     out = language_id.label(odd, model).collect()
