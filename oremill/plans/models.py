@@ -96,6 +96,17 @@ def distances(spark: S, d: str) -> DataFrame:
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(gap, 6).alias("d"))
 
 
+WHOLE_GAP = " + ".join(f"abs(a.embedding[{i}]::DOUBLE - c.embedding[{i}]::DOUBLE)" for i in range(1, 65))
+
+
+@query(f"SELECT a.vec_id AS id, c.vec_id AS center, round({WHOLE_GAP}, 6) AS d FROM embeddings a, embeddings c WHERE c.vec_id < 5")
+def distance_expr_whole(spark: S, d: str) -> DataFrame:
+    """Every vector, by all its components, to five of them as centers."""
+    v, names = vectors(spark, d, 64), [f"x{i}" for i in range(1, 65)]
+    gap = distance([F.col(f"a.{c}") for c in names], [F.col(f"c.{c}") for c in names], "manhattan")
+    return v.alias("a").crossJoin(F.broadcast(v.where("id < 5")).alias("c")).select(F.col("a.id").alias("id"), F.col("c.id").alias("center"), F.round(gap, 6).alias("d"))
+
+
 @query(f"{L}, g AS (SELECT nation, avg(price) AS price, avg(qty) AS qty FROM L GROUP BY 1) SELECT a.nation AS a, b.nation AS b, round(sqrt((a.price - b.price) * (a.price - b.price) + (a.qty - b.qty) * (a.qty - b.qty)), 3) AS d FROM g a JOIN g b ON a.nation < b.nation")
 def pairwise_distance(spark: S, d: str) -> DataFrame:
     g = listings(spark, d).groupBy("nation").agg(F.avg("price").alias("price"), F.avg("qty").alias("qty"))
@@ -367,6 +378,13 @@ def single_link_cut(spark: S, d: str) -> DataFrame:
     return cluster.single_link_cut(p, "id", ["x", "y"], 2.0)
 
 
+@query()
+def single_link_cut_whole(spark: S, d: str) -> DataFrame:
+    """All parts; SQL would join all pairs, so a test holds it against brute force."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+    return cluster.single_link_cut(p, "id", ["x", "y"], 2.0)
+
+
 # Classification measures
 
 SC = "s AS (SELECT n_chars::DOUBLE AS score, quality AS y FROM documents JOIN labels USING (doc_id))"

@@ -293,6 +293,15 @@ def box_stats(spark: S, d: str) -> DataFrame:
     return rounded(profile.box_stats(table(spark, d, "customer").where("c_acctbal > 0"), "c_acctbal", ["c_mktsegment"]), mean=4, q1=4, median=4, q3=4)
 
 
+@query("""WITH q AS (SELECT c_mktsegment AS g, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) AS q3, avg(c_acctbal) AS mean, count(*) AS n FROM customer GROUP BY 1),
+          x AS (SELECT q.*, c_acctbal * c_acctbal / 1000 AS v0, c_acctbal AS v FROM customer JOIN q ON c_mktsegment = g)
+          SELECT g AS c_mktsegment, n, round(mean, 4) AS mean, round(q1, 4) AS q1, round(m, 4) AS median, round(q3, 4) AS q3, min(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS lo_whisker,
+          max(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS hi_whisker, count(*) FILTER (NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM x GROUP BY ALL""")
+def box_stats_whole(spark: S, d: str) -> DataFrame:
+    """Customers of any balance."""
+    return rounded(profile.box_stats(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"]), mean=4, q1=4, median=4, q3=4)
+
+
 @query(f"{L}, s AS (SELECT stddev_pop(items) AS items, stddev_pop(qty) AS qty, stddev_pop(price) AS price FROM L WHERE split = 'train') SELECT feature, round(std, 4) AS std, std > 100 AS flagged FROM (SELECT 'items' AS feature, items AS std FROM s UNION ALL SELECT 'qty', qty FROM s UNION ALL SELECT 'price', price FROM s)")
 def column_std_profile(spark: S, d: str) -> DataFrame:
     return rounded(profile.column_std_profile(listings(spark, d), ["items", "qty", "price"], train_rows()), std=4)
