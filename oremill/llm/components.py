@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import HOT, cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,38 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node's neighbours, then the label
     of that label, so long chains halve. Rounds end when no label changes. Each
-    round's labels are written to the checkpoint folder; only their number of
-    changes comes to the driver.
+    round's labels are written to the checkpoint folder, the last round's are
+    deleted; only the number of changes comes to the driver. Nodes with more
+    than 1/HOT of all links are fewer than HOT, so their labels are broadcast
+    and the links of a hub need not meet in one task.
+
+    Defined results: links of an id with itself and links with a null are none;
+    repeated links count once; without links the result is empty.
     """
     both = links.where("a != b").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    total = both.count()
+    hubs = cut(both.groupBy("b").count().where(F.col("count") * HOT > total).select(F.col("b").alias("hub")))
+    marked = both.join(F.broadcast(hubs), both.b == hubs.hub, "left")
+    cold, hot = marked.where("hub is null").select("a", "b"), marked.where("hub is not null").select("a", "b")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")))
+    held = labels
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        of_hubs = F.broadcast(labels.join(F.broadcast(hubs), labels.id == hubs.hub).select("hub", F.col("c").alias("h")))
+        seen = cold.join(labels, cold.b == labels.id).select(F.col("a").alias("id"), "c").unionByName(hot.join(of_hubs, hot.b == F.col("hub")).select(F.col("a").alias("id"), F.col("h").alias("c")))
+        near = seen.groupBy("id").agg(F.min("c").alias("m"))
         hooked = cut(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+        # a label is the id of a node; one that very many share is looked up in its own row only
         roots = hooked.select(F.col("id").alias("c"), F.col("c").alias("root"))
-        labels = cut(hooked.join(roots, "c", "left").select("id", F.least("c", "root").alias("c"), "was"))
-        changed = labels.where("c != was").limit(1).count()
-        labels = labels.drop("was")
+        often = hooked.groupBy("c").count().where(F.col("count") * HOT > total).select("c").join(roots, "c")
+        often = F.broadcast(often.select("c", F.col("root").alias("top")))
+        tried = hooked.join(often, "c", "left")
+        done = tried.where("top is not null").select("id", F.least("c", "top").alias("c"), "was")
+        rest = tried.where("top is null").select("id", "c", "was").join(roots, "c", "left").select("id", F.least("c", "root").alias("c"), "was")
+        new = cut(done.unionByName(rest))
+        changed = new.where("c != was").limit(1).count()
+        drop(hooked, held)
         if not changed:
-            return labels.select("id", F.col("c").alias("component"))
+            drop(both, hubs)
+            return new.select("id", F.col("c").alias("component"))
+        held, labels = new, new.drop("was")

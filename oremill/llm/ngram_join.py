@@ -1,28 +1,35 @@
 """N-gram Jaccard join: universe-partition pigeonhole with one-deletion neighbourhoods.
 
 Sizes fall into bands. For a pair whose smaller set is in a band, the sets
-differ in at most H elements; elements are hashed to segments, and segments
-that match exactly count 1, those that match but for one deletion count 2. When
-the counts that a band's segments offer come to H + 1, a similar pair matches in
-one of them. How many segments get the one-deletion neighbourhood follows from
-a cost formula (``allocate``). Besides, a band has 2s spare exact segments, so
-that each set may leave out its s most frequent ones, as counted over the
-corpus: text that very many documents share then brings no company.
+differ in at most H elements. Elements are hashed to segments, and a band has
+``exact`` segments, which match when they are equal, and ``one`` segments, which
+match when one side has at most one element more. With exact + 2 one = H + 1 +
+spare, a similar pair without a match in the latter is equal in at least 1 +
+spare of the former; so each set may leave out its ``spare`` most frequent exact
+segments, in one order for the whole corpus, and a match stays.
+
+Which of these a band gets is decided by cost (``allocate``): candidate
+allocations are tried on a bounded sample of the corpus, and what is emitted and
+moved is weighed against the company that a set would have in its band. One-
+deletion segments are larger, so they pay where sets are many or share much.
 
 Candidates are checked against sizes and parity sketches, which cannot lose a
-pair, and then exactly on the texts. Groups are never expanded to pairs at
-once: the first round compares a set with a leader of its groups; the second
-compares only sets of one group that are not yet connected.
+pair, and then exactly, shingle by shingle, on the texts; only texts of
+candidates travel. The first round compares a set with a leader of its groups.
+The second looks at groups of which not all are connected yet: large ones are
+cut into blocks, and only pairs that pass the sketches leave the task.
 
 Defined results: null and blank texts have empty sets and no links; rows with a
 null doc_id are not linked and have a null component; rows that share a doc_id
-are one document, linked as soon as one of its texts is; an empty table gives
-an empty one; other columns are not read.
+are one document, linked as soon as one of its texts is; a very long text is
+worked on alone; equal sets are linked (by their size and 128 bits of sums);
+an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +40,14 @@ from pyspark.sql import functions as F
 from .batches import MULT, Words, column, pair, slices, spread
 from .components import components
 from .repeats import PACKED, deal, first_of, gather, packed_batch
-from .tables import cut, fanout
+from .tables import cut, drop, fanout, labelled, sifted
 
-#: Assumed company of a segment of no elements, halved by each element; ratio of band edges; spare segments a H.
-COMPANY, SPARE = 2.0, 12
-SKETCH = 8
+#: Sets of the sample, and elements of a set at most that it takes; share of it that makes a segment a hot one.
+SAMPLE, SAMPLED_SIZE, HOT_SHARE = 2000, 4096, 0.005
+#: Cost of a partner in signatures, before texts; sizes beyond which sketches prune nothing.
+PARTNER, SKETCHED = 10.0, 1200
+SKETCH, BLOCK, PARTNERS = 8, 1024, 128
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Sets:
@@ -69,6 +79,15 @@ class Sets:
         self.size = np.bincount(self.row, minlength=rows)
 
 
+class Some:
+    """Sets given as arrays of hashes."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.hash = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
+        self.row = np.repeat(np.arange(len(sets)), self.size)
+
+
 @lru_cache
 def edges(percent: int) -> np.ndarray:
     """Least size of each band; a set's partners' sizes lie in its band or the one below."""
@@ -78,192 +97,368 @@ def edges(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-@lru_cache
-def allocate(percent: int) -> np.ndarray:
-    """For each band: exact segments, one-deletion segments, spare (how many each set may leave out)."""
+def differing(percent: int) -> np.ndarray:
+    """H of each band: elements in which a similar pair differs at most when its smaller set is there."""
+    return (edges(percent)[1:] - 1) * (100 - percent) // percent
+
+
+@dataclass
+class Plan:
+    """``bands``: exact, one, spare of each band; ``hot``: frequent signatures, sorted, and their frequencies."""
+
+    percent: int
+    bands: np.ndarray
+    hot: np.ndarray
+    heat: np.ndarray
+
+
+def in_band(s: Sets | Some, use: np.ndarray, exact: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, row, part, whether a neighbour's) of the sets in their bands ``use`` (negative: none)."""
+    has = (s.size > 0) & (use >= 0)
+    b = np.where(has, use, 0)
+    m = np.where(has, exact + one, 0)
+    base = np.cumsum(m) - m
+    own = np.flatnonzero(has[s.row])
+    r = s.row[own]
+    segment = ((s.hash[own] >> np.uint64(20)) % m[r].astype(np.uint64)).astype(np.int64)
+    slot = base[r] + segment
+    mixed = spread(s.hash[own] + MULT[11])
+    total = np.zeros(int(m.sum()), np.uint64)
+    np.add.at(total, slot, mixed)
+    count = np.bincount(slot, minlength=len(total))
+    row_of = np.repeat(np.arange(len(m)), m)
+    part = np.arange(len(total)) - base[row_of]
+
+    # a segment's key besides its elements: band, segments of the band, number, how many
+    def tag(t: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return spread(t + ((b[row_of[k]] << 34) + (part[k] << 1)).astype(np.uint64) * MULT[12] + c.astype(np.uint64) * MULT[13])
+
+    near = np.flatnonzero(segment < one[r])
+    k = slot[near]
+    sig = np.concatenate([tag(total, count, np.arange(len(total))), tag(total[k] - mixed[near], count[k] - 1, k)])
+    return sig, np.concatenate([row_of, r[near]]), np.concatenate([part, part[k]]), np.arange(len(sig)) >= len(total)
+
+
+def bands_of(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band of each size, and the lowest that a partner can be in."""
+    e = edges(percent)
+    return np.searchsorted(e, size, side="right") - 1, np.searchsorted(e, np.maximum(-(-size * percent // 100), 1), side="right") - 1
+
+
+def partners(sig: np.ndarray, row: np.ndarray, rows: int) -> int:
+    """Distinct pairs of rows that share a signature."""
+    order = np.lexsort((row, sig))
+    sig, row = sig[order], row[order]
+    found, lag = np.zeros(0, np.int64), 1
+    while lag < len(sig):
+        k = np.flatnonzero(sig[lag:] == sig[:-lag])
+        if not len(k):
+            break
+        found = np.union1d(found, (row[k] * rows + row[k + lag])[row[k] != row[k + lag]])
+        lag += 1
+    return len(found)
+
+
+def left_out(sig: np.ndarray, row: np.ndarray, loose: np.ndarray, spare: int) -> np.ndarray:
+    """Which signatures stay when each row leaves out its ``spare`` most frequent loose ones."""
+    _, of, often = np.unique(sig, return_inverse=True, return_counts=True)
+    order = np.lexsort((sig, -often[of], ~loose, row))
+    rank = np.arange(len(sig)) - np.searchsorted(row[order], row[order])
+    stays = np.ones(len(sig), bool)
+    stays[order] = (rank >= spare) | ~loose[order]
+    return stays
+
+
+def allocate(percent: int, counts: np.ndarray, sample: list[np.ndarray]) -> np.ndarray:
+    """Exact segments, one-deletion segments and spare of each band, by cost.
+
+    ``counts`` is the number of sets that each band compares. A set's cost in a
+    band is its signatures and ``PARTNER`` times its partners, those of
+    large sets more, as sketches don't spare their texts. Partners are counted
+    on the sample and scaled to the band's number of sets; what the sample is
+    too small to show, empty segments above all, is added by formula.
+    """
     e, out = edges(percent), []
-    for low, high in zip(e[:-1].tolist(), (e[1:] - 1).tolist(), strict=True):
-        most = high * (100 - percent) // percent
-        spare = most // SPARE
-
-        def cost(one: int, most=most, spare=spare, low=low, high=high) -> float:
-            exact = max(0, most + 1 - 2 * one) + 2 * spare
-            m = exact + one
-            return exact + one * (1 + high / m) + m * COMPANY * 2.0 ** -min(low / m, 60)
-
-        tried = sorted({*range(min(most, 64) // 2 + 2), (most + 2) // 2})
-        one = min(tried, key=cost)
-        out.append((max(0, most + 1 - 2 * one) + 2 * spare, one, spare))
+    sizes = np.array([len(s) for s in sample])
+    own, low = bands_of(sizes, percent) if len(sample) else (sizes, sizes)
+    for b, most in enumerate(differing(percent).tolist()):
+        n = float(e[b] + e[b + 1] - 1) / 2
+        price = PARTNER + (n if n > SKETCHED else 0)
+        picked = np.flatnonzero((own == b) | ((own == b + 1) & (low <= b)))[: max(2, int(2e5 / n))] if len(sample) else []
+        some = Some([sample[i] for i in picked])
+        best = None
+        for one in sorted({0, *(-(-(most + 1) * k // 8) // 2 for k in (1, 2, 4)), (most + 2) // 2}):
+            for spare in sorted({0, most // 16, most // 8, most // 4, min(most, 2)}):
+                exact = max(0, most + 1 - 2 * one) + (spare if 2 * one <= most else 0)
+                if spare and 2 * one > most:
+                    continue
+                m = exact + one
+                full, empty = n / m, m * np.exp(-n / m)
+                bare = np.exp(-2 * n / m) * (exact * max(0.0, 1 - spare / empty) + one * (1 + 2 * full)) * counts[b]
+                cost = exact + one * (1 + full) + price * bare
+                if best is not None and cost >= best[0]:
+                    continue
+                if len(picked) > 1:
+                    k = np.full(len(picked), 1)
+                    sig, row, part, _ = in_band(some, k * b, k * exact, k * one)
+                    stays = left_out(sig, row, part >= one, spare)
+                    met = 2 * partners(sig[stays], row[stays], len(picked)) / len(picked)
+                    cost += price * met * max(counts[b], len(picked)) / len(picked)
+                if best is None or cost < best[0]:
+                    best = (cost, exact, one, spare)
+        out.append(best[1:])
     return np.array(out)
 
 
-def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, whether its segment may be left out) of all rows' segments."""
-    e, plan = edges(percent), allocate(percent)
-    band = np.searchsorted(e, s.size, side="right") - 1
-    lowest = np.searchsorted(e, np.maximum(-(-s.size * percent // 100), 1), side="right") - 1
-    sig, rows, loose = [], [], []
-    mixed = spread(s.hash + MULT[11])
+#: What a signature may do: stay whatever its frequency, or be left out in the set's own band or the one below.
+TIGHT, OWN, BELOW = 0, 1, 2
+
+
+def signatures(s: Sets | Some, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, kind, how many more of the kind may be left out, whether it is hot) of all rows' segments.
+
+    Hot ones are left out here, hottest first, as far as the band's spare goes.
+    """
+    band, lowest = bands_of(s.size, plan.percent)
+    out = []
     for back in range(2):
-        use = band - back
-        has = (s.size > 0) & (use >= np.maximum(lowest, 0))
-        b = np.where(has, use, 0)
-        exact, one = plan[b, 0], plan[b, 1]
-        m = np.where(has, exact + one, 0)
-        base = np.cumsum(m) - m
-        own = np.flatnonzero(has[s.row])
-        r = s.row[own]
-        segment = ((s.hash[own] >> np.uint64(20)) % m[r].astype(np.uint64)).astype(np.int64)
-        slot = base[r] + segment
-        total = np.zeros(int(m.sum()), np.uint64)
-        np.add.at(total, slot, mixed[own])
-        count = np.bincount(slot, minlength=len(total))
-        row_of = np.repeat(np.arange(len(m)), m)
-        part = np.arange(len(total)) - base[row_of]
-        # a segment's key besides its elements: band, number, how many
-        tag = lambda t, c, k: spread(t + ((b[row_of[k]] << 34) + (part[k] << 1)).astype(np.uint64) * MULT[12] + c.astype(np.uint64) * MULT[13])
-        every = np.arange(len(total))
-        sig.append(tag(total, count, every))
-        rows.append(row_of)
-        loose.append(part >= one[row_of])
-        near = np.flatnonzero(segment < one[r])
-        if len(near):
-            k = slot[near]
-            sig.append(tag(total[k] - mixed[own[near]], count[k] - 1, k))
-            rows.append(r[near])
-            loose.append(np.zeros(len(near), bool))
-    return np.concatenate(sig), np.concatenate(rows), np.concatenate(loose)
-
-
-PROFILE = "doc_id long, n_shingles long, same long, sketch array<long>"
-
-
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """``PROFILE``: size, hash of the whole set, and a 512-bit sketch of element parities."""
+        use = np.where(band - back >= lowest, band - back, -1)
+        exact, one, spare = (plan.bands[np.maximum(use, 0), i] for i in range(3))
+        sig, row, part, near = in_band(s, use, exact, one)
+        loose = (part >= one[row]) & ~near
+        at = np.minimum(np.searchsorted(plan.hot, sig), max(len(plan.hot) - 1, 0))
+        hot = plan.hot[at] == sig if len(plan.hot) else np.zeros(len(sig), bool)
+        k = np.flatnonzero(hot & loose)
+        k = k[np.lexsort((~sig[k].view(np.int64), -plan.heat[at[k]], row[k]))] if len(k) else k
+        rank = np.arange(len(k)) - np.searchsorted(row[k], row[k])
+        gone = k[rank < spare[row[k]]]
+        left = spare - np.bincount(row[gone], minlength=len(spare))
+        stays = np.ones(len(sig), bool)
+        stays[gone] = False
+        kind = np.where(loose, OWN + back, TIGHT)
+        out.append((sig[stays], row[stays], kind[stays], left[row[stays]], hot[stays]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def planned(percent: int, counts: np.ndarray, sample: list[np.ndarray]) -> Plan:
+    plan = Plan(percent, allocate(percent, counts, sample), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sig = signatures(Some(sample), plan)[0]
+    found, often = np.unique(sig, return_counts=True)
+    hot = often >= max(8, HOT_SHARE * len(sample))
+    return Plan(percent, plan.bands, found[hot], often[hot])
+
+
+PROFILE = "doc_id long, n_shingles long, same long, other long, sketch array<long>, elements binary"
+
+
+def profiles(docs: DataFrame, n: int, share: float) -> DataFrame:
+    """``PROFILE``: size, 128 bits of sums of the set, a 512-bit sketch of element parities; elements of the sample."""
+    picked = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("doc_id").isNotNull()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch):
                 s = Sets(data, off, n)
-                same = np.zeros(rows.num_rows, np.uint64)
-                np.add.at(same, s.row, spread(s.hash + MULT[21]))
+                sums = np.zeros((2, rows.num_rows), np.uint64)
+                np.add.at(sums[0], s.row, spread(s.hash + MULT[21]))
+                np.add.at(sums[1], s.row, spread(s.hash + MULT[23]))
                 bit = spread(s.hash + MULT[22])
                 sketch = np.zeros((rows.num_rows, SKETCH), np.uint64)
                 np.bitwise_xor.at(sketch, (s.row, (bit >> np.uint64(61)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32)), pa.array(sketch.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(s.size), pa.array(same.view(np.int64)), lists], ["doc_id", "n_shingles", "same", "sketch"])
+                wanted = column(rows, "__picked").to_numpy(zero_copy_only=False).astype(bool) & (s.size > 0) & (s.size <= SAMPLED_SIZE)
+                at = np.concatenate([[0], np.cumsum(s.size)])
+                elements = [s.hash[at[i] : at[i + 1]].tobytes() if wanted[i] else None for i in range(rows.num_rows)]
+                yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(s.size), *(pa.array(x.view(np.int64)) for x in sums), lists, pa.array(elements, pa.binary())], [f.split()[0] for f in PROFILE.split(", ")])
+
+    return docs.select("doc_id", "text", F.coalesce(picked, F.lit(False)).alias("__picked")).mapInArrow(work, PROFILE)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PROFILE)
+COMPANY = "sig long, doc long, many long, kind int, left int"
 
 
-def companies(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, doc, n, loose): the signatures that several documents have, and how many do."""
+def companies(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
+    """``COMPANY``: the signatures that several documents have, and how many do.
+
+    Hot signatures are dealt by document as well, so no task gets all of one;
+    the sample's frequency, above all others, is their number.
+    """
     parts = fanout(docs, 2.0)
     buckets = 1 << max(8, (parts - 1).bit_length())
-    kinds = ["<u8", "<i8", "?"]
+    kinds = ["<u8", "<i8", "u1", "<u2", "?"]
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch):
                 doc = column(rows, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                sig, row, loose = signatures(Sets(data, off, n), percent)
-                yield packed_batch(list(deal((sig & np.uint64(buckets - 1)).astype(np.int64), buckets, sig, doc[row], loose)))
+                sig, row, kind, left, hot = signatures(Sets(data, off, n), shared.value)
+                d = doc[row]
+                at = np.where(hot, spread(sig ^ d.astype(np.uint64) * MULT[31]), sig)
+                yield packed_batch(list(deal((at & np.uint64(buckets - 1)).astype(np.int64), buckets, sig, d, kind.astype("u1"), np.minimum(left, 65535).astype("<u2"), hot)))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, doc, loose = gather(batches, kinds)
+        sig, doc, kind, left, hot = gather(batches, kinds)
         order = np.argsort(sig, kind="stable")
-        sig, doc, loose = sig[order], doc[order], loose[order]
+        sig, doc, kind, left, hot = (x[order] for x in (sig, doc, kind, left, hot))
         if not len(sig):
             return
-        f, of = first_of(sig)
+        _, of = first_of(sig)
         many = np.bincount(of)[of]
+        if len(shared.value.hot):
+            at = np.minimum(np.searchsorted(shared.value.hot, sig), len(shared.value.hot) - 1)
+            many = np.where(hot, (1 << 48) + shared.value.heat[at], many)
         keep = many > 1
-        sig, doc, many, loose = sig[keep], doc[keep], many[keep], loose[keep]
-        for at in range(0, len(sig), 1 << 16):
-            to = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[to].view(np.int64)), pa.array(doc[to]), pa.array(many[to]), pa.array(loose[to])], ["sig", "doc", "many", "loose"])
+        sig, doc, many, kind, left = (x[keep] for x in (sig, doc, many, kind, left))
+        for lo in range(0, len(sig), 1 << 16):
+            to = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[to].view(np.int64)), pa.array(doc[to]), pa.array(many[to]), pa.array(kind[to].astype(np.int32)), pa.array(left[to].astype(np.int32))], [f.split()[0] for f in COMPANY.split(", ")])
 
-    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, PACKED)
-    return dealt.repartition(parts, "bucket").mapInArrow(group, "sig long, doc long, many long, loose boolean")
+    return docs.where("doc_id is not null").mapInArrow(emit, PACKED).repartition(parts, "bucket").mapInArrow(group, COMPANY)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow a similarity of ``percent``: parities differ in no more places than the sets."""
     size = lambda x: F.col(f"{x}.n_shingles")
     apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    near = (F.least(size(a), size(b)) * 100 >= F.greatest(size(a), size(b)) * percent)
+    near = F.least(size(a), size(b)) * 100 >= F.greatest(size(a), size(b)) * percent
     return near & (apart * (100 + percent) <= (size(a) + size(b)) * (100 - percent))
 
 
+def shingles(text: str, n: int) -> set[tuple[bytes, ...]]:
+    w = text.encode().translate(LOWER).split()
+    return set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else ({tuple(w)} if w else set())
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' sets are similar enough."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """The (a, b) of ``pairs`` whose texts' shingles are similar enough.
+
+    Texts of candidates, and only theirs, are joined with the list of documents
+    a that they are to be compared with and travel once to each; one with many
+    partners has several tasks of ``PARTNERS`` at most.
+    """
+    pairs = cut(pairs)
+    parts = fanout(docs)
+    busy = cut(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")))
+    salted = labelled(pairs, ["a"], busy, "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
+    routes = salted.select("id", F.struct("a", "salt", F.lit(1).alias("role")).alias("to"))
+    each = busy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    routes = routes.unionByName(each.select(F.col("a").alias("id"), F.struct("a", "salt", F.lit(0).alias("role")).alias("to")))
+    routes = cut(routes.groupBy("id").agg(F.collect_list("to").alias("to")))
+    texts = sifted(docs.where("doc_id is not null"), routes.select("id"), "doc_id")
+    sent = texts.join(routes, texts.doc_id == routes.id).select("doc_id", "text", F.explode("to").alias("to")).select("to.*", "doc_id", "text")
+    sent = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, leaders = None, []
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                rows, data, off = next(slices(batch.slice(at), "text_a"))
-                more = next(slices(batch.slice(at), "text_b"))
-                k = min(rows.num_rows, more[0].num_rows)
-                x = Sets(data[: off[k]], off[: k + 1], n)
-                y = Sets(more[1][: more[2][k]], more[2][: k + 1], n)
-                h, r = np.concatenate([x.hash, y.hash]), np.concatenate([x.row, y.row])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=k)
-                ok = (100 * both >= percent * (x.size + y.size - both)) & (both > 0)
-                yield rows.slice(0, k).select(["a", "b"]).filter(pa.array(ok))
-                at += k
-
-    with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long").distinct()
+            found = []
+            for a, salt, role, doc, text in zip(*(column(batch, c).to_pylist() for c in ("a", "salt", "role", "doc_id")), column(batch, "text"), strict=True):
+                if (a, salt) != current:
+                    current, leaders = (a, salt), []
+                own = shingles(text.as_py() or "", n)
+                if role == 0:
+                    leaders.append(own)
+                elif any(own and 100 * (both := len(own & x)) >= percent * (len(own) + len(x) - both) and both for x in leaders):
+                    found.append((a, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+    out = cut(sent.mapInArrow(judge, "a long, b long").distinct())
+    drop(pairs, busy, routes)
+    return out
+
+
+MEMBER = "sig long, c long, doc long, n_shingles long, sketch array<long>"
+
+
+def apart(percent: int):
+    """Of blocks of a group: the pairs of different components that sizes and sketches allow."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
+        sig, i, j, own, c, doc, size = (column(t, x).to_numpy(zero_copy_only=False) for x in ("sig", "i", "j", "own", "c", "doc", "n_shingles"))
+        words = column(t, "sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH)
+        order = np.lexsort((own, j, i, sig))
+        sig, i, j, own, c, doc, size, words = (x[order] for x in (sig, i, j, own, c, doc, size, words))
+        begin, _ = first_of(sig, i, j)
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(sig)], strict=True):
+            across = i[lo] != j[lo]
+            mid = lo + int(np.searchsorted(own[lo:hi], j[lo])) if across else hi
+            for at in range(lo, mid, 256):
+                mine, start = np.arange(at, min(at + 256, mid)), mid if across else at
+                other = np.arange(start, hi)
+                least, most = np.minimum(size[mine, None], size[other]), np.maximum(size[mine, None], size[other])
+                ok = (least * 100 >= most * percent) & (c[mine, None] != c[other]) & (mine[:, None] < other)
+                far = sum(np.bitwise_count(words[mine, None, k] ^ words[None, other, k]).astype(np.int64) for k in range(SKETCH))
+                x, y = np.nonzero(ok & (far * (100 + percent) <= (least + most) * (100 - percent)))
+                a, b = doc[mine[x]], doc[other[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return work
 
 
 def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    profile = cut(profiles(docs, n))
-    known = profile.where("doc_id is not null and n_shingles > 0")
-    # equal sets are linked as they are
-    least = known.groupBy("n_shingles", "same").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z")
-    links = known.join(least, ["n_shingles", "same"]).select("a", F.col("doc_id").alias("b")).where("a != b")
-
-    # each set leaves out its most frequent segments, as many as its band has to spare
-    plan = [int(x) for x in allocate(percent)[:, 2]]
-    seen = companies(docs, n, percent)
-    band = lambda size: F.array_size(F.filter(F.array(*[F.lit(int(x)) for x in edges(percent)[:-1]]), lambda x: x <= size)) - 1
-    spare = known.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n_shingles").alias("size")).select("doc", F.element_at(F.array(*[F.lit(p) for p in plan]), F.greatest(band(F.col("size")) - 1, F.lit(0)) + 1).alias("spare"))
-    # of equal sets one stands for all, as their links are known; but not where an id has several texts
-    p = known.groupBy("doc_id").agg(F.min_by("n_shingles", "same").alias("n_shingles"), F.min("same").alias("same"), F.min_by("sketch", "same").alias("sketch"), (F.count("*") > 1).alias("twice"))
-    p = cut(p)
-    equal = links.select(F.col("b").alias("doc")).distinct().join(p.where("not twice").select(F.col("doc_id").alias("doc")), "doc", "left_semi")
-    seen = seen.join(equal, "doc", "left_anti")
-    by_doc = seen.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("loose"), F.struct("many", "sig")))).alias("loose"), F.collect_set(F.when(~F.col("loose"), F.col("sig"))).alias("tight"))
-    by_doc = by_doc.join(spare, "doc").withColumn("loose", F.slice(F.transform("loose", lambda x: x["sig"]), F.lit(1), F.greatest(F.size("loose") - F.col("spare"), F.lit(0))))
-    company = by_doc.select("doc", F.explode(F.array_union("loose", "tight")).alias("sig"))
-    del seen, by_doc
-    company = cut(company)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = docs.count()
+    profile = cut(profiles(docs, n, min(1.0, SAMPLE / max(number, 1))))
+    known = profile.where("doc_id is not null and n_shingles > 0").drop("elements")
+    # equal sets are one: the document of the least id stands for all of them
+    key = ["n_shingles", "same", "other"]
+    classes = cut(known.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    e = [int(x) for x in edges(percent)[:-1]]
+    band = F.array_size(F.filter(F.array(*[F.lit(x) for x in e]), lambda x: x <= F.col("n_shingles"))) - 1
+    counts = np.zeros(len(e) + 1)
+    for r in classes.groupBy(band.alias("band")).count().collect():  # one row a band
+        counts[r["band"]] += r["count"]
+    sample = [np.frombuffer(bytes(r[0]), np.uint64) for r in profile.where("elements is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(2 * SAMPLE).select("elements").collect()]
+    plan = planned(percent, counts[:-1] + counts[1:], sample)
+
+    seen = companies(docs, n, plan)
+    # equal sets' other documents go; each set leaves out its most frequent segments
+    by_doc = seen.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("kind", "many", "sig", "left"))).alias("all"))
+    by_doc = by_doc.join(classes.select("doc").distinct(), "doc", "left_semi")
+
+    def stay(kind: int) -> Column:
+        mine = F.filter("all", lambda x: x["kind"] == kind)
+        spare = F.coalesce(F.array_min(F.transform(mine, lambda x: x["left"])), F.lit(0))
+        return F.transform(F.slice(mine, F.lit(1), F.greatest(F.size(mine) - spare, F.lit(0))), lambda x: x["sig"])
+
+    tight = F.transform(F.filter("all", lambda x: x["kind"] == TIGHT), lambda x: x["sig"])
+    company = cut(by_doc.select("doc", F.explode(F.array_union(F.array_union(stay(OWN), stay(BELOW)), tight)).alias("sig")))
+    total = company.count()
 
     # first round: each set with the least of its leaders and with the leader that it meets most
-    leaders = company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("sig", "a")
-    met = company.join(leaders, "sig").where("doc != a").groupBy("doc", "a").count()
+    leaders = cut(company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count("*").alias("members")).where("a != z").drop("z"))
+    met = labelled(company, ["sig"], leaders, "members", total).where("doc != a").groupBy("doc", "a").count()
     met = met.groupBy("doc").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("count", -F.col("a"))))).alias("as")).select(F.explode("as").alias("a"), F.col("doc").alias("b"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        c = pairs.alias("c").join(p.alias("x"), F.col("c.a") == F.col("x.doc_id")).join(p.alias("y"), F.col("c.b") == F.col("y.doc_id"))
-        return c.where(F.col("x.twice") | F.col("y.twice") | may_link("x", "y", percent)).select("c.a", "c.b")
-
-    first = cut(verified(docs, plausible(met), n, percent).unionByName(links))
+    sketched = classes.select("doc", "n_shingles", "sketch")
+    c = met.alias("c").join(sketched.alias("x"), F.col("c.a") == F.col("x.doc")).join(sketched.alias("y"), F.col("c.b") == F.col("y.doc"))
+    first = verified(docs, c.where(may_link("x", "y", percent)).select("c.a", "c.b").distinct(), n, percent)
+    # an id with several texts links the sets of all of them
+    several = known.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t")).where("s != t").select("doc_id")
+    ties = cut(known.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc").alias("a"), F.col("doc_id").alias("b")))
+    first = first.unionByName(ties)
     label = components(first)
 
-    # second round: sets of one group that are in different components, one of each set of equals
+    # second round: sets of one group that are in different components
     marked = company.join(label, company.doc == label.id, "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
-    open_ = marked.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("sig")
-    members = marked.join(open_, "sig").join(p, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n_shingles", "same", "sketch", "twice")
-    members = members.groupBy("sig", "c", "n_shingles", "same", "twice").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.twice") | F.col("y.twice") | may_link("x", "y", percent))
-    pairs = members.alias("x").join(members.alias("y"), across).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    second = cut(verified(docs, pairs, n, percent))
+    marked = cut(marked)
+    open_ = cut(marked.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members")).where("c1 != c2").select("sig", "members"))
+    members = labelled(marked, ["sig"], open_, "members", total).join(sketched, "doc")
+    members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc", "sketch"), F.col("blocks")).cast("int"))
+    members = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "c", "doc", "n_shingles", "sketch")
+    parts = fanout(docs)
+    second = verified(docs, members.repartition(parts, "sig", "i", "j").mapInArrow(apart(percent), "a long, b long").distinct(), n, percent)
     final = components(first.unionByName(second))
-    return profile.join(final, profile.doc_id == final.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    drop(company, leaders, marked, open_)
+
+    named = classes.join(final, classes.doc == final.id, "left").select(*key, "copies", F.coalesce("component", "doc").alias("component"))
+    rows = profile.select("doc_id", *key)
+    full = labelled(rows.where("doc_id is not null and n_shingles > 0"), key, named, "copies", number).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    bare = rows.where("doc_id is null or n_shingles = 0")
+    bare = bare.join(final, bare.doc_id == final.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return full.unionByName(bare)

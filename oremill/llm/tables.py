@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The driver's separators of words, as a Java and RE2 pattern for one word.
 #: Sizes from here on are Spark's word for not knowing.
 UNKNOWN = 1 << 60
+#: The driver's separators of words, as a Java and RE2 pattern for one word.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT such keys.
+HOT = 256
+#: Bits of a sieve: what each id gets, and how many there are at most (4 MB).
+SIEVE_EACH, SIEVE_MOST = 16, 25
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,28 +39,107 @@ def fanout(df: DataFrame, share: float = 1.0, mb: int = 64) -> int:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Takes the cluster's checkpoint folder; only where none is named, one of its own."""
+    """Takes the cluster's checkpoint folder; a folder of its own only for a local master where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(named)
 
 
+#: What ``cut`` returned within each ``temporary`` block.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end what ``cut`` kept within it; for callers that have written their results by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        drop(*_made.pop())
+
+
+#: Spark's setting that removes the shuffle files of an action when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder.
+    """The rows, computed once and kept in the shared checkpoint folder; the step's shuffle files go when it ends."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        out = df.select("*").checkpoint(True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    if _made:
+        _made[-1].append(out)
+    return out
 
-    Spark drops shuffle files of what is done only when the driver collects its
-    garbage; that is asked for here, so that steps' files do not add up.
+
+def drop(*done: DataFrame) -> None:
+    """Deletes the files of what ``cut`` returned and nothing reads any more."""
+    for df in done:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``classes`` (one row for each value of ``keys``, with its number of rows ``size``).
+
+    Classes of more than 1/HOT of the ``total`` rows are fewer than HOT, so
+    they are broadcast and their rows stay where they are; no task of the join
+    of the others gets more than that share for one key. ``keys`` hold no null.
     """
-    ensure_checkpoints(df.sparkSession)
-    out = df.checkpoint(True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    values = [c for c in classes.columns if c not in keys]
+    hot = F.broadcast(classes.where(F.col(size) * HOT > total).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values]))
+    tried = rows.join(hot, list(keys), "left")
+    found = tried.where(F.col(f"__hot_{size}").isNotNull()).select(*rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in values])
+    cold = classes.where(F.col(size) * HOT <= total)
+    rest = tried.where(F.col(f"__hot_{size}").isNull()).select(*rows.columns).join(cold, list(keys), how)
+    return found.unionByName(rest.select(*rows.columns, *values))
+
+
+def sieve(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the ``id`` column, of at most 2^SIEVE_MOST bits whatever the table's size.
+
+    It only spares rows a journey: whatever passes is joined exactly after it.
+    """
+    number = ids.count()
+    power = min(SIEVE_MOST, max(10, math.ceil(math.log2(max(number, 1) * SIEVE_EACH))))
+    at = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << power)) for k in (1, 2)]
+    words = ids.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out, power
+
+
+def sifted(rows: DataFrame, ids: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` passes the sieve of ``ids`` (which is a superset), or those that it holds back."""
+    bits, power = sieve(ids)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    hashed = rows.select("*", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << power)).alias(f"__at{k}") for k in (1, 2)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = np.ones(batch.num_rows, bool)
+            for k in (-2, -1):
+                at = batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)
+                passed &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed == inside))
+
+    return hashed.mapInArrow(work, rows.schema)
 
 
 def held_out(doc_id: Column) -> Column:

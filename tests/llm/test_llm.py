@@ -151,15 +151,69 @@ def test_op6_links_what_brute_force_links(spark, n, percent):
     assert got == want
 
 
+def skewed_sets(rng, number=400):
+    """Sets of which nine in ten elements come from a few that very many share; as hashes."""
+    often, out = rng.integers(1, 2**62, 60).astype(np.uint64), []
+    for size in rng.choice([4, 6, 9, 14, 20, 40, 90, 300], number):
+        common = often[: max(1, int(size * 0.9))] if size < 60 else often
+        rare = rng.integers(1, 2**62, size).astype(np.uint64)
+        out.append(np.unique(np.concatenate([common[rng.random(len(common)) < 0.95], rare])[:size]))
+    return out
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
 def test_op6_bands_offer_enough(percent):
-    e, plan = ngram_join.edges(percent), ngram_join.allocate(percent)
-    size = np.unique(np.concatenate([np.arange(1, 5000), np.random.default_rng(0).integers(1, 10**7, 5000)]))
-    band = np.searchsorted(e, size, side="right") - 1
-    low = np.searchsorted(e, -(-size * percent // 100), side="right") - 1
+    rng = np.random.default_rng(0)
+    e, sample = ngram_join.edges(percent), skewed_sets(rng)
+    plans = [ngram_join.allocate(percent, np.full(len(e) - 1, float(n)), s) for n in (10, 10**5, 10**10) for s in ([], sample)]
+    size = np.unique(np.concatenate([np.arange(1, 5000), rng.integers(1, 10**7, 5000)]))
+    band, low = ngram_join.bands_of(size, percent)
     assert (band - low <= 1).all()
-    for (exact, one, spare), high in zip(plan.tolist(), (e[1:] - 1).tolist(), strict=True):
-        assert exact + 2 * one - 2 * spare > high * (100 - percent) // percent
+    for plan in plans:
+        for (exact, one, spare), most in zip(plan.tolist(), ngram_join.differing(percent).tolist(), strict=True):
+            assert exact + 2 * one >= most + 1 + spare and (spare == 0 or exact > spare)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_op6_allocates_both_kinds_by_cost(percent):
+    sample = skewed_sets(np.random.default_rng(1))
+    plan = ngram_join.allocate(percent, np.full(len(ngram_join.edges(percent)) - 1, 2e5), sample)
+    used = plan[ngram_join.differing(percent) > 0]
+    assert (used[:, 1] > 0).any() and (used[:, 0] > 0).any()
+    # few sets need no larger segments
+    few = ngram_join.allocate(percent, np.full(len(plan), 2.0), [])
+    assert few[:, 1].sum() < plan[:, 1].sum()
+
+
+def test_op6_pairs_meet_in_a_signature():
+    """Each similar pair of sets shares a signature that neither leaves out, hot ones among them."""
+    rng = np.random.default_rng(2)
+    for percent in (60, 80, 90):
+        sets = skewed_sets(rng, 120)
+        for s in sets[:60]:
+            near = s.copy()
+            near[: max(1, len(s) * (100 - percent) // (2 * percent))] = rng.integers(1, 2**62, max(1, len(s) * (100 - percent) // (2 * percent)))
+            sets.append(np.unique(near))
+        e = ngram_join.edges(percent)
+        plan = ngram_join.Plan(percent, ngram_join.allocate(percent, np.full(len(e) - 1, 1e6), sets), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        found, often = np.unique(ngram_join.signatures(ngram_join.Some(sets), plan)[0], return_counts=True)
+        plan.hot, plan.heat = found[often >= 20], often[often >= 20]
+        sig, row, kind, left, _ = ngram_join.signatures(ngram_join.Some(sets), plan)
+        many = dict(zip(found.tolist(), often.tolist(), strict=True))
+        kept = [set() for _ in sets]
+        for i in range(len(sets)):
+            for k in range(3):
+                mine = sorted((many[int(x)] + (1 << 48) * (int(x) in set(plan.hot.tolist())), int(np.uint64(x).view(np.int64)), int(x)) for x in sig[(row == i) & (kind == k)])
+                budget = int(left[(row == i) & (kind == k)].min()) if len(mine) and k else 0
+                kept[i] |= {x for _, _, x in mine[: len(mine) - budget]}
+        whole = [set(s.tolist()) for s in sets]
+        similar = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(whole[i] & whole[j]) >= percent * len(whole[i] | whole[j]):
+                    similar += 1
+                    assert kept[i] & kept[j]
+        assert similar > 10
 
 
 def test_components_of_chains_and_stars(spark):
