@@ -24,27 +24,20 @@ def components(links: DataFrame) -> DataFrame:
     both = links.where("a != b").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     total = both.count()
-    hubs = cut(both.groupBy("b").count().where(F.col("count") * HOT > total).select(F.col("b").alias("hub")))
-    marked = both.join(F.broadcast(hubs), both.b == hubs.hub, "left")
-    cold, hot = marked.where("hub is null").select("a", "b"), marked.where("hub is not null").select("a", "b")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")))
-    held = labels
+    hubs = [r["b"] for r in both.groupBy("b").count().where(F.col("count") * HOT > total).select("b").collect()]
+    held = labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")))
     while True:
-        of_hubs = F.broadcast(labels.join(F.broadcast(hubs), labels.id == hubs.hub).select("hub", F.col("c").alias("h")))
-        seen = cold.join(labels, cold.b == labels.id).select(F.col("a").alias("id"), "c").unionByName(hot.join(of_hubs, hot.b == F.col("hub")).select(F.col("a").alias("id"), F.col("h").alias("c")))
+        seen = both.where(~F.col("b").isin(hubs)).join(labels, both.b == labels.id).select(F.col("a").alias("id"), "c")
+        if hubs:
+            of_hubs = F.broadcast(labels.where(F.col("id").isin(hubs)))
+            seen = seen.unionByName(both.join(of_hubs, both.b == of_hubs.id).select(F.col("a").alias("id"), "c"))
         near = seen.groupBy("id").agg(F.min("c").alias("m"))
-        hooked = cut(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
-        # a label is the id of a node; one that very many share is looked up in its own row only
+        hooked = labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         roots = hooked.select(F.col("id").alias("c"), F.col("c").alias("root"))
-        often = hooked.groupBy("c").count().where(F.col("count") * HOT > total).select("c").join(roots, "c")
-        often = F.broadcast(often.select("c", F.col("root").alias("top")))
-        tried = hooked.join(often, "c", "left")
-        done = tried.where("top is not null").select("id", F.least("c", "top").alias("c"), "was")
-        rest = tried.where("top is null").select("id", "c", "was").join(roots, "c", "left").select("id", F.least("c", "root").alias("c"), "was")
-        new = cut(done.unionByName(rest))
-        changed = new.where("c != was").limit(1).count()
-        drop(hooked, held)
+        new = cut(hooked.join(roots, "c", "left").select("id", F.least("c", "root").alias("c"), "was"))
+        changed = not new.where("c != was").isEmpty()
+        drop(held)
         if not changed:
-            drop(both, hubs)
+            drop(both)
             return new.select("id", F.col("c").alias("component"))
         held, labels = new, new.drop("was")

@@ -339,7 +339,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     """
     pairs = cut(pairs)
     parts = fanout(docs)
-    busy = cut(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")))
+    busy = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     salted = labelled(pairs, ["a"], busy, "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
     routes = salted.select("id", F.struct("a", "salt", F.lit(1).alias("role")).alias("to"))
     each = busy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -364,7 +364,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
 
     out = cut(sent.mapInArrow(judge, "a long, b long").distinct())
-    drop(pairs, busy, routes)
+    drop(pairs, routes)
     return out
 
 
@@ -432,7 +432,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = company.count()
 
     # first round: each set with the least of its leaders and with the leader that it meets most
-    leaders = cut(company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count("*").alias("members")).where("a != z").drop("z"))
+    leaders = company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count("*").alias("members")).where("a != z").drop("z")
     met = labelled(company, ["sig"], leaders, "members", total).where("doc != a").groupBy("doc", "a").count()
     met = met.groupBy("doc").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("count", -F.col("a"))))).alias("as")).select(F.explode("as").alias("a"), F.col("doc").alias("b"))
     sketched = classes.select("doc", "n_shingles", "sketch")
@@ -440,21 +440,21 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     first = verified(docs, c.where(may_link("x", "y", percent)).select("c.a", "c.b").distinct(), n, percent)
     # an id with several texts links the sets of all of them
     several = known.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t")).where("s != t").select("doc_id")
-    ties = cut(known.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc").alias("a"), F.col("doc_id").alias("b")))
+    ties = known.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     first = first.unionByName(ties)
     label = components(first)
 
     # second round: sets of one group that are in different components
     marked = company.join(label, company.doc == label.id, "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
     marked = cut(marked)
-    open_ = cut(marked.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members")).where("c1 != c2").select("sig", "members"))
+    open_ = marked.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members")).where("c1 != c2").select("sig", "members")
     members = labelled(marked, ["sig"], open_, "members", total).join(sketched, "doc")
     members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc", "sketch"), F.col("blocks")).cast("int"))
     members = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "c", "doc", "n_shingles", "sketch")
     parts = fanout(docs)
     second = verified(docs, members.repartition(parts, "sig", "i", "j").mapInArrow(apart(percent), "a long, b long").distinct(), n, percent)
     final = components(first.unionByName(second))
-    drop(company, leaders, marked, open_)
+    drop(company, marked)
 
     named = classes.join(final, classes.doc == final.id, "left").select(*key, "copies", F.coalesce("component", "doc").alias("component"))
     rows = profile.select("doc_id", *key)

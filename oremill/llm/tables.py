@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,8 +19,8 @@ UNKNOWN = 1 << 60
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT such keys.
 HOT = 256
-#: Bits of a sieve: what each id gets, and how many there are at most (4 MB).
-SIEVE_EACH, SIEVE_MOST = 16, 25
+#: A sieve has 2^SIEVE bits (2 MB) whatever the table's size.
+SIEVE = 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,13 +87,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*done: DataFrame) -> None:
-    """Deletes the files of what ``cut`` returned and nothing reads any more."""
+    """Deletes the files of what ``cut`` returned and nothing reads any more.
+
+    The driver's buffers and broadcast tables of those steps go only when its
+    JVM collects garbage, which a small driver cannot put off for long; so it is
+    asked to here, once for a group of steps.
+    """
     for df in done:
         spark = df.sparkSession
         file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if done:
+        gc.collect()
+        done[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
@@ -111,25 +120,22 @@ def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str
     return found.unionByName(rest.select(*rows.columns, *values))
 
 
-def sieve(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the ``id`` column, of at most 2^SIEVE_MOST bits whatever the table's size.
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ``id`` column as 64-bit words, of 2^SIEVE bits.
 
     It only spares rows a journey: whatever passes is joined exactly after it.
     """
-    number = ids.count()
-    power = min(SIEVE_MOST, max(10, math.ceil(math.log2(max(number, 1) * SIEVE_EACH))))
-    at = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << power)) for k in (1, 2)]
+    at = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << SIEVE)) for k in (1, 2)]
     words = ids.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (power - 6), np.uint64)
+    out = np.zeros(1 << (SIEVE - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out, power
+    return out
 
 
-def sifted(rows: DataFrame, ids: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    """Rows whose ``key`` passes the sieve of ``ids`` (which is a superset), or those that it holds back."""
-    bits, power = sieve(ids)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    hashed = rows.select("*", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << power)).alias(f"__at{k}") for k in (1, 2)])
+def sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` passes the sieve of ``ids``: all that are among them, and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(ids))
+    hashed = rows.select("*", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << SIEVE)).alias(f"__at{k}") for k in (1, 2)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +143,7 @@ def sifted(rows: DataFrame, ids: DataFrame, key: str, inside: bool = True) -> Da
             for k in (-2, -1):
                 at = batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)
                 passed &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed == inside))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed))
 
     return hashed.mapInArrow(work, rows.schema)
 
