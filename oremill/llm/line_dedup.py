@@ -1,10 +1,12 @@
 """Removing multi-line chunks that repeat, with boundaries set by the content.
 
 Native: DataFrame functions only. A line's hash is 28 bits of its md5; a rolling
-sum over three line hashes closes a chunk where it is divisible by ``period``,
-so an inserted line moves only the boundaries near it. Chunks of two lines and
-more that occur more than once are candidates; a candidate goes when its bytes
-equal those of the first chunk of its digest (smallest doc_id, then place).
+hash of three of them, a polynomial modulo a prime, closes a chunk where it is
+divisible by ``period``, so an inserted line moves only the boundaries near it.
+Chunks of two lines and more that occur more than once are candidates; a
+candidate goes when its bytes equal those of the first chunk of its digest
+(smallest doc_id, then place). A digest with more than 1/HOT of all chunks is
+salted: its first chunk goes to each salt, the others are spread over them.
 
 Defined results: a null text stays null and has no lines; an empty text has one
 empty line; rows with a null doc_id are returned as they are and are no source;
@@ -17,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import HOT, cut, labelled
+
 PERIOD = 4
+#: The rolling hash: a line's hash plus BASE times that of the line before plus BASE^2 times that before it, modulo PRIME.
+BASE, PRIME = 48271, 2147483647
 
 
 def line_hash(line: Column) -> Column:
@@ -30,13 +36,20 @@ def with_chunks(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     d = d.withColumn("__h", F.transform("__lines", line_hash))
     back = lambda n: F.concat(F.array_repeat(F.lit(0).cast("long"), n), F.col("__h"))
     d = d.withColumn("__z", F.arrays_zip(F.col("__h").alias("a"), back(1).alias("b"), back(2).alias("c")))
-    at_end = lambda x, i: (F.pmod(x["a"] + 3 * x["b"] + 5 * x["c"], F.lit(period)) == 0) | (i == F.size("__h") - 1)
+    rolled = lambda x: (x["a"] + BASE * x["b"] + BASE * BASE % PRIME * x["c"]) % PRIME
+    at_end = lambda x, i: (rolled(x) % period == 0) | (i == F.size("__h") - 1)
     d = d.withColumn("__ends", F.filter(F.transform("__z", lambda x, i: F.when(x["a"].isNotNull() & at_end(x, i), i + 1)), lambda e: e.isNotNull()))
     d = d.withColumn("__e", F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("__ends")).alias("s"), F.col("__ends").alias("e")))
     chunks = F.transform(F.filter("__e", lambda x: x["e"].isNotNull()), lambda x, i: F.struct(i.alias("no"), (x["s"] + 1).alias("start"), (x["e"] - x["s"]).alias("len")))
     return d.withColumn("__chunks", chunks).drop("__h", "__z", "__ends", "__e")
 
 
+def place(start: Column | str, length: Column | str) -> Column:
+    """A chunk's start and length as one number."""
+    at, n = (F.col(x) if isinstance(x, str) else x for x in (start, length))
+    return F.shiftleft(at.cast("long"), 32) + n.cast("long")
+
+
 def chunk_text(c: Column) -> Column:
     return F.array_join(F.slice(F.col("__lines"), c["start"], c["len"]), "\n")
 
@@ -49,18 +62,24 @@ def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = 2) -> Da
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__end")).alias("__others"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("__row"))
     found = with_chunks(own, period).select(*key, F.explode(F.transform(F.filter("__chunks", lambda c: c["len"] >= min_lines), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.unhex(F.md5(chunk_text(c).cast("binary"))).alias("digest")))).alias("c"))
-    found = found.where(F.col("doc_id").isNotNull()).select(*key, "c.*")
-    repeated = found.groupBy("digest").agg(F.min(F.struct(*key, "no")).alias("first"), F.max(F.struct(*key, "no")).alias("last")).where("first != last").drop("last")
-    wanted = found.join(repeated, "digest").select(*key, F.struct("digest", "start", "len", (F.struct(*key, "no") == F.col("first")).alias("is_first")).alias("w"))
+    found = cut(found.where(F.col("doc_id").isNotNull()).select(*key, "c.*"))
+    total = found.count()
+    repeated = found.groupBy("digest").agg(F.min(F.struct(*key, "no")).alias("first"), F.max(F.struct(*key, "no")).alias("last"), F.count("*").alias("n")).where("first != last").drop("last")
+    salts = F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int")
+    is_first = F.struct(*key, "no") == F.col("first")
+    wanted = labelled(found, ["digest"], repeated, "n", total).select(*key, F.struct("digest", "start", "len", is_first.alias("is_first"), salts.alias("salts")).alias("w"))
     wanted = wanted.groupBy(*key).agg(F.collect_set("w").alias("wanted"))
     texts = own.join(wanted, key).withColumn("__lines", F.split("text", "\n", -1)).select(*key, "__lines", F.explode("wanted").alias("w"))
-    texts = texts.select(*key, F.col("w.digest").alias("digest"), F.col("w.start").alias("start"), F.col("w.len").alias("len"), F.col("w.is_first").alias("is_first"), chunk_text(F.col("w")).alias("chunk"))
-    firsts = texts.where("is_first").select(F.col("digest").alias("first_digest"), F.col("chunk").alias("first_chunk")).groupBy("first_digest").agg(F.min("first_chunk").alias("first_chunk"))
-    removed = texts.where("not is_first").join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("chunk") == F.col("first_chunk")), "left_semi")
-    removed = removed.groupBy(*key).agg(F.collect_set("start").alias("__gone"))
+    texts = texts.select(*key, "w.*", chunk_text(F.col("w")).alias("chunk"))
+    firsts = texts.where("is_first").groupBy("digest", "salts").agg(F.min("chunk").alias("chunk"))
+    firsts = firsts.select("digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    others = texts.where("not is_first").withColumn("salt", F.pmod(F.xxhash64(*key, "start"), F.col("salts")).cast("int"))
+    removed = others.join(firsts, ["digest", "salt", "chunk"], "left_semi")
+    removed = removed.groupBy(*key).agg(F.collect_set(place("start", "len")).alias("__gone"))
     out = packed.withColumn("__row", F.xxhash64("text")).alias("d").join(removed.hint("shuffle_hash").alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.__row") == F.col("r.__row")), "left")
-    out = with_chunks(out.select("d.*", F.coalesce("r.__gone", F.array().cast("array<int>")).alias("__gone")), period)
-    kept = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["start"]))
+    out = with_chunks(out.select("d.*", F.coalesce("r.__gone", F.array().cast("array<bigint>")).alias("__gone")), period)
+    left = F.array_except(F.transform("__chunks", lambda c: place(c["start"], c["len"])), F.col("__gone"))
+    kept = F.transform(left, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("len")))
     out = out.withColumn("__kept", kept)
     lines = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["len"])
     text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform("__kept", chunk_text), "\n"))

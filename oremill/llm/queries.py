@@ -34,7 +34,7 @@ FROM ranked
 LINE_SQL = r"""
 WITH l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-c AS (SELECT *, CASE WHEN (h + 3 * coalesce(lag(h, 1) OVER w, 0) + 5 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 THEN 1 ELSE 0 END AS e
+c AS (SELECT *, CASE WHEN (h + 48271 * coalesce(lag(h, 1) OVER w, 0) + 182605794 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 4 = 0 THEN 1 ELSE 0 END AS e
       FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM c),
 k AS (SELECT doc_id, no, count(*) AS len, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, no),

@@ -435,7 +435,7 @@ def brute_lines(rows, period=4):
         chunks, at = [], 0
         for k in range(len(lines)):
             back = lambda n, k=k: h[k - n] if k >= n else 0
-            if (h[k] + 3 * back(1) + 5 * back(2)) % period == 0 or k == len(lines) - 1:
+            if (h[k] + 48271 * back(1) + 48271**2 % 2147483647 * back(2)) % 2147483647 % period == 0 or k == len(lines) - 1:
                 chunks.append((at, lines[at : k + 1]))
                 at = k + 1
         kept, gone = [], 0
@@ -461,6 +461,13 @@ def test_op8_removes_repeated_chunks(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_op8_salts_a_hot_chunk(spark):
+    lines = "\n".join(f"common {i}" for i in range(9))
+    rows = [(i, f"{lines}\nown {i}") for i in range(700)]
+    out = line_dedup.dedup_lines(frame(spark, rows))
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed_lines"]) for r in out.collect()) == sorted(brute_lines(rows))
+
+
 def test_op8_odd_rows(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.count() == odd.count() and out.where("doc_id is null and n_removed_lines > 0").count() == 0
