@@ -32,11 +32,15 @@ def components(links: DataFrame) -> DataFrame:
             of_hubs = F.broadcast(labels.where(F.col("id").isin(hubs)))
             seen = seen.unionByName(both.join(of_hubs, both.b == of_hubs.id).select(F.col("a").alias("id"), "c"))
         near = seen.groupBy("id").agg(F.min("c").alias("m"))
-        hooked = labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
+        hooked = cut(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+        often = [r["c"] for r in hooked.groupBy("c").count().where(F.col("count") * HOT > total).select("c").collect()]
         roots = hooked.select(F.col("id").alias("c"), F.col("c").alias("root"))
-        new = cut(hooked.join(roots, "c", "left").select("id", F.least("c", "root").alias("c"), "was"))
+        jumped = hooked.where(~F.col("c").isin(often)).join(roots, "c", "left")
+        if often:
+            jumped = jumped.unionByName(hooked.where(F.col("c").isin(often)).join(F.broadcast(roots.where(F.col("c").isin(often))), "c", "left"))
+        new = cut(jumped.select("id", F.least("c", "root").alias("c"), "was"))
         changed = not new.where("c != was").isEmpty()
-        drop(held)
+        drop(held, hooked)
         if not changed:
             drop(both)
             return new.select("id", F.col("c").alias("component"))
