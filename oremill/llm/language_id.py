@@ -34,6 +34,8 @@ from .word_features import PIECE, affixes_and_ngrams
 
 FEATURES, LEXICON, CHAIN = 1 << 15, 500, 256
 DOCS, LINES, LINE_BYTES, LABELS, STEPS = 1500, 6000, 2000, 100, 30
+#: Bytes of text whose distinct words are looked up at once.
+TOGETHER = 4 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -187,7 +189,7 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=TOGETHER):
                 k = rows.num_rows
                 w = Words(data, off, lower=True)
                 names = np.array([*(m.labels if m else []), "und"], dtype=object)

@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .batches import column, slices
 
 MARK = "▁"
-CHUNK, KEPT = 1 << 16, 300_000
+CHUNK, KEPT = 1 << 16, 100_000
 
 
 @dataclass
