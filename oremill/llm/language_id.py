@@ -2,20 +2,24 @@
 
 A word's features are its whole form, prefixes, suffixes and all its byte n-grams,
 however long it is (a sentence without blanks is one word), hashed to ``FEATURES`` weights per label, and whether it is among a label's
-most frequent words (lexicon). Chains are lines, cut every ``CHAIN`` words;
-transitions between labels are learned too, from lines and from pairs of half
-lines of different labels, so that code-switched lines are labelled word by
-word. Forward-backward gives each word's label probabilities; a text's label is
-that of the largest mean over its words with a letter.
+most frequent words (lexicon). Chains are whole lines; transitions between
+labels are learned too, from lines and from pairs of half lines of different
+labels, so that code-switched lines are labelled word by word. Forward-backward
+gives each word's label probabilities; a text's label is that of the largest
+mean over its words with a letter. Every label of the rows that may be learned
+from is learned, however rare.
 
-Learned on the driver from a bounded sample: the lines, of at most ``LINE_BYTES``
-bytes, of about ``DOCS`` documents of each label, by a hash of their ids, and of
-these at most ``LINES`` in an order of hashes that gives each label about as many.
+Learned on the driver from a bounded sample: lines, a long one in consecutive
+pieces of at most ``PIECE_CHARS`` characters, of about ``DOCS`` documents of each
+label, by a hash of their ids, and of these about ``LINES``, and ``LEAST`` of each
+label at least, in an order of hashes that gives each label about as many.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text when there is nothing to learn from; rows with a null lang or
-doc_id are predicted, not learned from; equal texts get equal results; an empty
-table gives an empty one; other columns are not read.
+doc_id are predicted, not learned from; equal texts get equal results, of two
+labels with equal means the first by name is given; a very long text is worked
+on alone and whole; an empty table gives an empty one; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from .batches import Words, column, slices, text_bytes
 from .tables import held_out
 from .word_features import PIECE, affixes_and_ngrams
 
-FEATURES, LEXICON, CHAIN = 1 << 15, 500, 256
-DOCS, LINES, LINE_BYTES, LABELS, STEPS = 1500, 6000, 2000, 100, 30
+FEATURES, LEXICON = 1 << 15, 500
+DOCS, LINES, LEAST, PIECE_CHARS, STEPS = 1500, 6000, 20, 1000, 30
+#: Labels up to which their counts are broadcast; words of a chain that are gone through at once.
+MANY, BLOCK = 1000, 256
 #: Bytes of text whose distinct words are looked up at once.
 TOGETHER = 4 << 20
 
@@ -75,33 +81,71 @@ class Vocabulary:
 
 
 def chains(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain: words between line ends, at most CHAIN."""
+    """First word and length of each chain: the words between line ends."""
     if not len(w):
         return np.zeros(0, int), np.zeros(0, int)
     lines = np.cumsum(w.data == 10)[w.start]
     new = np.ones(len(w), bool)
     new[1:] = (lines[1:] != lines[:-1]) | (w.row[1:] != w.row[:-1])
     begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(w)))
-    parts = -(-size // CHAIN)
-    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.repeat(begin, parts) + k * CHAIN
-    return first, np.minimum(np.repeat(begin + size, parts) - first, CHAIN)
+    return begin, np.diff(np.append(begin, len(w)))
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, size: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of each word, and expected counts of transitions, of all chains at once."""
+def transfers(p: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each block of words the product of what its words do to a forward vector, scaled; chains start in ``starts``."""
+    out = np.tile(np.eye(p.shape[1]), (len(first), 1, 1))
+    for t in range(int(size.max(initial=0))):
+        k = np.flatnonzero(size > t)
+        m = out[k] @ a if t else np.where(starts[k, None, None], out[k], out[k] @ a)
+        m = m * p[first[k] + t][:, None, :]
+        out[k] = m / m.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def borders(p: np.ndarray, a: np.ndarray, first: np.ndarray, size: np.ndarray, chain: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vector before and backward vector after each block; the blocks' transfers are combined along each chain."""
+    ahead, behind = np.ones((len(first), p.shape[1])), np.ones((len(first), p.shape[1]))
+    many = np.bincount(chain)[chain]
+    k = np.flatnonzero(many > 1)
+    if not len(k):
+        return ahead, behind
+    t = np.zeros((len(first), p.shape[1], p.shape[1]))
+    t[k] = transfers(p, a, first[k], size[k], number[k] == 0)
+    for step in range(1, int(number.max()) + 1):
+        k = np.flatnonzero(number == step)
+        v = np.einsum("ki,kij->kj", ahead[k - 1], t[k - 1])
+        ahead[k] = v / v.sum(axis=1, keepdims=True)
+        k = np.flatnonzero((many - 1 - number == step))
+        v = np.einsum("kij,kj->ki", t[k + 1], behind[k + 1])
+        behind[k] = v / v.sum(axis=1, keepdims=True)
+    return ahead, behind
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, size: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of each word, and expected counts of transitions, of all chains at once.
+
+    Long chains are gone through in blocks at the same time: what a block does
+    to any vector is a matrix, and these give the vectors at its borders.
+    """
     n, labels = scores.shape
     p = np.exp(scores - scores.max(axis=1, keepdims=True))
     a = np.exp(transitions)
+    parts = -(-size // block)
+    chain = np.repeat(np.arange(len(first)), parts)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    stop = np.repeat(first + size, parts)
+    first = np.repeat(first, parts) + number * block
+    size = np.minimum(stop - first, block)
+    ahead, behind = borders(p, a, first, size, chain, number)
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
+    first, size, ahead, behind, inner = first[order], size[order], ahead[order], behind[order], number[order] > 0
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
     alpha, beta = np.empty((n, labels)), np.ones((n, labels))
+    beta[first + size - 1] = behind
     for t in range(longest):
         at = first[: active[t]] + t
-        x = p[at] if t == 0 else (alpha[at - 1] @ a) * p[at]
+        x = (alpha[at - 1] @ a) * p[at] if t else np.where(inner[:, None], ahead @ a, 1.0) * p[at]
         alpha[at] = x / x.sum(axis=1, keepdims=True)
     moved = np.zeros((labels, labels))
     for t in range(longest - 2, -1, -1):
@@ -111,6 +155,9 @@ def marginals(scores: np.ndarray, first: np.ndarray, size: np.ndarray, transitio
         total = (alpha[at] * x).sum(axis=1, keepdims=True)
         moved += (alpha[at] / total).T @ y * a
         beta[at] = x / x.sum(axis=1, keepdims=True)
+    at = first[inner]
+    y = p[at] * beta[at]
+    moved += (ahead[inner] / (ahead[inner] * (y @ a.T)).sum(axis=1, keepdims=True)).T @ y * a
     gamma = alpha * beta
     return gamma / gamma.sum(axis=1, keepdims=True), moved
 
@@ -168,14 +215,21 @@ def train(lines: list[tuple[str, str]]) -> Model | None:
 def learn(docs: DataFrame) -> Model | None:
     """Trains on rows of ``docs`` (doc_id, text, lang) that may be learned from."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
-    if not counts:
+    counts = own.groupBy("lang").agg(F.count("*").alias("__often"))
+    number = counts.count()
+    if not number:
         return None
-    often = F.element_at(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(float(c)))]), F.col("lang"))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * often < DOCS * float(1 << 30)
-    lines = own.where(picked).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).where(F.octet_length("line").between(1, LINE_BYTES))
-    lines = lines.withColumn("o", F.pmod(F.xxhash64("doc_id", "line"), F.lit(1 << 40)) * often).where("o is not null")
-    return train([(r["line"], r["lang"]) for r in lines.orderBy("o", "line", "doc_id").limit(LINES).select("line", "lang").collect()])
+    # one row a label is joined; many are left to Spark
+    drawn = own.join(F.broadcast(counts) if number <= MANY else counts, "lang")
+    drawn = drawn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("__often") < DOCS * float(1 << 30))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("line") / PIECE_CHARS) - 1, F.lit(0)))
+    pieces = F.transform(starts, lambda i: F.substring(F.col("line"), (i * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)))
+    lines = drawn.select("doc_id", "lang", "__often", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.explode(pieces)).where("line != ''")
+    lines = lines.withColumn("o", F.pmod(F.xxhash64("doc_id", "line"), F.lit(1 << 40)) * F.col("__often")).select("o", "line", "doc_id", "lang")
+    got = {tuple(r) for r in lines.orderBy("o", "line", "doc_id", "lang").limit(max(LINES, LEAST * number)).collect()}
+    # a label of which the order brought nothing has its first line
+    got |= {tuple(r[0]) for r in lines.groupBy("lang").agg(F.min(F.struct("o", "line", "doc_id", "lang"))).drop("lang").collect()}
+    return train([(line, lang) for _, line, _, lang in sorted(got)])
 
 
 OUT = "doc_id long, lang_pred string, score double, spans array<struct<start:int,len:int,lang:string>>"

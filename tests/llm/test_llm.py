@@ -377,6 +377,22 @@ def test_op3_scores_do_not_depend_on_pieces():
     assert len(v.feature) == sum(1 + 2 * min(max(n - 1, 0), 3) + max(n - 2, 0) for n in {t: len(t) for x in texts for t in x.split()}.values())
 
 
+def test_op3_learns_every_label_and_long_lines(spark):
+    rng = random.Random(12)
+    rows = []
+    for lang in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)]
+        for k in range(4 if lang % 2 else 9):
+            # one line without a break, far longer than a piece
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(500)), f"l{lang:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    known = {r["lang"] for r in docs.where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert set(model.labels) == known and len(known) > 140
+    out = language_id.label(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(F.col("lang").isin(sorted(known)))
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0] > 0.95
+
+
 def test_op3_odd_rows(spark, odd, empty):
     model = language_id.learn(odd)
     out = language_id.label(odd, model).collect()
@@ -398,6 +414,9 @@ def test_op3_marginals_equal_enumeration():
     scores, t = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
     first, size = np.array([0, 4]), np.array([4, 3])
     gamma, moved = language_id.marginals(scores, first, size, t)
+    for block in (1, 2, 3):
+        again, too = language_id.marginals(scores, first, size, t, block)
+        assert np.allclose(gamma, again) and np.allclose(moved, too)
     want, pairs = np.zeros((7, 3)), np.zeros((3, 3))
     for f, n in zip(first, size, strict=True):
         paths = list(product(range(3), repeat=int(n)))
