@@ -1,9 +1,10 @@
 """Text quality from random-indexing word vectors and a two-layer network.
 
-Words and word shapes are hashed to ``UNITS`` units, each with a fixed sparse
-random index vector. A unit's context vector is the sum of the index vectors of
-the words within two places of it, over the whole corpus; a task adds up a
-table of fixed size, so what travels grows with the number of tasks only. A
+Words have ``UNITS`` units and word shapes ``SHAPES`` more, by their hashes, each
+with a fixed sparse random index vector. A unit's context vector is the sum of
+the index vectors of the words within two places of it, over the whole corpus.
+A task sums the units that it meets and Spark adds up these sums by unit; the
+table of all units' vectors, 34 MB whatever the corpus, is broadcast. A
 document is the mean and the spread of its words' vectors.
 
 The network (one hidden layer of tanh) is fitted with NumPy on the driver to
@@ -13,8 +14,10 @@ probabilities.
 
 Defined results: a null or blank text has no words and is scored as such; a
 null doc_id is scored, not learned from; of several labels of a document the
-least counts; without any label all scores are 0.5; an empty table gives an
-empty one; other columns are not read.
+least counts; rows that share an id are learned from each, equal ones once;
+equal texts get equal scores, and a very long text is worked on alone and whole;
+without any label all scores are 0.5; an empty table gives an empty one; other
+columns are passed through, but ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -32,62 +35,78 @@ from .batches import Words, column, slices
 from .tables import fanout, held_out
 from .word_features import shapes
 
-UNITS, SHAPES, DIM, BLOCK = 4096, 1024, 32, 64
+UNITS, SHAPES, DIM = 1 << 18, 1 << 10, 32
 SAMPLE, HIDDEN, EPOCHS = 20_000, 24, 300
 
 
 def index_vectors() -> np.ndarray:
     """A fixed sparse vector of -1, 0 and 1 for each unit."""
-    rng = np.random.default_rng(11)
-    return rng.choice(np.array([-1, 0, 0, 0, 0, 0, 0, 1], np.float32), size=(UNITS, DIM))
+    draw = np.random.default_rng(11).integers(0, 8, size=(UNITS + SHAPES, DIM), dtype=np.int8)
+    return (draw == 0).astype(np.int8) - (draw == 7).astype(np.int8)
 
 
 def units(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The word unit and the shape unit of each word."""
-    return (w.hash % np.uint64(UNITS - SHAPES)).astype(np.int64), (shapes(w) % np.uint64(SHAPES)).astype(np.int64) + (UNITS - SHAPES)
+    return (w.hash % np.uint64(UNITS)).astype(np.int64), (shapes(w) % np.uint64(SHAPES)).astype(np.int64) + UNITS
+
+
+def added(index: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a slice, and of each the sum of the index vectors around it and how often it occurs."""
+    word, shape = units(w)
+    own = index[word].astype(np.float32) + index[shape]
+    around = np.zeros((len(own), DIM + 1), np.float32)
+    around[:, DIM] = 1
+    for k in (1, 2):
+        near = (w.row[k:] == w.row[:-k])[:, None]
+        around[k:, :DIM] += own[:-k] * near
+        around[:-k, :DIM] += own[k:] * near
+    found, sums = [], []
+    for u in (word, shape):
+        order = np.argsort(u, kind="stable")
+        begin = np.flatnonzero(np.diff(u[order], prepend=-1))
+        found.append(u[order][begin])
+        sums.append(np.add.reduceat(around[order], begin, axis=0))
+    return np.concatenate(found), np.concatenate(sums)
 
 
 def contexts(docs: DataFrame) -> np.ndarray:
-    """(UNITS, DIM + 1): summed index vectors around each unit, and how often it occurs."""
+    """(units, DIM + 1): summed index vectors around each unit, and how often it occurs."""
+
+    def packed(found: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(found), 4096):
+            k = found[lo : lo + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array([r.tobytes() for r in table[k]], pa.binary())], ["unit", "sums"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table, any_ = index_vectors(), np.zeros((UNITS, DIM + 1)), False
+        index, table = index_vectors(), np.zeros((UNITS + SHAPES, DIM + 1), np.float32)
         for batch in batches:
             for _, data, off in slices(batch):
                 w = Words(data, off)
-                if not len(w):
-                    continue
-                any_ = True
-                word, shape = units(w)
-                own = index[word] + index[shape]
-                around = np.zeros_like(own)
-                for k in (1, 2):
-                    near = (w.row[k:] == w.row[:-k])[:, None]
-                    around[k:] += own[:-k] * near
-                    around[:-k] += own[k:] * near
-                for u in (word, shape):
-                    for d in range(DIM):
-                        table[:, d] += np.bincount(u, around[:, d], UNITS)
-                    table[:, DIM] += np.bincount(u, minlength=UNITS)
-        if any_:
-            rows = [table[b : b + BLOCK].tobytes() for b in range(0, UNITS, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["block", "sums"])
+                if len(w):
+                    found, sums = added(index, w)
+                    table[found] += sums
+        yield from packed(np.flatnonzero(table[:, DIM]), table)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        table = np.zeros((UNITS + SHAPES, DIM + 1), np.float64)
         for batch in batches:
-            for block, cell in zip(column(batch, "block").to_pylist(), column(batch, "sums"), strict=True):
-                part = np.frombuffer(cell.as_buffer(), "<f8")
-                sums[block] = sums[block] + part if block in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
-
-    kind = "block int, sums binary"
-    # a table of fixed size, UNITS x (DIM + 1) numbers, comes to the driver
-    got = docs.select("text").mapInArrow(add_up, kind).repartition("block").mapInArrow(total, kind).collect()
-    out = np.zeros((UNITS, DIM + 1))
-    for r in got:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["sums"]), "<f8").reshape(BLOCK, DIM + 1)
+            if batch.num_rows:
+                unit = column(batch, "unit").to_numpy()
+                part = np.frombuffer(b"".join(c.as_buffer() for c in column(batch, "sums")), np.float32).reshape(-1, DIM + 1)
+                order = np.argsort(unit, kind="stable")
+                begin = np.flatnonzero(np.diff(unit[order], prepend=-1))
+                table[unit[order][begin]] += np.add.reduceat(part[order].astype(np.float64), begin, axis=0)
+        # counts and sums of the corpus as 32-bit numbers: a share is all that is used of them
+        yield from packed(np.flatnonzero(table[:, DIM]), table.astype(np.float32))
+
+    kind = "unit int, sums binary"
+    parts = docs.select("text").mapInArrow(add_up, kind).repartition(fanout(docs, 0.25), "unit").mapInArrow(total, kind)
+    out = np.zeros((UNITS + SHAPES, DIM + 1), np.float32)
+    # a table of fixed size comes to the driver
+    got = parts.toArrow()
+    for batch in got.to_batches():
+        if batch.num_rows:
+            out[column(batch, "unit").to_numpy()] = np.frombuffer(b"".join(c.as_buffer() for c in column(batch, "sums")), np.float32).reshape(-1, DIM + 1)
     return out
 
 
@@ -95,7 +114,7 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
     """Context vectors a word, without what all have in common, of length 1."""
     often = table[:, DIM:]
     v = table[:, :DIM] / np.maximum(often, 1)
-    v = v - (v * often).sum(axis=0) / max(often.sum(), 1)
+    v = v - (v * often).sum(axis=0, dtype=np.float64).astype(np.float32) / max(float(often.sum(dtype=np.float64)), 1)
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * (often > 0)).astype(np.float32)
 
 
@@ -158,16 +177,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def features(docs: DataFrame, vectors, label: str | None = None) -> DataFrame:
-    """(label, x): pooled vectors as bytes of doubles."""
+def features(docs: DataFrame, vectors, label: str) -> DataFrame:
+    """(id, label, x): pooled vectors as bytes of doubles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch):
                 x = pooled(vectors.value, Words(data, off), rows.num_rows)
-                yield pa.RecordBatch.from_arrays([column(rows, "label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([column(rows, "id"), column(rows, "label"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
-    return docs.select("text", F.col(label).cast("int").alias("label")).mapInArrow(work, "label int, x binary")
+    return docs.select("text", F.col("__id").alias("id"), F.col(label).cast("int").alias("label")).mapInArrow(work, "id long, label int, x binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network | None]:
@@ -181,7 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network | Non
     picked = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 30)) < share
     sample = docs.where(F.col("doc_id").isNotNull()).where(picked("doc_id")).select(F.col("doc_id").cast("long").alias("__id"), "text").join(told.where(picked("__id")), "__id")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    got = features(sample.repartition(fanout(docs, 0.5)), shared, "__label").limit(2 * SAMPLE).collect()
+    # repeated ids may make it more than the sample; equal rows are one, and an order of hashes decides
+    known = features(sample.repartition(fanout(docs, 0.5)), shared, "__label").distinct()
+    got = known.orderBy(F.xxhash64("id", "x"), "id", "x", "label").limit(2 * SAMPLE).collect()
     if not got:
         return vectors, None
     x = np.stack([np.frombuffer(bytes(r["x"]), "<f8") for r in got])

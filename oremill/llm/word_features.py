@@ -48,12 +48,14 @@ def shapes(w: Words) -> np.ndarray:
     """Hash of each word's classes of bytes, runs of one class taken as one."""
     if not len(w):
         return np.zeros(0, np.uint64)
-    word = np.repeat(np.arange(len(w)), w.length)
-    at = np.repeat(w.start, w.length) + np.arange(len(word)) - np.repeat(np.cumsum(w.length) - w.length, w.length)
+    _, which, of = np.unique(w.hash, return_index=True, return_inverse=True)
+    length = w.length[which]
+    word = np.repeat(np.arange(len(which)), length)
+    at = np.repeat(w.start[which] - np.cumsum(length) + length, length) + np.arange(len(word))
     c = SHAPE[w.data[at]]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (word[1:] != word[:-1])
     c, word = c[new], word[new]
-    begin = np.searchsorted(word, np.arange(len(w)))
+    begin = np.searchsorted(word, np.arange(len(which)))
     k = np.arange(len(c)) - begin[word]
-    return spread(np.add.reduceat(BYTE[c] * MULT[400 + (k & 1023)], begin))
+    return spread(np.add.reduceat(BYTE[c] * MULT[400 + (k & 1023)], begin))[of]
