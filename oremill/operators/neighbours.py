@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oremill.functions.columns import distance, hash_order
 
-from .ranking import k_sweep_running_mean
+from .ranking import distributed_rank, k_sweep_running_mean
 
 METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski")
 
@@ -61,8 +61,10 @@ def knn_join(queries: DataFrame, train: DataFrame, ident: str, feats: Sequence[s
         ts = ts.sort_values("id", kind="stable")
         x, ids, out = np.stack(ts["x"].to_numpy()), ts["id"].to_numpy(), []
         take = min(k, len(ts))
-        for at in range(0, len(qs), 256):
-            part = qs.iloc[at : at + 256]
+        # query rows taken together, so that their gaps to all train rows stay within about 64 MB
+        step = max(1, min(256, (8 << 20) // max(1, x.size)))
+        for at in range(0, len(qs), step):
+            part = qs.iloc[at : at + step]
             y = np.stack(part["x"].to_numpy())
             for metric in metrics:
                 d = _distances(y, x, metric, p)
@@ -107,10 +109,10 @@ def knn_classify(queries: DataFrame, train: DataFrame, ident: str, feats: Sequen
 
 def knn_grid_accuracy(df: DataFrame, ident: str, feats: Sequence[str], label: str, trials: int, ks: Sequence[int], metrics: Sequence[str], p_train: float = 0.75) -> DataFrame:
     """(metric, k, accuracy) over repeated splits; the trial is a key of one job."""
-    t = df.crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial")))
-    w = Window.partitionBy("trial").orderBy(hash_order(F.col("trial").cast("string"), F.col(ident)), ident)
-    t = t.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy("trial")))
-    in_train = F.col("__r") <= F.bround(F.col("__n") * p_train)
+    t = df.crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
+    t = distributed_rank(t.withColumn("__h", hash_order(F.col("trial").cast("string"), F.col(ident))), ["trial", "__h", ident], "__r")
+    # the rank counts all trials, and each has the same rows
+    in_train = F.col("__r") - F.col("trial") * F.col("__n") <= F.bround(F.col("__n") * p_train)
     near = knn_join(t.where(~in_train), t.where(in_train), ident, feats, max(ks), metrics, by=("trial",), carry=(label,))
     pred = votes(near, label, ks, ["trial", "metric"])
     truth = df.select(F.col(ident).alias("qid"), F.col(label).alias("__y"))

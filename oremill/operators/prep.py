@@ -33,9 +33,10 @@ def split_hash(df: DataFrame, ident: str, seed: int = 42, p_train: float = 0.65,
 
 def split_trials(df: DataFrame, ident: str, trials: int, p_train: float, p_val: float) -> DataFrame:
     """(trial, id, split) of train and val rows, exact sizes in each trial."""
-    t = df.select(ident).crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial")))
-    w = Window.partitionBy("trial").orderBy(hash_order(F.col("trial").cast("string"), F.col(ident)), ident)
-    t = t.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy("trial")))
+    t = df.select(ident).crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
+    t = distributed_rank(t.withColumn("__h", hash_order(F.col("trial").cast("string"), F.col(ident))), ["trial", "__h", ident], "__r")
+    # the rank counts all trials, and each has the same rows
+    t = t.withColumn("__r", F.col("__r") - F.col("trial") * F.col("__n"))
     return t.withColumn("split", _name(F.col("__r"), F.col("__n"), p_train, p_val)).where("split != 'test'").select("trial", ident, "split")
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import running_split_gain
+from .ranking import checkpointed, running_split_gain
 
 NODES = "node_id long, is_leaf boolean, value double, feat string, thr double, n long"
 
@@ -69,8 +69,8 @@ def _frame(nodes: dict[int, dict]) -> pd.DataFrame:
 def tree_fit_regression(df: DataFrame, feats: Sequence[str], y: str, max_depth: int = 10, min_leaf: int = 5) -> DataFrame:
     """CART: the node table. A node is a leaf at the depth's end, with too few rows, or with no error left."""
     own = df.select(*feats, F.col(y).cast("double").alias("__y")).dropna()
-    if max_depth > 12:
-        own = own.persist()
+    # every level reads these rows
+    own = checkpointed(own)
     nodes: dict[int, dict] = {}
     opened = {1}
     for depth in range(max_depth + 1):

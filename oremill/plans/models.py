@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from oremill.functions.columns import distance
 from oremill.operators import cluster, evaluate, image, linear, neighbours, profile, sequence, tree
 from oremill.operators.prep import minmax_fit_apply, region_relabel, split_hash, zscore_fit_apply
-from oremill.operators.ranking import k_sweep_running_mean
+from oremill.operators.ranking import checkpointed, k_sweep_running_mean
 
 from .base import L, listings, query, rounded, table, train_rows
 
 S = SparkSession
 FEATS = ["items", "qty", "disc", "tax"]
-#: A vector small enough for plain SQL: the first four components.
-E4 = ["x1", "x2", "x3", "x4"]
+#: The components of a vector.
+DIM = 64
+EACH = [f"x{i + 1}" for i in range(DIM)]
 
 
-def vectors(spark: S, d: str, n: int = 4) -> DataFrame:
+def vectors(spark: S, d: str, n: int = DIM) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(n)])
 
 
-V = "V AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i}]::DOUBLE AS x{i}" for i in range(1, 5)) + " FROM embeddings)"
+V = "V AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i}]::DOUBLE AS x{i}" for i in range(1, DIM + 1)) + " FROM embeddings)"
 Q = V + ", Q AS (SELECT * FROM V WHERE id % 5 = 0), T AS (SELECT * FROM V WHERE id % 5 <> 0)"
 
 
@@ -32,11 +33,11 @@ def queries_and_train(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sq(a: str, b: str) -> str:
-    return " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(1, 5))
+    return " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(1, DIM + 1))
 
 
 def dist(metric: str, a: str, b: str) -> str:
-    gaps = [f"abs({a}.x{i} - {b}.x{i})" for i in range(1, 5)]
+    gaps = [f"abs({a}.x{i} - {b}.x{i})" for i in range(1, DIM + 1)]
     return {"euclidean": f"sqrt({sq(a, b)})", "manhattan": " + ".join(gaps), "chebyshev": f"greatest({', '.join(gaps)})", "minkowski": "pow(" + " + ".join(f"pow({g}, 3)" for g in gaps) + ", 1 / 3.0::DOUBLE)"}[metric]
 
 
@@ -48,20 +49,23 @@ def constant_baseline(spark: S, d: str) -> DataFrame:
     return rounded(linear.constant_baseline(listings(spark, d), "price", train_rows()).where("split != 'train'").select("id", "pred"), pred=3)
 
 
-SUMS = """, x AS (SELECT id, split, items::DOUBLE AS x1, qty::DOUBLE AS x2, price AS y FROM L),
-s AS (SELECT count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM x WHERE split = 'train'),
+#: The operators' ridge, on the whole diagonal, for two features x1 and x2 made by the given expressions.
+SUMS = """, m AS (SELECT min(items) AS l1, max(items) - min(items) AS r1, min(qty) AS l2, max(qty) - min(qty) AS r2 FROM L WHERE split = 'train'),
+x AS (SELECT id, split, (%s)::DOUBLE AS x1, (%s)::DOUBLE AS x2, price AS y FROM L, m),
+s AS (SELECT count(*) + 1e-6::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) + 1e-6::DOUBLE AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) + 1e-6::DOUBLE AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM x WHERE split = 'train'),
 c AS (SELECT *, s11 - s1 * s1 / n AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n AS c22, s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y FROM s),
-w AS (SELECT (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2, * FROM c)
+b AS (SELECT (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2, * FROM c),
+w AS (SELECT b1, b2, (sy - b1 * s1 - b2 * s2) / n AS b0 FROM b)
 """
 
 
-@query(f"{L} {SUMS} SELECT id, round((sy - b1 * s1 - b2 * s2) / n + b1 * x1 + b2 * x2, 1) AS pred FROM x, w WHERE split = 'test'")
+@query(f"{L} {SUMS % ('items', 'qty')} SELECT id, round(b0 + b1 * x1 + b2 * x2, 1) AS pred FROM x, w WHERE split = 'test'")
 def linear_fit_predict(spark: S, d: str) -> DataFrame:
     _, pred = linear.linear_fit_predict(listings(spark, d), ["items", "qty"], "price", train_rows())
     return rounded(pred.where("split = 'test'").select("id", "pred"), pred=1)
 
 
-@query(f"{L} {SUMS}, m AS (SELECT min(x1) AS l1, max(x1) - min(x1) AS r1, min(x2) AS l2, max(x2) - min(x2) AS r2 FROM x WHERE split = 'train') SELECT feature, round(weight, 1) AS weight FROM (SELECT 'items' AS feature, b1 * r1 AS weight FROM w, m UNION ALL SELECT 'qty', b2 * r2 FROM w, m UNION ALL SELECT 'intercept', (sy - b1 * s1 - b2 * s2) / n + b1 * l1 + b2 * l2 FROM w, m)")
+@query(f"{L} {SUMS % ('(items - l1) / r1::DOUBLE', '(qty - l2) / r2::DOUBLE')} SELECT feature, round(weight, 1) AS weight FROM (SELECT 'items' AS feature, b1 AS weight FROM w UNION ALL SELECT 'qty', b2 FROM w UNION ALL SELECT 'intercept', b0 FROM w)")
 def linear_minmax(spark: S, d: str) -> DataFrame:
     x = listings(spark, d).withColumns({"items": F.col("items").cast("double")})
     return rounded(linear.linear_minmax(x, ["items", "qty"], "price", train_rows())[0], weight=1)
@@ -88,22 +92,11 @@ def predict_and_sse(spark: S, d: str) -> DataFrame:
 # Nearest neighbours
 
 
-@query(f"WITH {V} SELECT a.id AS a, b.id AS b, round({dist('manhattan', 'a', 'b')}, 6) AS d FROM V a JOIN V b ON a.id < b.id WHERE a.id < 40 AND b.id < 40", name="distance_expr")
+@query(f"WITH {V} SELECT a.id AS id, c.id AS center, round({dist('manhattan', 'a', 'c')}, 6) AS d FROM V a, V c WHERE c.id < 5", name="distance_expr")
 def distances(spark: S, d: str) -> DataFrame:
-    v = vectors(spark, d).where("id < 40")
-    a, b = v.alias("a"), v.alias("b")
-    gap = distance([F.col(f"a.{c}") for c in E4], [F.col(f"b.{c}") for c in E4], "manhattan")
-    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(gap, 6).alias("d"))
-
-
-WHOLE_GAP = " + ".join(f"abs(a.embedding[{i}]::DOUBLE - c.embedding[{i}]::DOUBLE)" for i in range(1, 65))
-
-
-@query(f"SELECT a.vec_id AS id, c.vec_id AS center, round({WHOLE_GAP}, 6) AS d FROM embeddings a, embeddings c WHERE c.vec_id < 5")
-def distance_expr_whole(spark: S, d: str) -> DataFrame:
     """Every vector, by all its components, to five of them as centers."""
-    v, names = vectors(spark, d, 64), [f"x{i}" for i in range(1, 65)]
-    gap = distance([F.col(f"a.{c}") for c in names], [F.col(f"c.{c}") for c in names], "manhattan")
+    v = vectors(spark, d)
+    gap = distance([F.col(f"a.{c}") for c in EACH], [F.col(f"c.{c}") for c in EACH], "manhattan")
     return v.alias("a").crossJoin(F.broadcast(v.where("id < 5")).alias("c")).select(F.col("a.id").alias("id"), F.col("c.id").alias("center"), F.round(gap, 6).alias("d"))
 
 
@@ -115,7 +108,7 @@ def pairwise_distance(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {Q} SELECT 'euclidean' AS metric, Q.id AS qid, T.id AS tid, round({dist('euclidean', 'Q', 'T')}, 6) AS d, CAST(row_number() OVER (PARTITION BY Q.id ORDER BY {dist('euclidean', 'Q', 'T')}, T.id) AS INTEGER) AS rank FROM Q, T QUALIFY rank <= 5")
 def knn_join(spark: S, d: str) -> DataFrame:
-    return rounded(neighbours.knn_join(*queries_and_train(spark, d), "id", E4, 5), d=6)
+    return rounded(neighbours.knn_join(*queries_and_train(spark, d), "id", EACH, 5), d=6)
 
 
 NEAR = f"WITH {Q}, N AS (SELECT Q.id AS qid, T.x1 + T.x2 AS y, T.label, row_number() OVER (PARTITION BY Q.id ORDER BY {dist('euclidean', 'Q', 'T')}, T.id) AS rank FROM Q, T)"
@@ -124,19 +117,19 @@ NEAR = f"WITH {Q}, N AS (SELECT Q.id AS qid, T.x1 + T.x2 AS y, T.label, row_numb
 @query(NEAR + " SELECT qid, round(avg(y), 5) AS pred FROM N WHERE rank <= 15 GROUP BY 1")
 def knn_regress(spark: S, d: str) -> DataFrame:
     q, t = queries_and_train(spark, d)
-    return rounded(neighbours.knn_regress(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", E4, "y", 15), pred=5)
+    return rounded(neighbours.knn_regress(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", EACH, "y", 15), pred=5)
 
 
 @query(NEAR + ", A AS (SELECT qid, rank, avg(y) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS m FROM N) SELECT qid, CAST(rank AS INTEGER) AS k, round(m, 5) AS pred FROM A WHERE rank IN (3, 5, 10, 20)", name="knn_k_sweep")
 def k_sweep(spark: S, d: str) -> DataFrame:
     q, t = queries_and_train(spark, d)
-    return rounded(neighbours.knn_k_sweep(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", E4, "y", [3, 5, 10, 20]), pred=5)
+    return rounded(neighbours.knn_k_sweep(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", EACH, "y", [3, 5, 10, 20]), pred=5)
 
 
 @query(NEAR + ", A AS (SELECT qid, rank, avg(y) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS m FROM N WHERE rank <= 50) SELECT qid, CAST(rank AS INTEGER) AS k, round(m, 5) AS pred FROM A WHERE rank IN (1, 7, 50)", name="k_sweep_running_mean")
 def running_mean(spark: S, d: str) -> DataFrame:
     q, t = queries_and_train(spark, d)
-    near = neighbours.knn_join(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", E4, 50, carry=("y",))
+    near = neighbours.knn_join(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", EACH, 50, carry=("y",))
     return rounded(k_sweep_running_mean(near, "y", [1, 7, 50]), pred=5)
 
 
@@ -146,27 +139,34 @@ SWEEP = " UNION ALL ".join(f"SELECT '{m}' AS metric, Q.id AS qid, T.x1 + T.x2 AS
 @query(f"WITH {Q}, N AS ({SWEEP}), A AS (SELECT metric, qid, rank, avg(y) OVER (PARTITION BY metric, qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS m FROM N) SELECT metric, CAST(rank AS INTEGER) AS k, count(*) AS n, round(avg(m), 4) AS mean_pred FROM A WHERE rank IN (1, 3, 5, 15) GROUP BY 1, 2")
 def knn_metric_sweep(spark: S, d: str) -> DataFrame:
     q, t = queries_and_train(spark, d)
-    p = neighbours.knn_metric_sweep(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", E4, "y", neighbours.METRICS, [1, 3, 5, 15])
+    p = neighbours.knn_metric_sweep(q, t.withColumn("y", F.col("x1") + F.col("x2")), "id", EACH, "y", neighbours.METRICS, [1, 3, 5, 15])
     return p.groupBy("metric", "k").agg(F.count("*").alias("n"), F.round(F.avg("pred"), 4).alias("mean_pred"))
 
 
 @query(NEAR + ", C AS (SELECT qid, label, count(*) AS c FROM N WHERE rank <= 9 GROUP BY 1, 2) SELECT qid, label AS pred FROM C QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) = 1")
 def knn_classify(spark: S, d: str) -> DataFrame:
-    return neighbours.knn_classify(*queries_and_train(spark, d), "id", E4, "label", 9)
+    return neighbours.knn_classify(*queries_and_train(spark, d), "id", EACH, "label", 9)
 
 
-@query()
+GRID = " UNION ALL ".join(f"SELECT '{m}' AS metric, a.trial, a.id AS qid, a.label AS y, b.label, row_number() OVER (PARTITION BY a.trial, a.id ORDER BY {dist(m, 'a', 'b')}, b.id) AS rank FROM s a JOIN s b ON a.trial = b.trial AND NOT a.train AND b.train" for m in ("euclidean", "manhattan"))
+
+
+@query(f"""WITH {V}, o AS (SELECT V.*, t AS trial, row_number() OVER (PARTITION BY t ORDER BY md5(t || ':' || id), id) AS r, count(*) OVER (PARTITION BY t) AS n FROM V, range(10) z(t)),
+       s AS (SELECT *, r <= round_even(n * 0.75, 0) AS train FROM o), N AS ({GRID}),
+       c AS (SELECT metric, trial, qid, y, k, label, count(*) AS c FROM N, (SELECT unnest([1, 3, 5]) AS k) WHERE rank <= k GROUP BY ALL),
+       p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY metric, trial, qid, k ORDER BY c DESC, label) = 1),
+       a AS (SELECT metric, trial, k, avg((label = y)::INT) AS a FROM p GROUP BY ALL) SELECT metric, k, round(avg(a), 6) AS accuracy FROM a GROUP BY 1, 2""")
 def knn_grid_accuracy(spark: S, d: str) -> DataFrame:
-    return rounded(neighbours.knn_grid_accuracy(vectors(spark, d), "id", E4, "label", 3, [1, 3, 5], ["euclidean", "manhattan"]), accuracy=6)
+    return rounded(neighbours.knn_grid_accuracy(vectors(spark, d), "id", EACH, "label", 10, [1, 3, 5], ["euclidean", "manhattan"]), accuracy=6)
 
 
 @query()
 def repeated_cv(spark: S, d: str) -> DataFrame:
     """Shuffle cross-validation of neighbours over metrics and k, the trial as a key; then the best k."""
-    t = vectors(spark, d).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("trial"))).withColumn("y", F.col("x1") + F.col("x2"))
+    t = vectors(spark, d).crossJoin(spark.range(10).select(F.col("id").cast("int").alias("trial"))).withColumn("y", F.col("x1") + F.col("x2"))
     t = split_hash(t.withColumn("key", F.concat_ws("-", "trial", "id")), "key")
-    t = minmax_fit_apply(t.withColumn("f1", F.col("x1")).withColumn("f2", F.col("x2")), ["f1", "f2"], train_rows(), ["trial"])
-    p = neighbours.knn_metric_sweep(t.where("split = 'val'"), t.where(train_rows()), "id", ["f1", "f2"], "y", neighbours.METRICS, [1, 5, 15], ["trial"])
+    t = minmax_fit_apply(t, EACH, train_rows(), ["trial"])
+    p = neighbours.knn_metric_sweep(t.where("split = 'val'"), t.where(train_rows()), "id", EACH, "y", neighbours.METRICS, [1, 5, 15], ["trial"])
     truth = t.select("trial", F.col("id").alias("qid"), "y")
     m = p.join(truth, ["trial", "qid"]).groupBy("trial", "metric", "k").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
     return rounded(profile.cv_best_param(m), median=6)
@@ -232,8 +232,8 @@ def best_split_entropy(spark: S, d: str) -> DataFrame:
 @query()
 def tree_fit_entropy(spark: S, d: str) -> DataFrame:
     x = vectors(spark, d)
-    nodes = tree.tree_fit_entropy(x, E4, "label", 4, 0.001)
-    return evaluate.accuracy(tree.tree_classify(x, nodes, E4), "label", "pred")
+    nodes = tree.tree_fit_entropy(x, EACH, "label", 4, 0.001)
+    return evaluate.accuracy(tree.tree_classify(x, nodes, EACH), "label", "pred")
 
 
 ATTRS = """WITH x AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(l_linenumber % 3 AS VARCHAR) AS line, l_returnflag AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -261,50 +261,50 @@ def id3_fit(spark: S, d: str) -> DataFrame:
 
 # Clusters
 
-CENTERS = "C AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, x1, x2, x3, x4 FROM V WHERE id < 4)"
+CENTERS = f"C AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, {', '.join(EACH)} FROM V WHERE id < 4)"
 ASSIGN = f"A AS (SELECT V.*, C.cluster, {sq('V', 'C')} AS d2 FROM V, C QUALIFY row_number() OVER (PARTITION BY V.id ORDER BY {sq('V', 'C')}, C.cluster) = 1)"
 
 
 def centers(spark: S, d: str) -> DataFrame:
-    return vectors(spark, d).where("id < 4").select(F.col("id").cast("int").alias("cluster"), F.array(*E4).alias("center"))
+    return vectors(spark, d).where("id < 4").select(F.col("id").cast("int").alias("cluster"), F.array(*EACH).alias("center"))
 
 
 @query(f"WITH {V}, {CENTERS}, {ASSIGN} SELECT id, cluster, round(d2, 6) AS d2 FROM A")
 def kmeans_assign(spark: S, d: str) -> DataFrame:
-    return rounded(cluster.kmeans_assign(vectors(spark, d), centers(spark, d), E4).select("id", "cluster", "d2"), d2=6)
+    return rounded(cluster.kmeans_assign(vectors(spark, d), centers(spark, d), EACH).select("id", "cluster", "d2"), d2=6)
 
 
-@query(f"WITH {V}, {CENTERS}, {ASSIGN} SELECT cluster, round(avg(x1), 6) AS c1, round(avg(x2), 6) AS c2, round(avg(x3), 6) AS c3, round(avg(x4), 6) AS c4 FROM A GROUP BY 1")
+@query(f"WITH {V}, {CENTERS}, {ASSIGN} SELECT cluster, {', '.join(f'round(avg({c}), 6) AS c{c[1:]}' for c in EACH)} FROM A GROUP BY 1")
 def kmeans_step(spark: S, d: str) -> DataFrame:
-    s = cluster.kmeans_step(vectors(spark, d), centers(spark, d), E4)
-    return s.select("cluster", *[F.round(F.col("center")[i], 6).alias(f"c{i + 1}") for i in range(4)])
+    s = cluster.kmeans_step(vectors(spark, d), centers(spark, d), EACH)
+    return s.select("cluster", *[F.round(F.col("center")[i], 6).alias(f"c{i + 1}") for i in range(DIM)])
 
 
 @query(f"WITH {V}, {CENTERS}, {ASSIGN} SELECT round(sum(d2), 4) AS wcss FROM A")
 def kmeans_wcss(spark: S, d: str) -> DataFrame:
-    return rounded(cluster.kmeans_wcss(vectors(spark, d), centers(spark, d), E4), wcss=4)
+    return rounded(cluster.kmeans_wcss(vectors(spark, d), centers(spark, d), EACH), wcss=4)
 
 
 @query()
 def kmeans_fit(spark: S, d: str) -> DataFrame:
-    rows, _, _ = cluster.kmeans_fit(vectors(spark, d), E4, 4, 30)
+    rows, _, _ = cluster.kmeans_fit(vectors(spark, d), EACH, 4)
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("d2"), 3).alias("wcss"))
 
 
 @query()
 def kmeans_best_of_restarts(spark: S, d: str) -> DataFrame:
-    table_, cost = cluster.kmeans_best_of_restarts(vectors(spark, d), E4, 3, 5, max_iter=15)
+    table_, cost = cluster.kmeans_best_of_restarts(vectors(spark, d), EACH, 3)
     return table_.withColumn("wcss", F.round(F.lit(cost), 3))
 
 
 @query()
 def kmeans_k_sweep(spark: S, d: str) -> DataFrame:
-    return rounded(cluster.kmeans_k_sweep(vectors(spark, d), E4, range(1, 6), 3, max_iter=15), wcss=3)
+    return rounded(cluster.kmeans_k_sweep(vectors(spark, d), EACH, range(1, 6)), wcss=3)
 
 
 @query()
 def kmeans_ml(spark: S, d: str) -> DataFrame:
-    return cluster.kmeans_ml(vectors(spark, d), E4, 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    return cluster.kmeans_ml(vectors(spark, d), EACH, 3).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -352,11 +352,15 @@ def cut_wcss(spark: S, d: str) -> DataFrame:
     return rounded(cluster.cut_wcss(cuts.join(numbered, ["seg", "i"]), ["price", "qty"], ["seg", "k"]), wcss=5)
 
 
-@query("""WITH w AS (SELECT k, 1000.0::DOUBLE / k + (SELECT count(*) FROM part) * 0.0 AS wcss FROM range(1, 11) r(k)) SELECT CAST(k AS BIGINT) AS k FROM w, (SELECT max(wcss) AS w0, min(wcss) AS w1 FROM w)
-          ORDER BY round(abs((w1 - w0) * (k - 1) - 9 * (wcss - w0)) / sqrt(81 + (w1 - w0) * (w1 - w0)), 9) DESC, k LIMIT 1""")
+@query("""WITH c AS (SELECT k, floor((p_size - 1) * k / 50) AS bin, p_retailprice AS y FROM part, range(1, 11) r(k)),
+          w AS (SELECT k, sum(e) AS wcss FROM (SELECT k, (var_pop(y) * count(*))::DOUBLE AS e FROM c GROUP BY k, bin) GROUP BY k),
+          e AS (SELECT min_by(wcss, k) AS w0, max_by(wcss, k) AS w1 FROM w)
+          SELECT CAST(k AS BIGINT) AS k FROM w, e ORDER BY round(abs((w1 - w0) * (k - 1) - 9 * (wcss - w0)) / sqrt(81 + (w1 - w0) * (w1 - w0)), 9) DESC, k LIMIT 1""")
 def elbow_k(spark: S, d: str) -> DataFrame:
-    n = table(spark, d, "part").agg((F.count("*") * 0.0).alias("z"))
-    return cluster.elbow_k(spark.range(1, 11).withColumnRenamed("id", "k").crossJoin(n).select("k", (1000.0 / F.col("k") + F.col("z")).alias("wcss")))
+    """Parts in 1 to 10 groups by size: how many, by the fall of the squared error of their prices."""
+    c = table(spark, d, "part").select(F.col("p_retailprice").alias("y"), "p_size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("k"))
+    e = c.groupBy("k", F.floor((F.col("p_size") - 1) * F.col("k") / 50).alias("bin")).agg((F.var_pop("y") * F.count("*")).alias("e"))
+    return cluster.elbow_k(e.groupBy("k").agg(F.sum("e").alias("wcss")))
 
 
 @query("SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_nationkey * 7 % 25) - 1 AS INTEGER) AS label FROM customer")
@@ -367,19 +371,11 @@ def cluster_labels(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {V}, {CENTERS}, {ASSIGN}, k AS (SELECT cluster, label, count(*) AS n FROM A GROUP BY 1, 2) SELECT round(sum(m) / sum(t), 8) AS purity FROM (SELECT cluster, max(n) AS m, sum(n) AS t FROM k GROUP BY 1)")
 def purity(spark: S, d: str) -> DataFrame:
-    return rounded(cluster.purity(cluster.kmeans_assign(vectors(spark, d), centers(spark, d), E4), "cluster", "label"), purity=8)
-
-
-@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, (p_partkey % 97)::DOUBLE AS y FROM part WHERE p_partkey % 5 = 0),
-          e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4),
-          r AS (SELECT id AS a, id AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS component FROM r GROUP BY 1""")
-def single_link_cut(spark: S, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
-    return cluster.single_link_cut(p, "id", ["x", "y"], 2.0)
+    return rounded(cluster.purity(cluster.kmeans_assign(vectors(spark, d), centers(spark, d), EACH), "cluster", "label"), purity=8)
 
 
 @query()
-def single_link_cut_whole(spark: S, d: str) -> DataFrame:
+def single_link_cut(spark: S, d: str) -> DataFrame:
     """All parts; SQL would join all pairs, so a test holds it against brute force."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
     return cluster.single_link_cut(p, "id", ["x", "y"], 2.0)
@@ -484,6 +480,80 @@ def pictures(spark: S, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), rgb.alias("rgb"))
 
 
+#: Pictures in SQL: a row per pixel with its channels and its grey.
+PIX = """WITH e AS (SELECT vec_id AS image_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS v FROM embeddings),
+c AS (SELECT image_id, p // 8 AS y, p % 8 AS x, least(greatest((v + 0.5) * 255, 0), 255)::DOUBLE AS r, least(greatest((v * 0.5 + 0.5) * 255, 0), 255)::DOUBLE AS g, least(greatest((0.5 - v) * 255, 0), 255)::DOUBLE AS b FROM e),
+px AS (SELECT *, r * 0.299::FLOAT::DOUBLE + g * 0.587::FLOAT::DOUBLE + b * 0.114::FLOAT::DOUBLE AS gray, greatest(r, g, b) AS top, least(r, g, b) AS low FROM c)"""
+
+
+def edges_sql(name: str, rows: str, first: str, height: int) -> str:
+    """(image_id, v): mean size of the Sobel gradient over ``height`` rows of pixels from ``first``."""
+    return f"""{name}f AS (SELECT a.image_id, a.y, a.x, sum(n.gray * (n.x - a.x) * CASE WHEN n.y = a.y THEN 2 ELSE 1 END) AS gx, sum(n.gray * (n.y - a.y) * CASE WHEN n.x = a.x THEN 2 ELSE 1 END) AS gy
+ FROM {rows} a JOIN {rows} n ON a.image_id = n.image_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1 WHERE a.y BETWEEN {first} + 1 AND {first} + {height} - 2 AND n.y BETWEEN {first} AND {first} + {height} - 1 AND a.x BETWEEN 1 AND 6 GROUP BY 1, 2, 3),
+{name} AS (SELECT image_id, sum(sqrt(gx * gx + gy * gy)) / ({height} * 8.0) AS v FROM {name}f GROUP BY 1)"""
+
+
+def kernel(spark: S, d: str, names: list[str], f, places: int = 3) -> DataFrame:
+    out = image.pixel_kernel(pictures(spark, d), names, f)
+    return rounded(out, **{c: places for c in names})
+
+
+@query(f"{PIX}, {edges_sql('ed', 'px', '0', 8)} SELECT image_id, round(avg(r), 3) AS mean_r, round(avg(g), 3) AS mean_g, round(avg(b), 3) AS mean_b, round(avg(gray), 3) AS brightness, round(stddev_pop(gray), 3) AS contrast, round(any_value(v), 3) AS edge_density FROM px JOIN ed USING (image_id) GROUP BY 1")
+def color_stats(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, image.BASIC[:6], image.color_stats)
+
+
+@query(f"{PIX}, {edges_sql('ed', 'px', '0', 8)} SELECT image_id, round(v, 3) AS edge_density FROM ed")
+def edge_density(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, ["edge_density"], lambda a: [image.edge_density(image.gray_of(a))])
+
+
+@query(f"{PIX} SELECT image_id, " + ", ".join(f"round(avg(({c} >= {64 * i} AND {c} {'<' if i < 3 else '<='} {64 * (i + 1)})::INT), 6) AS hist_{c}_{i}" for c in "rgb" for i in range(4)) + " FROM px GROUP BY 1")
+def channel_hist(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, image.BASIC[6:], image.channel_hist, 6)
+
+
+@query(f"""{PIX}, {edges_sql('et', 'px', '0', 2)}, {edges_sql('eb', 'px', '6', 2)} SELECT image_id, round(avg(gray) FILTER (y < 2), 3) AS sky_brightness, round(avg(b) FILTER (y < 2) / (avg(r) FILTER (y < 2) + 1e-6::DOUBLE), 3) AS sky_blue_ratio,
+       round(avg((g > r + 8 AND g > b + 8)::INT), 3) AS green_fraction, round(avg((top - low) / (top + 1e-6::DOUBLE)), 3) AS saturation_mean, round((avg(r * r) + avg(g * g) + avg(b * b)) / 3 - power((avg(r) + avg(g) + avg(b)) / 3, 2), 3) AS pixel_variance,
+       round(avg((gray < 80)::INT) FILTER (y BETWEEN 2 AND 4 AND x BETWEEN 2 AND 4), 3) AS center_dark_ratio, round(coalesce(any_value(et.v), 0), 3) AS edge_top, round(coalesce(any_value(eb.v), 0), 3) AS edge_bottom
+       FROM px LEFT JOIN et USING (image_id) LEFT JOIN eb USING (image_id) GROUP BY 1""")
+def region_stats(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, image.REGIONS, image.region_stats)
+
+
+@query(f"{PIX} SELECT image_id, sqrt(count(*)) AS side, round(avg(r), 3) AS mean_r, round(avg(g), 3) AS mean_g, round(avg(b), 3) AS mean_b FROM px WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY 1")
+def center_crop(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, ["side", "mean_r", "mean_g", "mean_b"], lambda a: [image.center_crop(a).shape[0], *image.center_crop(a).mean(axis=(0, 1))])
+
+
+@query(f"{PIX}, f AS (SELECT image_id, 128 / greatest(avg(gray), 1e-6) AS f FROM px GROUP BY 1) SELECT image_id, round(avg(least(greatest(r * f, 0), 255)), 2) AS mean_r, round(avg(least(greatest(g * f, 0), 255)), 2) AS mean_g, round(avg(least(greatest(b * f, 0), 255)), 2) AS mean_b FROM px JOIN f USING (image_id) GROUP BY 1")
+def brightness_normalize(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, ["mean_r", "mean_g", "mean_b"], lambda a: image.brightness_normalize(a).mean(axis=(0, 1)), 2)
+
+
+@query(f"""{PIX}, h AS (SELECT image_id, top, top - low AS span, CASE WHEN top = low THEN 0 WHEN top = b THEN (r - g) / (top - low) + 4 WHEN top = g THEN (b - r) / (top - low) + 2 ELSE (g - b) / (top - low) + CASE WHEN g < b THEN 6 ELSE 0 END END / 6 AS hue FROM px)
+       SELECT image_id, round(avg(hue % 1.0), 4) AS hue_mean, round(stddev_pop(hue % 1.0), 4) AS hue_std, round(avg(CASE WHEN top > 0 THEN span / top ELSE 0 END), 4) AS sat_mean, round(avg(top / 255), 4) AS val_mean FROM h GROUP BY 1""")
+def hsv_stats(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, image.HSV, image.hsv_stats, 4)
+
+
+@query(f"""{PIX}, w AS (SELECT i, j, z / sum(z) OVER (PARTITION BY i) AS z FROM (SELECT i, j, greatest(0, 1 - abs(j + 0.5 - (i + 0.5) * 2) / 2)::DOUBLE AS z FROM range(4) a(i), range(8) b(j)))
+       SELECT image_id, v.i * 4 + h.i AS cell, round(sum(gray * v.z * h.z), 2) AS gray FROM px JOIN w v ON v.j = y JOIN w h ON h.j = x GROUP BY 1, 2""")
+def resize_bilinear(spark: S, d: str) -> DataFrame:
+    """Halved pictures, a row for each pixel's grey."""
+    wide = image.pixel_kernel(pictures(spark, d), [f"g{i}" for i in range(16)], lambda a: image.gray_of(image.resize_bilinear(a, 4)).ravel())
+    cells = F.posexplode(F.array(*[F.col(f"g{i}") for i in range(16)])).alias("cell", "gray")
+    return rounded(wide.select("image_id", cells).withColumn("cell", F.col("cell").cast("long")), gray=2)
+
+
+POOLS = {"sobel_x": "abs(gx)", "sobel_y": "abs(gy)", "bright": "gray", "blue_dom": "b / greatest(r + g + b, 1e-6)", "green_dom": "g / greatest(r + g + b, 1e-6)", "red_dom": "r / greatest(r + g + b, 1e-6)"}
+
+
+@query(f"{PIX}, {edges_sql('ed', 'px', '0', 8)}, f AS (SELECT px.*, coalesce(gx, 0) AS gx, coalesce(gy, 0) AS gy FROM px LEFT JOIN edf USING (image_id, y, x)) SELECT image_id, " + ", ".join(f"round(avg({e}) FILTER (y // 2 = {i} AND x // 2 = {j}), 3) AS {m}_{i}{j}" for m, e in POOLS.items() for i in range(4) for j in range(4)) + " FROM f GROUP BY 1")
+def filter_bank_pool(spark: S, d: str) -> DataFrame:
+    return kernel(spark, d, image.SPATIAL, image.filter_bank_pool)
+
+
 @query()
 def image_features(spark: S, d: str) -> DataFrame:
     out = image.pixel_features(pictures(spark, d))
@@ -503,7 +573,8 @@ def flagship(spark: S, d: str) -> DataFrame:
     """Split, encode, scale, fit and score: constant, linear and tree models of order prices, one metric row each."""
     x = profile.group_mean_fallback(listings(spark, d), "nation", "price", train_rows(), "nation_mean")
     feats = [*FEATS, "nation_mean"]
-    x = minmax_fit_apply(x.withColumns({c: F.col(c).cast("double") for c in feats}), feats, train_rows())
+    # every model and level reads these rows, so they are made once
+    x = checkpointed(minmax_fit_apply(x.withColumns({c: F.col(c).cast("double") for c in feats}), feats, train_rows()))
     weights, lin = linear.linear_fit_predict(x, feats, "price", train_rows())
     nodes = tree.tree_fit_regression(x.where(train_rows()), ["qty", "items"], "price", 3, 10)
     models = {"constant": linear.constant_baseline(x, "price", train_rows()), "linear": lin, "tree": tree.tree_predict(x, nodes, ["qty", "items"])}

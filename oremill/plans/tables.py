@@ -285,19 +285,11 @@ def cap_pileup(spark: S, d: str) -> DataFrame:
     return profile.cap_pileup(table(spark, d, "lineitem"), "l_quantity", floor=45.0)
 
 
-@query("""WITH q AS (SELECT c_mktsegment AS g, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) AS q3, avg(c_acctbal) AS mean, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1),
-          x AS (SELECT q.*, c_acctbal * c_acctbal / 1000 AS v0, c_acctbal AS v FROM customer JOIN q ON c_mktsegment = g WHERE c_acctbal > 0)
-          SELECT g AS c_mktsegment, n, round(mean, 4) AS mean, round(q1, 4) AS q1, round(m, 4) AS median, round(q3, 4) AS q3, min(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS lo_whisker,
-          max(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS hi_whisker, count(*) FILTER (NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM x GROUP BY ALL""")
-def box_stats(spark: S, d: str) -> DataFrame:
-    return rounded(profile.box_stats(table(spark, d, "customer").where("c_acctbal > 0"), "c_acctbal", ["c_mktsegment"]), mean=4, q1=4, median=4, q3=4)
-
-
 @query("""WITH q AS (SELECT c_mktsegment AS g, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) AS q3, avg(c_acctbal) AS mean, count(*) AS n FROM customer GROUP BY 1),
           x AS (SELECT q.*, c_acctbal * c_acctbal / 1000 AS v0, c_acctbal AS v FROM customer JOIN q ON c_mktsegment = g)
           SELECT g AS c_mktsegment, n, round(mean, 4) AS mean, round(q1, 4) AS q1, round(m, 4) AS median, round(q3, 4) AS q3, min(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS lo_whisker,
           max(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS hi_whisker, count(*) FILTER (NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM x GROUP BY ALL""")
-def box_stats_whole(spark: S, d: str) -> DataFrame:
+def box_stats(spark: S, d: str) -> DataFrame:
     """Customers of any balance."""
     return rounded(profile.box_stats(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"]), mean=4, q1=4, median=4, q3=4)
 
@@ -338,9 +330,9 @@ def comparison_pivot(spark: S, d: str) -> DataFrame:
     return profile.comparison_pivot(trial_results(spark, d), "trial", "model", "mae", ["a", "b"])
 
 
-@query("SELECT label AS cluster, round(avg(embedding[1]::DOUBLE), 5) AS mean, round(median(embedding[1]::DOUBLE), 5) AS median, count(*) AS n FROM embeddings GROUP BY 1")
+@query("SELECT label AS cluster, round(avg(y), 5) AS mean, round(median(y), 5) AS median, count(*) AS n FROM (SELECT label, list_sum(embedding::DOUBLE[]) AS y FROM embeddings) GROUP BY 1")
 def cluster_profile(spark: S, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("embedding")[0].cast("double").alias("y"))
+    e = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda t, x: t + x).alias("y"))
     return rounded(profile.cluster_profile(e, "cluster", "y"), mean=5, median=5)
 
 

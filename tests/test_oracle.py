@@ -58,13 +58,13 @@ def test_entry_contract(spark):
 
 def test_whole_tables_are_read(spark, duck):
     count = lambda t: duck.execute(f"select count(*) from {t}").fetchone()[0]
-    assert registry.QUERIES["distance_expr_whole"](spark, SF).select("id").distinct().count() == count("embeddings")
-    assert registry.QUERIES["box_stats_whole"](spark, SF).agg({"n": "sum"}).head()[0] == count("customer")
+    assert registry.QUERIES["distance_expr"](spark, SF).select("id").distinct().count() == count("embeddings")
+    assert registry.QUERIES["box_stats"](spark, SF).agg({"n": "sum"}).head()[0] == count("customer")
     part = duck.execute("select p_partkey, p_size::DOUBLE, (p_partkey % 97)::DOUBLE from part order by 1").fetchnumpy()
     ids, x, y = part.values()
     near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 4
     label = np.arange(len(ids))
     while (new := np.where(near, label, len(ids)).min(axis=1)).tolist() != label.tolist():
         label = new
-    got = {r["id"]: r["component"] for r in registry.QUERIES["single_link_cut_whole"](spark, SF).collect()}
+    got = {r["id"]: r["component"] for r in registry.QUERIES["single_link_cut"](spark, SF).collect()}
     assert got == dict(zip(ids.tolist(), ids[label].tolist(), strict=True))
