@@ -8,9 +8,11 @@ text has one such path. So:
 
 * A giant text (over ``CHUNK`` characters) is split into chunks wherever that
   falls. The state at a boundary is the piece that ends at it or straddles it.
-  A chunk yields a matrix of weights from entry to exit states; the matrices of
-  a text are combined associatively from both ends, which leaves one state at
-  each boundary; then each chunk is traced back on its own, in its own task.
+  A chunk yields a matrix of weights from entry to exit states. Matrices of
+  neighbours are multiplied pair by pair, in rounds that halve their number, so
+  a text of n chunks has a tree of log n levels; then states come down the
+  tree: what enters and leaves a product gives the state between its two
+  factors. Each chunk is traced back on its own, in its own task.
 * No piece has a space mark after another character, so between words the
   state is a single one and the matrix of a word is 1 x 1: words are encoded
   once for all their places in a batch.
@@ -22,7 +24,8 @@ pieces).
 Defined results: a null text gives null ids, an empty one no ids; the character
 U+2581 counts as a space, as it does in the format, so it decodes as one; other
 texts decode to themselves; equal rows stay separate; an empty table gives an
-empty one; other columns are passed through, ``ids`` and ``n_tokens`` replaced.
+empty one; other columns are passed through, but ``encode`` replaces ``ids`` and
+``n_tokens`` and ``decode`` replaces ``decoded``.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .batches import column, slices
+from .tables import cut, drop, fanout
 
 MARK = "▁"
 CHUNK, KEPT = 1 << 16, 100_000
@@ -287,6 +291,72 @@ def encode_slice(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     return ids, np.cumsum(per)
 
 
+MATRIX = "__sp_key string, k int, rows int, cells binary"
+
+
+def packed(m: np.ndarray) -> bytes:
+    """A max-plus matrix, whose cells are 0 or minus infinity."""
+    return (m.reshape(-1) == 0).tobytes()
+
+
+def unpacked(cells: bytes, rows: int) -> np.ndarray:
+    return np.where(np.frombuffer(cells, bool).reshape(rows, -1), 0.0, -np.inf)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In the max-plus semiring: the best weight from each entry of a to each exit of b."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with two neighbours' matrices (the second null at an odd end): their product."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            m = unpacked(r["cells"], r["rows"])
+            if r["cells_b"] is not None:
+                m = product(m, unpacked(r["cells_b"], r["rows_b"]))
+            out.append((r["__sp_key"], r["k"], len(m), packed(m)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["__sp_key", "k", "rows", "cells"])
+
+
+def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with two factors and the states that enter and leave their product: the state between them."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            key, k, enter, leave = r["__sp_key"], r["k"], r["enter"], r["leave"]
+            if r["cells_b"] is None:
+                out.append((key, 2 * k, enter, leave))
+                continue
+            at = int(np.argmax(unpacked(r["cells"], r["rows"])[enter] + unpacked(r["cells_b"], r["rows_b"])[:, leave]))
+            out += [(key, 2 * k, enter, at), (key, 2 * k + 1, at, leave)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["__sp_key", "k", "enter", "leave"])
+
+
+def scanned(matrices: DataFrame) -> DataFrame:
+    """``MATRIX`` of chunks k = 0.. of each text -> the state that enters and leaves each chunk.
+
+    Up: products of neighbours, level by level. Down: the whole text is entered
+    and left in its only state; each level gives the states of the one below.
+    """
+
+    def pairs(level: DataFrame) -> DataFrame:
+        half = lambda odd: level.where(F.col("k") % 2 == odd).withColumn("k", F.floor(F.col("k") / 2).cast("int"))
+        second = half(1).select("__sp_key", "k", F.col("rows").alias("rows_b"), F.col("cells").alias("cells_b"))
+        return half(0).join(second, ["__sp_key", "k"], "left")
+
+    levels = [cut(matrices)]
+    while not levels[-1].where("k > 0").isEmpty():
+        levels.append(cut(pairs(levels[-1]).mapInArrow(combined, MATRIX)))
+    states = levels[-1].select("__sp_key", "k", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+    for below in reversed(levels[:-1]):
+        states = pairs(below).join(states, ["__sp_key", "k"]).mapInArrow(between, "__sp_key string, k int, enter int, leave int")
+    states = cut(states)
+    drop(*levels)
+    return states
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """All columns of ``docs`` and n_tokens, ids (array<int>)."""
     vocabulary = load(path)
@@ -325,20 +395,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 m = shared.value.transfer(r["s"], r["lo"], r["hi"], r["k"] == 0, r["k"] == r["n"] - 1)
-                out.append((r["__sp_key"], r["k"], len(m), (m.reshape(-1) == 0).tobytes()))
+                out.append((r["__sp_key"], r["k"], len(m), packed(m)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["__sp_key", "k", "rows", "cells"])
 
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        ms = [np.where(np.frombuffer(r["cells"], bool).reshape(r["rows"], -1), 0.0, -np.inf) for r in rows]
-        ahead, behind = [np.zeros(1)], [np.zeros(1)]
-        for m in ms:
-            ahead.append((ahead[-1][:, None] + m).max(axis=0))
-        for m in reversed(ms):
-            behind.append((m + behind[-1][None, :]).max(axis=1))
-        state = [int(np.argmax(a + b)) for a, b in zip(ahead, behind[::-1], strict=True)]
-        return pa.table({"__sp_key": [r["__sp_key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "enter": pa.array(state[:-1], pa.int32()), "leave": pa.array(state[1:], pa.int32())})
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
@@ -352,9 +411,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     key = F.concat_ws("-", F.sha2("text", 256), F.length("text"))
     large = own.where(giant).withColumn("__sp_key", key)
     # equal texts are encoded once
-    pieces = large.select("__sp_key", "text").dropDuplicates(["__sp_key"]).mapInArrow(split, "__sp_key string, k int, n int, lo int, hi int, s string").repartition("__sp_key", "k")
-    states = pieces.mapInArrow(matrices, "__sp_key string, k int, rows int, cells binary").groupBy("__sp_key").applyInArrow(scan, "__sp_key string, k int, enter int, leave int")
-    traced = pieces.join(states, ["__sp_key", "k"]).select("__sp_key", "k", "n", "lo", "hi", "s", "enter", "leave").mapInArrow(trace, "__sp_key string, k int, ids array<int>")
+    split_up = large.select("__sp_key", "text").dropDuplicates(["__sp_key"]).mapInArrow(split, "__sp_key string, k int, n int, lo int, hi int, s string")
+    pieces = cut(split_up.repartition(fanout(docs), "__sp_key", "k"))
+    tasks = max(1, pieces.count())
+    states = scanned(pieces.repartition(tasks, "__sp_key", "k").mapInArrow(matrices, MATRIX))
+    traced = pieces.join(states, ["__sp_key", "k"]).select("__sp_key", "k", "n", "lo", "hi", "s", "enter", "leave").repartition(tasks, "__sp_key", "k").mapInArrow(trace, "__sp_key string, k int, ids array<int>")
     whole = traced.groupBy("__sp_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     encoded = large.join(whole, "__sp_key").select(*own.columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
     return own.where(~giant).mapInArrow(small, schema).unionByName(encoded)

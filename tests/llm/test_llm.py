@@ -321,6 +321,30 @@ def test_op2_equals_the_library_and_round_trips(spark, odd, empty, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["ids"])) for r in giant) == sorted((str(r["doc_id"]), str(r["ids"])) for r in out)
 
 
+def test_op2_giant_texts_at_the_real_chunk_size(spark):
+    import sentencepiece as library
+
+    path = tokenizer_path()
+    lib = library.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    spaced = " ".join(rng.choice(words) for _ in range(120_000))
+    joined = "".join(rng.choice(words) for _ in range(45_000))
+    rows = [(1, spaced), (2, joined), (3, spaced), (4, "short"), (5, "x" * (sentencepiece.CHUNK + 1))]
+    out = {r["doc_id"]: r for r in sentencepiece.encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert len(spaced) > 8 * sentencepiece.CHUNK and len(joined) > 3 * sentencepiece.CHUNK
+    for i, t in rows:
+        assert out[i]["ids"] == lib.encode(t)
+
+
+def test_op2_products_are_associative():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, b, c = (np.where(rng.random(s) < 0.4, 0.0, -np.inf) for s in ((3, 4), (4, 2), (2, 5)))
+        left = sentencepiece.product(sentencepiece.product(a, b), c)
+        assert (left == sentencepiece.product(a, sentencepiece.product(b, c))).all()
+
+
 def test_op2_odd_characters():
     import sentencepiece as library
 
