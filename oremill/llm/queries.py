@@ -20,15 +20,22 @@ s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))
                  / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lev, cap / w AS ratio
        FROM s2 WINDOW o AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, (SELECT lev FROM s3 WHERE lev <= ratio ORDER BY ratio, r LIMIT 1) AS level FROM s3),
-targets AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM s4),
+targets AS (SELECT source, source_size, r, least(cap, coalesce(level * w, cap)) AS target FROM s4),
 ranked AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, t.r,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS n
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       CAST(size * (n + CASE WHEN size > 0 AND b + size / 2.0 <= target - n * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranked
+, counted AS (
+  SELECT *, CAST(n + CASE WHEN size > 0 AND b + size / 2.0 <= target - n * source_size THEN 1 ELSE 0 END AS INTEGER) AS copies,
+         (b + size / 2.0::DOUBLE) / target AS share
+  FROM ranked),
+-- demand up to progress u is the integral of a schedule linear between knots; its inverse is a root in one of its pieces
+used AS (SELECT *, share * [1.0, 1.0, 0.975][(r - 1) % 3 + 1]::DOUBLE AS q FROM counted)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken, copies,
+       round(CASE WHEN copies = 0 THEN NULL WHEN (r - 1) % 3 = 0 THEN q WHEN (r - 1) % 3 = 1 THEN 1.5 - sqrt(greatest(2.25 - 2 * q, 0))
+                  WHEN q <= 0.375 THEN (sqrt(0.0625 + 2.5 * q) - 0.25) / 1.25 ELSE 0.6 + (sqrt(1 + 5 * (q - 0.375)) - 1) / 2.5 END, 6) AS position
+FROM used
 """
 
 LINE_SQL = r"""
@@ -53,7 +60,7 @@ FROM documents d LEFT JOIN o USING (doc_id)
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = mixture.mix(docs).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    return mixture.by_position(out, fanout(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixture.by_position(out, fanout(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.round("position", 6).alias("position"))
 
 
 def removed(spans: str) -> Column:
