@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .batches import MULT, Words, column, pair, slices, spread
 from .components import components
 from .repeats import PACKED, deal, first_of, gather, packed_batch
-from .tables import cut, drop, fanout, labelled, sifted
+from .tables import cut, drop, fanout, labelled, sieve, sifted
 
 #: Sets of the sample, and elements of a set at most that it takes; share of it that makes a segment a hot one.
 SAMPLE, SAMPLED_SIZE, HOT_SHARE = 2000, 4096, 0.005
@@ -345,7 +345,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     each = busy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     routes = routes.unionByName(each.select(F.col("a").alias("id"), F.struct("a", "salt", F.lit(0).alias("role")).alias("to")))
     routes = cut(routes.groupBy("id").agg(F.collect_list("to").alias("to")))
-    texts = sifted(docs.where("doc_id is not null"), routes.select("id"), "doc_id")
+    texts = sifted(docs.where("doc_id is not null"), sieve(routes.select("id")), "doc_id")
     sent = texts.join(routes, texts.doc_id == routes.id).select("doc_id", "text", F.explode("to").alias("to")).select("to.*", "doc_id", "text")
     sent = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import SLICE, column, pair, slices, spread
-from .tables import cut, fanout
+from .tables import cut, fanout, sieve, sifted
 
 #: Windows looked at together; a longer document goes in overlapping blocks.
 BLOCK = 1 << 20
@@ -288,16 +288,18 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
                     yield dealt(whole[o.at[k] - base], doc[o.d[k]], row[o.d[k]], o.start[k].astype("<u4"))
 
     def left_over(lists: DataFrame) -> DataFrame:
+        """Texts that have left-over runs, with these; only such texts travel."""
         left = lists.where("exists(open, x -> x)").select("doc_id", "row", F.filter(F.arrays_zip("start", "n", "lead", "open"), lambda z: z["open"]).alias("z"))
-        left = left.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z"))
-        return own.join(left.hint("shuffle_hash"), ["doc_id", "row"])
+        left = cut(left.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z")))
+        texts = sifted(own, sieve(left.select(F.col("doc_id").alias("id"))), "doc_id")
+        return texts.join(left.hint("shuffle_hash"), ["doc_id", "row"])
 
     found = cut(own.mapInArrow(records, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS))
     last, out = found, found.where("exists(open, x -> not x)")
     if piece:
-        last = left_over(found).mapInArrow(pieces, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS)
+        last = cut(left_over(found).mapInArrow(pieces, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS))
         out = out.unionByName(last.where("exists(open, x -> not x)"))
-    fine = left_over(last).mapInArrow(singles, PACKED).repartition(parts, "bucket").mapInArrow(sort_windows, LISTS)
+    fine = cut(left_over(last).mapInArrow(singles, PACKED).repartition(parts, "bucket").mapInArrow(sort_windows, LISTS))
     return own, out.unionByName(fine)
 
 

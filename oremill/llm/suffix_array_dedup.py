@@ -4,18 +4,23 @@ The suffixes of all documents, cut at ``width`` bytes, are put into buckets by
 their first 32 bytes and refined by the bucket identifiers of later offsets, as
 ``repeats`` describes: identifiers double in reach (32, 64, 100), each refined
 from the last, and only suffixes whose bucket has company go on. Sorting the
-last buckets by place leaves each string's first start; every byte covered by a
-later one goes. Identifiers are 64-bit hashes of their strings, so two strings
-are told apart but for a chance of about n*n/2^65 over the n that are compared.
+last buckets by place leaves each string's first start. Identifiers are 64-bit
+hashes of their strings, so what they find is checked on the bytes: a run of
+repeats and the place it repeats are digested (md5) where each of them is, and
+every byte covered by a run goes only if the two digests are equal. What
+travels for that is places and digests, and the texts of documents that have
+runs or are referred to; all others stay where they are.
 
 Defined results: a null text is empty; rows with a null doc_id keep all bytes
 and are no source; rows of one doc_id are one document where their texts are
 equal, else they are told apart by a hash of the text, in whose order the
-earlier one is; an empty table gives an empty one; other columns are not read.
+earlier one is; a very long text is worked on alone, in overlapping blocks; an
+empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .batches import BYTE, column, slices
+from .tables import cut, labelled, sieve, sifted
 
 OUT = "doc_id long, n_bytes long, spans array<struct<start:int,len:int>>, kept binary"
 
@@ -60,10 +66,58 @@ def run_lists(rows: pa.RecordBatch, name: str = "z") -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(per)), per), start, n
 
 
-def per_document(found: DataFrame) -> DataFrame:
-    """(doc_id, row, z): the runs of each document that are results."""
-    z = F.filter(F.arrays_zip("start", "n", "open"), lambda x: ~x["open"])
-    return found.select("doc_id", "row", z.alias("z")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z"))
+#: Runs that go on from one to the next are joined, to at most so many windows.
+LONGEST = 1 << 16
+PLACED = "doc_id long, row int, start int, n int, src long, src_row int, src_start int"
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``PLACED`` of lists z of runs: those whose windows and sources go on are one run."""
+    for batch in batches:
+        lists = column(batch, "z")
+        per = np.diff(lists.offsets.to_numpy())
+        start, n, src, src_row, src_start = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        d = np.repeat(np.arange(len(per)), per)
+        order = np.lexsort((start, start - src_start, src_row, src, d))
+        d, start, n, src, src_row, src_start = (x[order] for x in (d, start, n, src, src_row, src_start))
+        same = lambda x: x[1:] == x[:-1]
+        on = same(d) & same(src) & same(src_row) & same(start - src_start) & (start[1:] <= start[:-1] + n[:-1]) & same(start // LONGEST)
+        new = np.flatnonzero(np.concatenate([[True], ~on])) if len(d) else np.zeros(0, int)
+        stop = np.maximum.reduceat(start + n, new) if len(d) else new
+        k = pa.array(d[new])
+        cols = [column(batch, "doc_id").take(k), column(batch, "row").take(k)]
+        cols += [pa.array(x.astype(t)) for x, t in ((start[new], np.int32), (stop - start[new], np.int32), (src[new], np.int64), (src_row[new], np.int32), (src_start[new], np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PLACED.split(", ")])
+
+
+def digested(width: int):
+    """Rows of texts with lists z of (src_start, n): the digest of the bytes of each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in slices(batch, limit=1 << 20):
+                d, start, n = run_lists(rows)
+                raw, at = data.tobytes(), off[d] + start
+                sums = [hashlib.md5(raw[a:b]).digest() for a, b in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)]
+                k = pa.array(d)
+                yield pa.RecordBatch.from_arrays([column(rows, "doc_id").take(k), column(rows, "row").take(k), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sums, pa.binary())], ["src", "src_row", "src_start", "n", "sum"])
+
+    return work
+
+
+def with_sources(own: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, z): the runs of each document that are results, each with the digest of what it repeats."""
+    z = F.filter(F.arrays_zip("start", "n", "src", "src_row", "src_start", "open"), lambda x: ~x["open"])
+    lists = found.select("doc_id", "row", z.alias("z")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z"))
+    runs = cut(lists.mapInArrow(joined, PLACED))
+    place = ["src", "src_row", "src_start", "n"]
+    asked = cut(runs.groupBy(*place).agg(F.count("*").alias("times")))
+    by_text = asked.groupBy(F.col("src").alias("doc_id"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("src_start", "n")).alias("z"))
+    texts = sifted(own, sieve(asked.select(F.col("src").alias("id"))), "doc_id")
+    sums = texts.join(by_text.hint("shuffle_hash"), ["doc_id", "row"]).mapInArrow(digested(width), "src long, src_row int, src_start int, n int, sum binary")
+    sums = cut(asked.join(sums.distinct(), place))
+    told = labelled(runs, place, sums, "times", runs.count())
+    return told.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "sum")).alias("z"))
 
 
 def dedup_bytes(docs: DataFrame, width: int = 100, gram: int = 32, piece: int = 9) -> DataFrame:
@@ -73,12 +127,21 @@ def dedup_bytes(docs: DataFrame, width: int = 100, gram: int = 32, piece: int =
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch, limit=1 << 20):
-                gone = repeats.covered(off, *run_lists(rows), width)
+                d, start, n = run_lists(rows)
+                at, raw = off[d] + start, data.tobytes()
+                lists = column(rows, "z")
+                sums = (lists.flatten() if lists.null_count == 0 else lists.fill_null([]).flatten()).field(2)
+                true = np.array([hashlib.md5(raw[a:b]).digest() == s.as_py() for a, b, s in zip(at.tolist(), (at + n + width - 1).tolist(), sums, strict=True)], bool)
+                gone = repeats.covered(off, d[true], start[true], n[true], width)
                 left = data[~gone]
                 kept_off = np.concatenate([[0], np.cumsum(~gone)])[off]
                 kept = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(kept_off.astype(np.int32).tobytes()), pa.py_buffer(left.tobytes())])
                 yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(np.diff(off)), span_lists(*spans_of(gone, off), rows.num_rows), kept], ["doc_id", "n_bytes", "spans", "kept"])
 
-    judged = own.join(per_document(found).hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "z").mapInArrow(keep, OUT)
+    runs = cut(with_sources(own, found, width))
+    bits = sieve(runs.select(F.col("doc_id").alias("id")))
+    z = "cast(null as array<struct<start:int,n:int,sum:binary>>) as z"
+    touched = sifted(own, bits, "doc_id").join(runs.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "z").mapInArrow(keep, OUT)
+    judged = touched.unionByName(sifted(own, bits, "doc_id", inside=False).selectExpr("doc_id", "text", z).mapInArrow(keep, OUT))
     rest = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:int,len:int>>)").alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
     return judged.unionByName(rest)

@@ -132,9 +132,9 @@ def sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` passes the sieve of ``ids``: all that are among them, and a few others."""
-    shared = rows.sparkSession.sparkContext.broadcast(sieve(ids))
+def sifted(rows: DataFrame, bits: np.ndarray, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` passes a sieve: all that are in it, and a few others; or, not ``inside``, the rest."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
     hashed = rows.select("*", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << SIEVE)).alias(f"__at{k}") for k in (1, 2)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             for k in (-2, -1):
                 at = batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)
                 passed &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed == inside))
 
     return hashed.mapInArrow(work, rows.schema)
 
