@@ -414,6 +414,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     counts = np.zeros(len(e) + 1)
     for r in classes.groupBy(band.alias("band")).count().collect():  # one row a band
         counts[r["band"]] += r["count"]
+    # at most 2 * SAMPLE sets of at most SAMPLED_SIZE elements
     sample = [np.frombuffer(bytes(r[0]), np.uint64) for r in profile.where("elements is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(2 * SAMPLE).select("elements").collect()]
     plan = planned(percent, counts[:-1] + counts[1:], sample)
 

@@ -4,7 +4,7 @@ Words have ``UNITS`` units and word shapes ``SHAPES`` more, by their hashes, eac
 with a fixed sparse random index vector. A unit's context vector is the sum of
 the index vectors of the words within two places of it, over the whole corpus.
 A task sums the units that it meets and Spark adds up these sums by unit; the
-table of all units' vectors, 34 MB whatever the corpus, is broadcast. A
+table of all units' vectors, 9 MB whatever the corpus, is broadcast. A
 document is the mean and the spread of its words' vectors.
 
 The network (one hidden layer of tanh) is fitted with NumPy on the driver to
@@ -35,7 +35,7 @@ from .batches import Words, column, slices
 from .tables import fanout, held_out
 from .word_features import shapes
 
-UNITS, SHAPES, DIM = 1 << 18, 1 << 10, 32
+UNITS, SHAPES, DIM = 1 << 16, 1 << 10, 32
 SAMPLE, HIDDEN, EPOCHS = 20_000, 24, 300
 
 
@@ -203,6 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network | Non
     # repeated ids may make it more than the sample; equal rows are one, and an order of hashes decides
     known = features(sample.repartition(fanout(docs, 0.5)), shared, "__label").distinct()
     got = known.orderBy(F.xxhash64("id", "x"), "id", "x", "label").limit(2 * SAMPLE).collect()
+    shared.destroy()
     if not got:
         return vectors, None
     x = np.stack([np.frombuffer(bytes(r["x"]), "<f8") for r in got])
