@@ -44,7 +44,9 @@ from .batches import column, slices
 from .tables import cut, drop, fanout
 
 MARK = "▁"
-CHUNK, KEPT = 1 << 16, 100_000
+CHUNK, KEPT = 1 << 16, 300_000
+#: Bytes of text whose distinct words are encoded together.
+TOGETHER = 2 << 20
 
 
 @dataclass
@@ -372,7 +374,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             if pc.any(pc.match_substring(texts, MARK)).as_py():
                 texts = pc.replace_substring(texts, MARK, " ")
             work = pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "__sp_text"])
-            for rows, data, off in slices(work, "__sp_text"):
+            for rows, data, off in slices(work, "__sp_text", TOGETHER):
                 ids, at = encode_slice(shared.value, data, off)
                 null = column(rows, "text").is_null()
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null)
