@@ -72,7 +72,12 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder; the step's shuffle files go when it ends."""
+    """The rows, computed once and kept in the shared checkpoint folder; the step's shuffle files go when it ends.
+
+    What the driver held for it (broadcast tables, network buffers) goes only
+    when its JVM collects garbage. A driver of 1,500 MB ended over its limit
+    after some sixty steps without that, so it is asked for after each.
+    """
     spark = df.sparkSession
     ensure_checkpoints(spark)
     before = spark.conf.get(CLEAN_UP, "false")
@@ -83,25 +88,19 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEAN_UP, before)
     if _made:
         _made[-1].append(out)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
 def drop(*done: DataFrame) -> None:
-    """Deletes the files of what ``cut`` returned and nothing reads any more.
-
-    The driver's buffers and broadcast tables of those steps go only when its
-    JVM collects garbage, which a small driver cannot put off for long; so it is
-    asked to here, once for a group of steps.
-    """
+    """Deletes the files of what ``cut`` returned and nothing reads any more."""
     for df in done:
         spark = df.sparkSession
         file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if done:
-        gc.collect()
-        done[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
