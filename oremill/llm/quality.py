@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import Words, column, slices
-from .tables import fanout, held_out
+from .tables import cut, fanout, held_out
 from .word_features import shapes
 
 UNITS, SHAPES, DIM = 1 << 16, 1 << 10, 32
@@ -200,14 +200,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network | Non
     picked = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 30)) < share
     sample = docs.where(F.col("doc_id").isNotNull()).where(picked("doc_id")).select(F.col("doc_id").cast("long").alias("__id"), "text").join(told.where(picked("__id")), "__id")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    # repeated ids may make it more than the sample; equal rows are one, and an order of hashes decides
-    known = features(sample.repartition(fanout(docs, 0.5)), shared, "__label").distinct()
-    got = known.orderBy(F.xxhash64("id", "x"), "id", "x", "label").limit(2 * SAMPLE).collect()
+    # equal rows are one; repeated ids may still make it more than the sample, then a hash of whole rows thins it
+    known = cut(features(sample.repartition(fanout(docs, 0.5)), shared, "__label").distinct())
+    found = known.count()
+    if found > 2 * SAMPLE:
+        known = known.where(F.pmod(F.xxhash64("id", "x", "label"), F.lit(1 << 30)) < int(2 * SAMPLE / found * (1 << 30)))
+    got = known.select("label", "x").toArrow()
     shared.destroy()
-    if not got:
+    if not got.num_rows:
         return vectors, None
-    x = np.stack([np.frombuffer(bytes(r["x"]), "<f8") for r in got])
-    y = np.array([r["label"] for r in got])
+    x = np.frombuffer(b"".join(c.as_buffer() for c in got["x"]), "<f8").reshape(got.num_rows, -1)
+    y = got["label"].to_numpy()
     order = np.lexsort((*x.T[::-1], y))  # the same whatever the partitions
     return vectors, fit(x[order], y[order])
 
