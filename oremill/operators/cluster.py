@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oremill.functions.columns import hash_order
 
-from .ranking import checkpointed
+from .ranking import checkpointed, distributed_rank
 
 #: Groups beyond this are no summaries; use ``single_link_cut``.
 MOST = 5000
@@ -222,8 +222,8 @@ def elbow_k(wcss: DataFrame) -> DataFrame:
 
 
 def cluster_labels(df: DataFrame, root: str) -> DataFrame:
-    """Adds label: 0-based numbers in the order of root ids; a row per root is ordered."""
-    roots = df.select(root).distinct().withColumn("label", F.row_number().over(Window.orderBy(root)) - 1)
+    """Adds label: 0-based numbers in the order of root ids; a row per root is ordered, in many tasks."""
+    roots = distributed_rank(df.select(root).distinct(), [root], "label").withColumn("label", (F.col("label") - 1).cast("int"))
     return df.join(roots, root)
 
 

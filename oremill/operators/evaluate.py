@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oremill.functions.columns import mcc, safe_ratio
 
+from .ranking import prefix_sums
+
 
 def confusion_counts(df: DataFrame, score: str, label: str, t: float) -> DataFrame:
     """TP, FP, TN, FN for score > t."""
@@ -28,12 +30,11 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
 def threshold_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
     """All measures at each midpoint of neighbouring scores.
 
-    Equal scores are counted first; what is ordered has a row per distinct score.
+    Equal scores are counted first; counts up to each are prefix sums, in as many
+    tasks as the session has shuffle partitions.
     """
     g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    up = Window.orderBy("s")
-    run, whole = up.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    g = g.withColumns({"fn": F.sum("pos").over(run), "tn": F.sum("neg").over(run), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole), "next": F.lead("s").over(up)})
+    g = prefix_sums(g, ["s"], ["pos", "neg"], leads=["s"]).withColumnsRenamed({"cum_pos": "fn", "cum_neg": "tn", "all_pos": "p", "all_neg": "n", "next_s": "next"})
     cut = g.where("next is not null").select(((F.col("s") + F.col("next")) / 2).alias("t"), (F.col("p") - F.col("fn")).alias("tp"), (F.col("n") - F.col("tn")).alias("fp"), "tn", "fn")
     return classification_metrics(cut)
 
@@ -48,9 +49,9 @@ def pr_points(sweep: DataFrame) -> DataFrame:
 
 def auc_left_riemann(sweep: DataFrame) -> DataFrame:
     """Area by left rectangles in threshold order, and by trapezoids; end segments are left out."""
-    w = Window.orderBy("t")
-    step = F.lead("fpr").over(w) - F.col("fpr")
-    s = sweep.select((step * F.col("tpr")).alias("l"), (step * (F.col("tpr") + F.lead("tpr").over(w)) / 2).alias("z"))
+    s = prefix_sums(sweep.select("t", "fpr", "tpr"), ["t"], [], leads=["fpr", "tpr"])
+    step = F.col("next_fpr") - F.col("fpr")
+    s = s.select((step * F.col("tpr")).alias("l"), (step * (F.col("tpr") + F.col("next_tpr")) / 2).alias("z"))
     return s.agg(F.abs(F.sum("l")).alias("auc"), F.abs(F.sum("z")).alias("auc_trapezoid"))
 
 

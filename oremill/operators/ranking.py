@@ -26,29 +26,37 @@ def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None) -> Data
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
 
 
-def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Adds cum_<v>: the sum of v up to the row in the order of ``order``, whose columns must be a key.
+def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str], partitions: int | None = None, leads: Sequence[str] = ()) -> DataFrame:
+    """Adds cum_<v>: the sum of v up to the row in the order of ``order``, and all_<v>: that of all rows; next_<c>: c in the row after.
 
-    Rows are range-partitioned, partitions' totals give each an offset, and the
-    rest is a window within a partition. Both uses of the partitions must see
-    the same ones, so they are written once to the checkpoint folder.
+    Columns of ``order`` must be a key, those of ``leads`` hold no null. Rows
+    are range-partitioned, partitions' totals give each an offset, and the rest
+    is a window within a partition. Both uses of the partitions must see the
+    same ones, so they are written once to the checkpoint folder.
     """
     key = F.struct(*order)
     d = checkpointed(_ranged(df, order, partitions))
-    totals = d.groupBy("__part").agg(F.min(key).alias("__first"), *[F.sum(v).alias(f"__t_{v}") for v in values])
-    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("__part").agg(F.min(key).alias("__first"), *[F.sum(v).alias(f"__t_{v}") for v in values], *[F.min_by(c, key).alias(f"__f_{c}") for c in leads])
+    parts = Window.orderBy("__first")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select(
+        "__part",
+        *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values],
+        *[F.sum(f"__t_{v}").over(Window.partitionBy()).alias(f"all_{v}") for v in values],
+        *[F.lead(f"__f_{c}").over(parts).alias(f"__n_{c}") for c in leads],
+    )
+    rows = Window.partitionBy("__part").orderBy(*order)
+    inside = rows.rowsBetween(Window.unboundedPreceding, 0)
     out = d.join(F.broadcast(offsets), "__part")
-    out = out.withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"__o_{v}") for v in values})
-    return out.drop("__part", *[f"__o_{v}" for v in values])
+    out = out.withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"__o_{v}") for v in values} | {f"next_{c}": F.coalesce(F.lead(c).over(rows), f"__n_{c}") for c in leads})
+    return out.drop("__part", *[f"__o_{v}" for v in values], *[f"__n_{c}" for c in leads])
 
 
 def distributed_rank(df: DataFrame, order: Sequence[str], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row numbers from 1 over the whole table; ``order`` must be a key."""
     ranked = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"], partitions)
-    return ranked.withColumnRenamed("cum___one", out).drop("__one")
+    return ranked.withColumnRenamed("cum___one", out).drop("__one", "all___one")
 
 
 def worst_k_by_segment(df: DataFrame, segment: str, err: str, ident: str, k: int) -> DataFrame:
@@ -67,7 +75,7 @@ def largest_n(df: DataFrame, col: str, key: str, n: int) -> DataFrame:
 def running_split_gain(df: DataFrame, feat: str, y: str, min_leaf: int, by: Sequence[str] = ()) -> DataFrame:
     """(by.., thr, gain) of each cut between unequal values: how much the squared error falls.
 
-    Rows are first summed by value, so a node with all rows is spread over its values.
+    Rows are first summed by value, so a task orders a node's distinct values, not its rows.
     """
     v = df.where(F.col(feat).isNotNull()).groupBy(*by, F.col(feat).alias("value")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
     up = Window.partitionBy(*by).orderBy("value")
@@ -95,7 +103,7 @@ def k_sweep_running_mean(neighbours: DataFrame, y: str, ks: Sequence[int], by: S
 def midpoint_thresholds(df: DataFrame, col: str) -> DataFrame:
     """Midpoints of neighbouring distinct values; one row per distinct value is ordered."""
     v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v")).distinct()
-    return v.withColumn("w", F.lead("v").over(Window.orderBy("v"))).where("w is not null").select(((F.col("v") + F.col("w")) / 2).alias("thr"))
+    return prefix_sums(v, ["v"], [], leads=["v"]).where("next_v is not null").select(((F.col("v") + F.col("next_v")) / 2).alias("thr"))
 
 
 def union_splits(df: DataFrame, names: Sequence[str]) -> DataFrame:
