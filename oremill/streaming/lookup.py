@@ -17,7 +17,7 @@ def follow(spark: SparkSession, source: str, schema, table: str, checkpoint: str
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        last = max((n for n in range(number) if exists(spark, f"{table}/{n}/_SUCCESS")), default=None)
+        last = next((n for n in reversed(range(number)) if exists(spark, f"{table}/{n}/_SUCCESS")), None)
         cache = spark.read.parquet(f"{table}/{last}") if last is not None else enrich(rows.limit(0).select(key))
         incremental_lookup(rows, cache, enrich, key, version).write.mode("overwrite").parquet(f"{table}/{number}")
 
