@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import HOT, cut, drop
+from .tables import HOT, cut, drop, labelled
+
+
+def busy(rows: DataFrame, key: str, total: int) -> list[int]:
+    """The keys of more than 1/HOT of the ``total`` rows, fewer than HOT."""
+    return [r[0] for r in rows.groupBy(key).count().where(F.col("count") * HOT > total).select(key).collect()]
+
+
+def looked_up(rows: DataFrame, key: str, labels: DataFrame, often: list[int]) -> DataFrame:
+    """``rows`` with ``<key>_c``, the ``c`` of their key in ``labels`` (id, c) or null; of the keys ``often``, which are few, by broadcast."""
+    found = labels.select(F.col("id").alias("__of"), F.col("c").alias(f"{key}_c"))
+    out = rows.where(~F.col(key).isin(often)).join(found, F.col(key) == F.col("__of"), "left")
+    if often:
+        out = out.unionByName(rows.where(F.col(key).isin(often)).join(F.broadcast(found.where(F.col("__of").isin(often))), F.col(key) == F.col("__of"), "left"))
+    return out.drop("__of")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (id, component) of every id that has a link.
 
-    Each round takes the least label among a node's neighbours, then the label
-    of that label, so long chains halve. Rounds end when no label changes. Each
-    round's labels are written to the checkpoint folder, the last round's are
-    deleted; only the number of changes comes to the driver. Nodes with more
-    than 1/HOT of all links are fewer than HOT, so their labels are broadcast
-    and the links of a hub need not meet in one task.
+    Each round takes the least of a node's label, its neighbours' labels and
+    the label of its label, so long chains halve. Rounds end when no label
+    changes. A round is one step, written to the checkpoint folder; the last
+    round's are deleted; only the number of changes and the keys of more than
+    1/HOT of the rows come to the driver. These keys are fewer than HOT, so
+    their labels are broadcast and what asks for them need not meet in one task.
 
     Defined results: links of an id with itself and links with a null are none;
     repeated links count once; without links the result is empty.
@@ -24,24 +38,39 @@ def components(links: DataFrame) -> DataFrame:
     both = links.where("a != b").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     total = both.count()
-    hubs = [r["b"] for r in both.groupBy("b").count().where(F.col("count") * HOT > total).select("b").collect()]
-    held = labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")))
+    if not total:
+        return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    asks, hubs = both.select(F.col("a").alias("id"), "b"), busy(both, "b", total)
+    labels = cut(asks.groupBy("id").agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c"), F.col("id").alias("was")))
     while True:
-        seen = both.where(~F.col("b").isin(hubs)).join(labels, both.b == labels.id).select(F.col("a").alias("id"), "c")
-        if hubs:
-            of_hubs = F.broadcast(labels.where(F.col("id").isin(hubs)))
-            seen = seen.unionByName(both.join(of_hubs, both.b == of_hubs.id).select(F.col("a").alias("id"), "c"))
-        near = seen.groupBy("id").agg(F.min("c").alias("m"))
-        hooked = cut(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
-        often = [r["c"] for r in hooked.groupBy("c").count().where(F.col("count") * HOT > total).select("c").collect()]
-        roots = hooked.select(F.col("id").alias("c"), F.col("c").alias("root"))
-        jumped = hooked.where(~F.col("c").isin(often)).join(roots, "c", "left")
-        if often:
-            jumped = jumped.unionByName(hooked.where(F.col("c").isin(often)).join(F.broadcast(roots.where(F.col("c").isin(often))), "c", "left"))
-        new = cut(jumped.select("id", F.least("c", "root").alias("c"), "was"))
-        changed = not new.where("c != was").isEmpty()
-        drop(held, hooked)
-        if not changed:
+        shares = labels.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("was")).alias("changed"))
+        state = shares.agg(F.sum("changed").alias("changed"), F.collect_list(F.when(F.col("n") * HOT > total, F.col("c"))).alias("often")).first()
+        if not state["changed"]:
             drop(both)
-            return new.select("id", F.col("c").alias("component"))
-        held, labels = new, new.drop("was")
+            return labels.select("id", F.col("c").alias("component"))
+        near = looked_up(asks, "b", labels, hubs).select("id", F.col("b_c").alias("c"))
+        above = looked_up(labels.select("id", F.col("c").alias("up")).where("id != up"), "up", labels, state["often"]).select("id", F.col("up_c").alias("c"))
+        heard = near.unionByName(above).withColumn("was", F.lit(None).cast("long"))
+        new = cut(labels.select("id", "c", F.col("c").alias("was")).unionByName(heard).groupBy("id").agg(F.min("c").alias("c"), F.max("was").alias("was")))
+        drop(labels)
+        labels = new
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``label``, which is its result, and of ``links`` (a, b) besides.
+
+    Only links between components of ``label`` are gone through, so rounds are
+    few and small. Without links it is ``label`` itself; links with a null are none.
+    """
+    ends = links.where("a != b").select("a", "b")
+    total = ends.count()
+    if not total:
+        return label
+    mine = label.select("id", F.col("component").alias("c"))
+    for end in ("a", "b"):
+        ends = looked_up(ends, end, mine, busy(links, end, total))
+    more = components(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    sizes = mine.groupBy("c").agg(F.count("*").alias("n"))
+    whole = sizes.join(more.select(F.col("id").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("component"))
+    old = labelled(mine, ["c"], whole, "n", mine.count()).select("id", "component")
+    return cut(old.unionByName(more.join(mine, "id", "left_anti").select("id", "component")))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import MULT, Words, column, pair, slices, spread
-from .components import components
+from .components import components, merged
 from .repeats import PACKED, deal, first_of, gather, packed_batch
 from .tables import cut, drop, fanout, labelled, sieve, sifted
 
@@ -454,7 +454,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "c", "doc", "n_shingles", "sketch")
     parts = fanout(docs)
     second = verified(docs, members.repartition(parts, "sig", "i", "j").mapInArrow(apart(percent), "a long, b long").distinct(), n, percent)
-    final = components(first.unionByName(second))
+    final = merged(label, second)
     drop(company, marked)
 
     named = classes.join(final, classes.doc == final.id, "left").select(*key, "copies", F.coalesce("component", "doc").alias("component"))

@@ -225,6 +225,21 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_more_links(spark):
+    rng = random.Random(4)
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = [(i, i + 1) for i in range(100, 110)] + [(5, 500 + i) for i in range(60)] + [(rng.randrange(2000, 2030), rng.randrange(2000, 2030)) for _ in range(12)]
+    second = [(105, 530), (3, 2010), (3, 2020), (9000, 9001), (9001, 8999), (7, 7), (101, 102)] + [(540, 3000 + i) for i in range(300)]
+    root = {x: x for p in first + second for x in p}
+    for _ in root:
+        for a, b in first + second:
+            root[a] = root[b] = min(root[a], root[b])
+    label = components.components(table(first))
+    got = {r["id"]: r["component"] for r in components.merged(label, table([*second, (None, 5)])).collect()}
+    assert got == {i: r for i, r in root.items() if i != 7}
+    assert components.merged(label, table([(7, 7), (None, 5)])) is label
+
+
 def test_op7_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(150, 64))
