@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once, in the folder that the session names in spark.checkpoint.dir (unset, on a local master: a temporary one)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir (unset, on a local master: a temporary one)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once: written to the shared folder as Parquet and read again.
+
+    A ``DataFrame.checkpoint`` keeps the size that was estimated for the plan
+    that it replaces; where rounds join the last one's rows with each other, the
+    estimate multiplies in each, until its digits alone keep the planner busy.
+    What is read from files has their size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_in = path
+    return out
+
+
+def forget(*done: DataFrame) -> None:
+    """Deletes the files of what ``checkpointed`` returned and nothing reads any more."""
+    for df in done:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_in)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:

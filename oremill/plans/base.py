@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oremill.functions.columns import hash28
 from oremill.operators.prep import split_hash
-from oremill.operators.ranking import checkpointed
+from oremill.operators.ranking import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,8 +42,7 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints, which executors share."""
-    checkpointed(spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:

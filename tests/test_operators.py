@@ -103,6 +103,15 @@ def test_tree_by_levels_equals_recursion(spark):
     assert [r[0] for r in flat] == [pytest.approx(y.mean())]
 
 
+def test_rounds_of_joins_keep_the_true_size(spark):
+    df = ranking.checkpointed(spark.range(200).withColumn("c", F.col("id")))
+    for _ in range(25):
+        root = df.select(F.col("id").alias("c"), F.col("c").alias("r"))
+        df = ranking.checkpointed(df.join(root, "c").select("id", F.col("r").alias("c")))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+    assert df.where("c = id").count() == 200
+
+
 PLAY = """sunny hot high f n;sunny hot high t n;overcast hot high f y;rain mild high f y;rain cool normal f y;rain cool normal t n;overcast cool normal t y;
 sunny mild high f n;sunny cool normal f y;rain mild normal f y;sunny mild normal t y;overcast mild high t y;overcast hot normal f y;rain mild high t n"""
 
