@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Iterator, Sequence
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oremill.operators.ranking import checkpointed, forget, shared_folder
+
 #: Sizes from here on are Spark's word for not knowing.
 UNKNOWN = 1 << 60
 #: The driver's separators of words, as a Java and RE2 pattern for one word.
@@ -39,18 +40,9 @@ def fanout(df: DataFrame, share: float = 1.0, mb: int = 64) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Takes the cluster's checkpoint folder; a folder of its own only for a local master where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, taken from the session; a folder of its own only for a local master where none is named."""
+    return shared_folder(spark)
 
 
 #: What ``cut`` returned within each ``temporary`` block.
@@ -72,35 +64,22 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder; the step's shuffle files go when it ends.
-
-    What the driver held for it (broadcast tables, network buffers) goes only
-    when its JVM collects garbage. A driver of 1,500 MB ended over its limit
-    after some sixty steps without that, so it is asked for after each.
-    """
+    """The rows, computed once and kept as Parquet in the shared folder, with the size that they have; the step's shuffle files go when it ends."""
     spark = df.sparkSession
-    ensure_checkpoints(spark)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        out = df.select("*").checkpoint(True)
+        out = checkpointed(df)
     finally:
         spark.conf.set(CLEAN_UP, before)
     if _made:
         _made[-1].append(out)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
 def drop(*done: DataFrame) -> None:
     """Deletes the files of what ``cut`` returned and nothing reads any more."""
-    for df in done:
-        spark = df.sparkSession
-        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    forget(*done)
 
 
 def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str, total: int, how: str = "inner") -> DataFrame:
