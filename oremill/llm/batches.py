@@ -53,18 +53,24 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def spread_out(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of each range, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit name for each ordered pair of names."""
     return spread(a * MULT[1] + (b ^ (b >> np.uint64(30))) * MULT[2])
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice: byte range, row and hash of each."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice, or runs of other bytes than those of ``space``: byte range, row and hash of each."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        inside = ~SPACE[data]
+        inside = ~space[data]
         before = np.empty_like(inside)
         before[:1], before[1:] = False, inside[:-1]
         before[off[:-1][off[:-1] < len(data)]] = False

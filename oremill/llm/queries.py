@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, sentencepiece, substring_dedup, suffix_array_dedup, transport_stream
+from . import embedding_dedup, language_id, lexical_search, line_dedup, mixture, ngram_join, projection_forest, quality, sentencepiece, substring_dedup, suffix_array_dedup, transport_stream, vector_codes
 from .tables import fanout, held_out, read, tokenizer_path
 
 MIX_SQL = r"""
@@ -56,6 +56,36 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN o.text END AS text, d.lang, d
 FROM documents d LEFT JOIN o USING (doc_id)
 """
 
+#: Parts of four components a row; three assignments to the nearest of 64 entries, two moves of the entries between them.
+NEAREST = """{to} AS (SELECT t.vec_id, t.p, t.a, t.b, t.c, t.d, min((power(t.a - k.a, 2) + power(t.b - k.b, 2) + power(t.c - k.c, 2) + power(t.d - k.d, 2))::BIGINT * 64 + k.e) AS best FROM parts t JOIN {books} k USING (p) GROUP BY ALL)"""
+MOVED = """{to} AS (SELECT k.p, k.e, {means} FROM {books} k LEFT JOIN (SELECT p, best % 64 AS e, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM {rows} GROUP BY 1, 2) s USING (p, e))"""
+MEANS = ", ".join(f"CAST(coalesce(floor(s.{c}::DOUBLE / s.n), k.{c}) AS BIGINT) AS {c}" for c in "abcd")
+CODES_SQL = f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT vec_id, p, v[p * 4 + 1] AS a, v[p * 4 + 2] AS b, v[p * 4 + 3] AS c, v[p * 4 + 4] AS d FROM kept, range(16) r(p)),
+books0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, a, b, c, d FROM parts QUALIFY e < 64),
+{NEAREST.format(to="rows0", books="books0")}, {MOVED.format(to="books1", books="books0", rows="rows0", means=MEANS)},
+{NEAREST.format(to="rows1", books="books1")}, {MOVED.format(to="books2", books="books1", rows="rows1", means=MEANS)},
+{NEAREST.format(to="rows2", books="books2")},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM rows2 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) FROM books2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+SAID = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SAID}) AS term FROM documents) GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY 1),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({SAID}) AS term FROM benchmark)),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, g WHERE term IN (SELECT term FROM q) GROUP BY 1),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // len AS m FROM n, g),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN c USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -112,5 +142,20 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_sentencepiece, op3_language_id, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup)}
-ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    books = vector_codes.learn(vectors)
+    out = vector_codes.with_group_error(vector_codes.encode(vectors, books, keep=("vec_id", "label")), "label")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_sentencepiece, op3_language_id, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup, op11_vector_codes, op12_projection_forest, op13_lexical_search)}
+ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL, "op11_vector_codes": CODES_SQL, "op13_lexical_search": SEARCH_SQL}
