@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.functions.columns import hash_order, in_box
+from oremill.functions.columns import in_box
+
+from .selection import random_sample
+
+__all__ = ["random_sample"]
 
 BOX = (32.0, 37.0, -121.0, -114.0)
 
@@ -53,11 +57,6 @@ def fill_with_train_mean(df: DataFrame, cols: Sequence[str], train: Column, fall
     return out.withColumns(filled).select(*df.columns)
 
 
-def random_sample(df: DataFrame, ident: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows, the same in each run."""
-    return df.orderBy(hash_order(seed, F.col(ident)), ident).limit(n)
-
-
 def join_features(df: DataFrame, feats: DataFrame, on: str = "image_id") -> DataFrame:
     return df.join(feats, on, "left")
 

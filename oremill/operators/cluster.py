@@ -1,4 +1,4 @@
-"""k-means over keyed restarts, agglomeration of summaries, single-link components."""
+"""k-means over keyed restarts, cuts of merge trees, cluster summaries."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from oremill.functions.columns import hash_order
 
-from .ranking import checkpointed, distributed_rank
+from .hierarchy import agglomerate, single_link_cut, single_link_forest
+from .ranking import distributed_rank
 
-#: Groups beyond this are no summaries; use ``single_link_cut``.
-MOST = 5000
+__all__ = ["agglomerate", "single_link_cut", "single_link_forest"]
 
 
 def _vector(feats: Sequence[str]) -> Column:
@@ -146,47 +146,6 @@ def cluster_members(df: DataFrame, cluster: str, ident: str) -> DataFrame:
     return df.groupBy(cluster).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(ident)).alias("members"))
 
 
-def agglomerate(df: DataFrame, by: str, ident: str, feats: Sequence[str], method: str = "single") -> DataFrame:
-    """(by, step, a, b, height, size) of each dataset's merges; datasets run in parallel.
-
-    For summaries of at most MOST rows: single, complete, average or centroid
-    linkage, the closest pair first, ties to the lowest numbers. New clusters
-    are numbered from m on.
-    """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = len(pdf)
-        if m > MOST:
-            raise ValueError(f"{m} rows are no summary; take single_link_cut")
-        pdf = pdf.sort_values(ident, kind="stable")
-        x = pdf[list(feats)].to_numpy(float)
-        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        np.fill_diagonal(d, np.inf)
-        names, size, center, rows = list(range(m)), np.ones(m), x.copy(), []
-        alive = np.ones(m, bool)
-        for step in range(m - 1):
-            i, j = divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), m)
-            i, j = min(i, j), max(i, j)
-            rows.append({by: pdf[by].iloc[0], "step": step, "a": min(names[i], names[j]), "b": max(names[i], names[j]), "height": float(d[i, j]), "size": int(size[i] + size[j])})
-            if method == "single":
-                new = np.minimum(d[i], d[j])
-            elif method == "complete":
-                new = np.maximum(d[i], d[j])
-            elif method == "average":
-                new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            elif method == "centroid":
-                center[i] = (size[i] * center[i] + size[j] * center[j]) / (size[i] + size[j])
-                new = np.sqrt(((center - center[i]) ** 2).sum(axis=1))
-            else:
-                raise ValueError(method)
-            d[i, :] = d[:, i] = new
-            d[i, i], alive[j], size[i], names[i] = np.inf, False, size[i] + size[j], m + step
-        return pd.DataFrame(rows, columns=[by, "step", "a", "b", "height", "size"])
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, ident, *feats).groupBy(by).applyInPandas(merge, f"{by} {kind}, step int, a int, b int, height double, size int")
-
-
 def cut_labels(merges: DataFrame, by: str, ks: Sequence[int]) -> DataFrame:
     """(by, k, i, root): the cluster of the i-th row of each dataset when k are left."""
 
@@ -230,35 +189,3 @@ def cluster_labels(df: DataFrame, root: str) -> DataFrame:
 def purity(df: DataFrame, pred: str, truth: str) -> DataFrame:
     c = df.groupBy(pred, truth).agg(F.count("*").alias("c")).groupBy(pred).agg(F.max("c").alias("most"), F.sum("c").alias("all"))
     return c.agg((F.sum("most") / F.sum("all")).alias("purity"))
-
-
-def single_link_cut(df: DataFrame, ident: str, feats: Sequence[str], t: float) -> DataFrame:
-    """(id, component): single linkage cut at height t, as components of pairs no further apart.
-
-    Rows in one grid cell of side t/sqrt(d) are near each other without a test,
-    so a crowded cell is a star; rows of neighbouring cells are compared in
-    cells of side t around them.
-    """
-    d, side = len(feats), t / np.sqrt(len(feats))
-    dims = [f"__{i}" for i in range(d)]
-    x = df.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(k) for c, k in zip(feats, dims, strict=True)]).dropna()
-    fine = x.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in dims]))
-    star = fine.groupBy("cell").agg(F.min("id").alias("a"))
-    inside = fine.join(star, "cell").select("a", F.col("id").alias("b")).where("a != b")
-    reach = range(-(int(np.sqrt(d)) + 1), int(np.sqrt(d)) + 2)
-    steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in np.array(np.meshgrid(*[list(reach)] * d)).T.reshape(-1, d).tolist()])
-    around = fine.select(F.col("id").alias("b"), F.col("cell").alias("own"), *[F.col(c).alias(f"{c}b") for c in dims], F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda u, v: u + v))).alias("cell"))
-    near = sum(((F.col(c) - F.col(f"{c}b")) * (F.col(c) - F.col(f"{c}b")) for c in dims), F.lit(0.0)) <= F.lit(t * t)
-    across = fine.join(around, "cell").where((F.col("cell") < F.col("own")) & near).select(F.col("id").alias("a"), "b")
-    edges = checkpointed(inside.unionByName(across).distinct())
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = x.select("id", F.col("id").alias("c"))
-    while True:
-        low = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        new = label.join(low, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
-        new = checkpointed(new)
-        root = new.select(F.col("id").alias("c"), F.col("c").alias("r"))
-        new = checkpointed(new.join(root, "c").select("id", F.col("r").alias("c"), "was"))
-        if not new.where("c != was").limit(1).count():
-            return new.select("id", F.col("c").alias("component"))
-        label = new.drop("was")

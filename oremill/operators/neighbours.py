@@ -1,18 +1,23 @@
-"""Nearest neighbours: blocks of training rows, the k best of each block, then of all."""
+"""Nearest neighbours: cells around pivots or blocks of training rows, the k best of each, then of all."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.functions.columns import distance, hash_order
+from oremill.functions.columns import distance
 
-from .ranking import distributed_rank, k_sweep_running_mean
+from .ranking import checkpointed, k_sweep_running_mean
+from .selection import thresholds, trial_hashes
 
+#: Pivots of a search at most.
+PIVOTS = 1024
 METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski")
 
 
@@ -36,23 +41,10 @@ def _distances(q: np.ndarray, t: np.ndarray, metric: str, p: float) -> np.ndarra
     raise ValueError(metric)
 
 
-def knn_join(queries: DataFrame, train: DataFrame, ident: str, feats: Sequence[str], k: int, metrics: Sequence[str] = ("euclidean",), p: float = 3.0, by: Sequence[str] = (), per_block: int = 5000, carry: Sequence[str] = ()) -> DataFrame:
-    """(by.., metric, qid, tid, d, rank, carry..): the k nearest train rows of each query, ties by train id.
-
-    Queries and train rows are dealt into blocks of about ``per_block`` rows; a
-    task gets one pair of blocks and returns k rows a query, so what travels
-    is blocks x k rows a query, never the pairs. With ``by`` (a trial), only
-    rows of the same group meet. Two counts decide the number of blocks.
-    """
-    nq, nt = queries.count(), train.count()
-    bq, bt = max(1, -(-nq // per_block)), max(1, -(-nt // per_block))
-    block = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    kind = dict(train.dtypes)
-    # aliases: queries and train rows may come from one frame
-    own = [F.col(c).alias(c) for c in by]
-    q = queries.select(*own, F.col(ident).alias("id"), F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), block(bq, ident).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
-    t = train.select(*own, F.col(ident).alias("id"), F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), *[F.col(c).alias(c) for c in carry], block(bt, ident).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    schema = ", ".join([*(f"{c} {dict(queries.dtypes)[c]}" for c in by), "metric string", f"qid {kind[ident]}", f"tid {kind[ident]}", "d double", *(f"{c} {kind[c]}" for c in carry)])
+def _top(q: DataFrame, t: DataFrame, keys: Sequence[str], k: int, metrics: Sequence[str], p: float, by: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """(by.., metric, qid, tid, d, carry..): for each query (keys.., id, x) the k nearest train rows (keys.., id, x, carry..) of each key."""
+    kq, kt = dict(q.dtypes), dict(t.dtypes)
+    schema = ", ".join([*(f"{c} {kq[c]}" for c in by), "metric string", f"qid {kq['id']}", f"tid {kt['id']}", "d double", *(f"{c} {kt[c]}" for c in carry)])
 
     def nearest(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         columns = [*by, "metric", "qid", "tid", "d", *carry]
@@ -75,8 +67,122 @@ def knn_join(queries: DataFrame, train: DataFrame, ident: str, feats: Sequence[s
                 out.append(pd.DataFrame(rows)[columns])
         return pd.concat(out)
 
-    keys = [*by, "qb", "tb"]
-    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(nearest, schema)
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(nearest, schema)
+
+
+def _rows(df: DataFrame, ident: str, feats: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    # aliases: queries and train rows may come from one frame
+    return df.select(F.col(ident).alias("id"), F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), *[F.col(c).alias(c) for c in more])
+
+
+def _block(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+class Cells:
+    """Train rows by their nearest pivot in one metric, with each cell's number of rows and radius.
+
+    At most ``PIVOTS`` pivots are taken from the rows by hash, so what the driver
+    holds and broadcasts is bounded. All four metrics obey the triangle
+    inequality (Minkowski from p = 1 on), so a row of a cell is no nearer to a
+    query than the pivot's distance less the radius.
+    """
+
+    def __init__(self, train: DataFrame, metric: str, p: float, number: int):
+        self.metric, self.p, spark = metric, p, train.sparkSession
+        taken = train.orderBy(F.xxhash64("id"), "id").limit(max(1, min(number, PIVOTS))).select("x").collect()
+        self.pivots = np.unique(np.array([r["x"] for r in taken], float), axis=0)
+        self.shared = spark.sparkContext.broadcast(self.pivots)
+        self.count, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
+        names, kinds = train.columns, ", ".join(f"`{c}` {k}" for c, k in train.dtypes)
+
+        def place(batches):
+            for b in batches:
+                if len(b):
+                    d = self.to_pivots(np.stack(b["x"].to_numpy()))
+                    cell = d.argmin(axis=1)
+                    yield b.assign(cell=cell.astype(np.int32), far=d[np.arange(len(b)), cell])[[*names, "cell", "far"]]
+
+        self.train = checkpointed(train.mapInPandas(place, f"{kinds}, cell int, far double"))
+        for r in self.train.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row a pivot
+            self.count[r["cell"]], self.radius[r["cell"]] = r["n"], r["far"]
+
+    def __getstate__(self):
+        return {c: getattr(self, c) for c in ("metric", "p", "shared", "count", "radius")}
+
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([_distances(x[i : i + 1024], self.shared.value, self.metric, self.p) for i in range(0, len(x), 1024)])
+
+    def _first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Which cells, nearest first, hold k rows for each query."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.count[order], axis=1) - self.count[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (self.count > 0)
+
+    def visits(self, queries: DataFrame, k: int, bounded: bool) -> DataFrame:
+        """(id, x, cell) of the cells that a query starts with; or, with its bound ``most`` known, of the others that can hold a nearer row."""
+
+        def work(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                d = self.to_pivots(np.stack(b["x"].to_numpy()))
+                seen = self._first(d, k)
+                if bounded:
+                    most = b["most"].to_numpy()[:, None]
+                    # rounding of the distances must not lose a tie
+                    seen = ~seen & (self.count > 0) & (d - self.radius <= most + 1e-9 * (1 + d))
+                i, cell = np.nonzero(seen)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[i], "x": b["x"].to_numpy()[i], "cell": cell.astype(np.int32)})
+
+        return queries.mapInPandas(work, f"id {dict(queries.dtypes)['id']}, x array<double>, cell int")
+
+    def meet(self, visits: DataFrame, k: int, per_block: int, carry: Sequence[str]) -> DataFrame:
+        """The k nearest rows of each visited cell; cells with many rows or visits are cut into pairs of blocks."""
+        visits = checkpointed(visits)
+        asked = np.zeros(len(self.count), np.int64)
+        for r in visits.groupBy("cell").count().collect():  # a row a pivot
+            asked[r["cell"]] = r["count"]
+        sizes = F.array(*[F.struct(F.lit(int(max(1, -(-n // per_block)))).alias("q"), F.lit(int(max(1, -(-m // per_block)))).alias("t")) for n, m in zip(asked, self.count, strict=True)])
+        of = F.get(sizes, F.col("cell"))
+        split = lambda own, other: [F.pmod(F.xxhash64("id"), of[own]).cast("int").alias(f"{own}b"), F.explode(F.sequence(F.lit(0), of[other] - 1)).alias(f"{other}b")]
+        q = visits.select("id", "x", "cell", *split("q", "t"))
+        t = self.train.where(F.col("cell").isin([int(c) for c in np.flatnonzero(asked)])).select("id", "x", *carry, "cell", *split("t", "q"))
+        return _top(q, t, ["cell", "qb", "tb"], k, (self.metric,), self.p, (), carry)
+
+    def nearest(self, queries: DataFrame, k: int, per_block: int, carry: Sequence[str]) -> DataFrame:
+        first = checkpointed(self.meet(self.visits(queries, k, False), k, per_block, carry))
+        w = Window.partitionBy("qid").orderBy("d", "tid")
+        kth = first.select("qid", "d", F.row_number().over(w).alias("n")).where(F.col("n") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.max("d")).otherwise(F.lit(float("inf"))).alias("most"))
+        bound = queries.join(kth, queries.id == kth.qid).select("id", "x", "most")
+        return first.unionByName(self.meet(self.visits(bound, k, True), k, per_block, carry))
+
+
+def knn_join(queries: DataFrame, train: DataFrame, ident: str, feats: Sequence[str], k: int, metrics: Sequence[str] = ("euclidean",), p: float = 3.0, by: Sequence[str] = (), per_block: int = 5000, carry: Sequence[str] = ()) -> DataFrame:
+    """(by.., metric, qid, tid, d, rank, carry..): the k nearest train rows of each query, ties by train id.
+
+    More than ``per_block`` train rows are dealt into cells around pivots. A
+    query first meets the cells nearest to it that hold k rows; its k-th
+    distance there bounds what it can miss, and it goes only to those other
+    cells that the triangle inequality leaves open. Where nothing is left out
+    that is all pairs of blocks, as it is with ``by`` (a trial), where only rows
+    of the same group meet. A task gets one pair of blocks of at most about
+    ``per_block`` rows and returns k rows a query. ``ident`` is a key.
+    """
+    nt = train.count()
+    if not by and nt > per_block and (p >= 1 or "minkowski" not in metrics):
+        q, t = checkpointed(_rows(queries, ident, feats)), _rows(train, ident, feats, carry)
+        found = None
+        for metric in metrics:
+            part = Cells(t, metric, p, -(-nt * 8 // per_block)).nearest(q, k, per_block, carry)
+            found = part if found is None else found.unionByName(part)
+    else:
+        bq, bt = max(1, -(-queries.count() // per_block)), max(1, -(-nt // per_block))
+        q = _rows(queries, ident, feats, by).withColumns({"qb": _block(bq), "tb": F.explode(F.sequence(F.lit(0), F.lit(bt - 1)))})
+        t = _rows(train, ident, feats, [*by, *carry]).withColumns({"tb": _block(bt), "qb": F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))})
+        found = _top(q, t, [*by, "qb", "tb"], k, metrics, p, by, carry)
     w = Window.partitionBy(*by, "metric", "qid").orderBy("d", "tid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -107,16 +213,70 @@ def knn_classify(queries: DataFrame, train: DataFrame, ident: str, feats: Sequen
     return votes(knn_join(queries, train, ident, feats, k, (metric,), carry=(label,)), label, [k]).drop("k")
 
 
+def membership(df: DataFrame, ident: str, trials: int, take: int) -> DataFrame:
+    """Adds ``bits``: a packed bit a trial, set where the row is among the trial's ``take`` of least hash."""
+    hashed = df.withColumn("__h", trial_hashes(trials, F.col(ident)))
+    last = thresholds(hashed, F.col("__h"), [(t, take) for t in range(trials)])[0]
+    kept = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                bits = np.packbits(h <= last, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r.tobytes() for r in bits], pa.binary())], [*b.schema.names[:-1], "bits"])
+
+    return hashed.mapInArrow(pack, f"{kept}, bits binary")
+
+
 def knn_grid_accuracy(df: DataFrame, ident: str, feats: Sequence[str], label: str, trials: int, ks: Sequence[int], metrics: Sequence[str], p_train: float = 0.75) -> DataFrame:
-    """(metric, k, accuracy) over repeated splits; the trial is a key of one job."""
-    t = df.crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
-    t = distributed_rank(t.withColumn("__h", hash_order(F.col("trial").cast("string"), F.col(ident))), ["trial", "__h", ident], "__r")
-    # the rank counts all trials, and each has the same rows
-    in_train = F.col("__r") - F.col("trial") * F.col("__n") <= F.bround(F.col("__n") * p_train)
-    near = knn_join(t.where(~in_train), t.where(in_train), ident, feats, max(ks), metrics, by=("trial",), carry=(label,))
-    pred = votes(near, label, ks, ["trial", "metric"])
-    truth = df.select(F.col(ident).alias("qid"), F.col(label).alias("__y"))
-    per = pred.join(truth, "qid").groupBy("trial", "metric", "k").agg(F.avg((F.col("pred") == F.col("__y")).cast("double")).alias("a"))
-    return per.groupBy("metric", "k").agg(F.avg("a").alias("accuracy"))
+    """(metric, k, accuracy) over repeated splits, the mean over trials; ``ident`` is a key, rows without a label are left out.
+
+    A row's part in all trials is a packed bitmap. Distances do not depend on
+    the trial, so each row's neighbours are searched once, among all rows; in a
+    trial its train neighbours are those whose bit is set, and votes are counted
+    over all trials by products of bit matrices. A row that finds fewer than the
+    largest k in some trial is searched again with twice as many neighbours.
+    """
+    df = df.where(F.col(label).isNotNull())
+    n, most = df.count(), max(ks)
+    take = round(n * p_train)
+    rows = checkpointed(membership(df.select(ident, F.col(label).alias("__y"), *feats), ident, trials, take))
+    truth = rows.select(F.col(ident).alias("qid"), F.col("__y").alias("y"), F.col("bits").alias("own"))
+    wanted, asked, total = math.ceil(most / max(p_train, 1e-9)) + 3 * most + 16, rows, None
 
+    def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for metric, qid, y, own, near in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                tested = np.unpackbits(np.frombuffer(own, np.uint8), count=trials) == 0
+                bits = np.stack([np.unpackbits(np.frombuffer(z["bits"], np.uint8), count=trials) for z in near])[:, tested]
+                rank = np.cumsum(bits, axis=0, dtype=np.int32)
+                if len(near) < n - 1 and bits.shape[1] and rank[-1].min() < most:
+                    out.append((metric, qid, 0, 0, True))
+                    continue
+                names, code = np.unique(np.array([z["__y"] for z in near]), return_inverse=True)
+                each = (np.arange(len(names))[:, None] == code).astype(np.float32)
+                for k in ks:
+                    # the least of equally frequent labels comes first
+                    best = names[(each @ ((rank <= k) & (bits == 1))).argmax(axis=0)]
+                    out.append((metric, qid, k, int((best == y).sum()), False))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), b.schema.field(1).type, pa.int32(), pa.int64(), pa.bool_()))], ["metric", "qid", "k", "right", "open"])
 
+    kind = dict(truth.dtypes)["qid"]
+    while True:
+        # a row is its own nearest
+        near = knn_join(asked, rows, ident, feats, min(wanted, n - 1) + 1, metrics, carry=("__y", "bits")).where("qid != tid")
+        lists = near.groupBy("metric", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "__y", "bits"))).alias("near"))
+        lists = lists.join(truth, "qid").select("metric", "qid", "y", "own", "near")
+        got = checkpointed(lists.mapInArrow(votes_of, f"metric string, qid {kind}, k int, right long, open boolean"))
+        part = got.where("not open")
+        if total is not None:
+            part = part.join(still, ["metric", "qid"], "left_semi")
+        total = part if total is None else total.unionByName(part)
+        still = got.where("open").select("metric", "qid") if wanted < n - 1 else None
+        if still is None or not still.limit(1).count():
+            break
+        asked = rows.join(still.select(F.col("qid").alias(ident)).distinct(), ident, "left_semi")
+        wanted *= 2
+    return total.groupBy("metric", "k").agg((F.sum("right") / F.lit(trials * (n - take))).alias("accuracy"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from oremill.functions.columns import hash28, hash_order
 
 from .clean import fill_with_train_mean
 from .ranking import distributed_rank
+from .selection import thresholds, trial_hashes
 
 
 def _name(rank: Column, n: Column, p_train: float, p_val: float) -> Column:
@@ -32,12 +34,18 @@ def split_hash(df: DataFrame, ident: str, seed: int = 42, p_train: float = 0.65,
 
 
 def split_trials(df: DataFrame, ident: str, trials: int, p_train: float, p_val: float) -> DataFrame:
-    """(trial, id, split) of train and val rows, exact sizes in each trial."""
-    t = df.select(ident).crossJoin(df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
-    t = distributed_rank(t.withColumn("__h", hash_order(F.col("trial").cast("string"), F.col(ident))), ["trial", "__h", ident], "__r")
-    # the rank counts all trials, and each has the same rows
-    t = t.withColumn("__r", F.col("__r") - F.col("trial") * F.col("__n"))
-    return t.withColumn("split", _name(F.col("__r"), F.col("__n"), p_train, p_val)).where("split != 'test'").select("trial", ident, "split")
+    """(trial, id, split) of train and val rows, exact sizes in each trial where ids are a key.
+
+    A trial's sizes are two thresholds on its hashes, found by counts; a row then
+    tells its own part in each trial, so the table is not copied or shuffled.
+    """
+    n = df.count()
+    a, b = round(n * p_train), round(n * p_val)
+    hashes = trial_hashes(trials, F.col(ident))
+    last = thresholds(df, hashes, [(t, r) for t in range(trials) for r in (a, a + b)])[0].reshape(trials, 2).tolist()
+    limits = F.from_json(F.lit(json.dumps(last)), "array<array<bigint>>")
+    part = F.transform(F.arrays_zip(hashes.alias("h"), limits.alias("l")), lambda x: F.when(x["h"] <= x["l"][0], "train").when(x["h"] <= x["l"][1], "val"))
+    return df.select(ident, F.posexplode(part).alias("trial", "split")).where("split is not null").select("trial", ident, "split")
 
 
 def _scaled(df: DataFrame, feats: Sequence[str], train: Column, by: Sequence[str], shift, spread) -> DataFrame:

@@ -111,6 +111,16 @@ def knn_join(spark: S, d: str) -> DataFrame:
     return rounded(neighbours.knn_join(*queries_and_train(spark, d), "id", EACH, 5), d=6)
 
 
+@query("""SELECT m AS metric, qid, tid, round(d, 4) AS d, CAST(row_number() OVER (PARTITION BY m, qid ORDER BY d, tid) AS INTEGER) AS rank FROM (
+            SELECT unnest(['euclidean', 'chebyshev']) AS m, s_suppkey AS qid, c_custkey AS tid, unnest([sqrt(power(s_acctbal - c_acctbal, 2) + power(100.0 * (s_nationkey - c_nationkey), 2)), greatest(abs(s_acctbal - c_acctbal), abs(100.0 * (s_nationkey - c_nationkey)))]) AS d
+            FROM supplier, customer) QUALIFY rank <= 4""")
+def knn_join_cells(spark: S, d: str) -> DataFrame:
+    """Each supplier's nearest customers by balance and nation, by cells of customers around pivots."""
+    rows = lambda name, c: table(spark, d, name).select(F.col(f"{c}key").alias("id"), F.col(f"{c[0]}_acctbal").cast("double").alias("x"), (F.col(f"{c[0]}_nationkey") * 100.0).alias("y"))
+    near = neighbours.knn_join(rows("supplier", "s_supp"), rows("customer", "c_cust"), "id", ["x", "y"], 4, ("euclidean", "chebyshev"), per_block=512)
+    return rounded(near, d=4)
+
+
 NEAR = f"WITH {Q}, N AS (SELECT Q.id AS qid, T.x1 + T.x2 AS y, T.label, row_number() OVER (PARTITION BY Q.id ORDER BY {dist('euclidean', 'Q', 'T')}, T.id) AS rank FROM Q, T)"
 
 
@@ -285,19 +295,32 @@ def kmeans_wcss(spark: S, d: str) -> DataFrame:
     return rounded(cluster.kmeans_wcss(vectors(spark, d), centers(spark, d), EACH), wcss=4)
 
 
-@query()
+#: Lloyd's rounds of several starts (rows of least hash) with a row a center and step; A: each row's cluster in the end.
+LLOYD = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+st AS (SELECT s AS run, CAST(row_number() OVER (PARTITION BY s ORDER BY md5(s || ':' || id), id) - 1 AS INTEGER) AS cluster, x FROM v, range(%d) r(s) QUALIFY cluster < %d),
+m(run, step, cluster, center, moved) AS (SELECT run, 0, cluster, x, true FROM st UNION ALL
+ SELECT * FROM (WITH o AS (SELECT run, step, cluster, center FROM m WHERE step <= 100 QUALIFY bool_or(moved) OVER (PARTITION BY run)),
+  a AS (SELECT o.run, v.id, v.x, o.cluster FROM v, o QUALIFY row_number() OVER (PARTITION BY o.run, v.id ORDER BY list_distance(v.x, o.center), o.cluster) = 1),
+  u AS (SELECT run, cluster, i, avg(e) AS e FROM (SELECT run, cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a) GROUP BY ALL),
+  n AS (SELECT run, cluster, list(e ORDER BY i) AS c FROM u GROUP BY ALL)
+  SELECT o.run, o.step + 1, o.cluster, coalesce(n.c, o.center), coalesce(list_max([abs(n.c[i] - o.center[i]) FOR i IN range(1, len(o.center) + 1)]), 0) >= 1e-12 FROM o LEFT JOIN n USING (run, cluster))),
+f AS (SELECT run, cluster, center FROM m QUALIFY step = max(step) OVER (PARTITION BY run)),
+A AS (SELECT f.run, v.id, f.cluster, power(list_distance(v.x, f.center), 2) AS d2 FROM v, f QUALIFY row_number() OVER (PARTITION BY f.run, v.id ORDER BY list_distance(v.x, f.center), f.cluster) = 1)"""
+
+
+@query(LLOYD % (1, 4) + " SELECT cluster, count(*) AS n, round(sum(d2), 3) AS wcss FROM A GROUP BY 1")
 def kmeans_fit(spark: S, d: str) -> DataFrame:
     rows, _, _ = cluster.kmeans_fit(vectors(spark, d), EACH, 4)
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("d2"), 3).alias("wcss"))
 
 
-@query()
+@query(LLOYD % (20, 3) + ", b AS (SELECT run, sum(d2) AS w FROM A GROUP BY 1 ORDER BY w, run LIMIT 1) SELECT cluster, [round(e, 6) FOR e IN center] AS center, round(w, 3) AS wcss FROM f JOIN b USING (run)")
 def kmeans_best_of_restarts(spark: S, d: str) -> DataFrame:
     table_, cost = cluster.kmeans_best_of_restarts(vectors(spark, d), EACH, 3)
-    return table_.withColumn("wcss", F.round(F.lit(cost), 3))
+    return table_.withColumns({"center": F.transform("center", lambda e: F.round(e, 6)), "wcss": F.round(F.lit(cost), 3)})
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({LLOYD % (20, k)} SELECT CAST({k} AS INTEGER) AS k, round(min(w), 3) AS wcss FROM (SELECT sum(d2) AS w FROM A GROUP BY run))" for k in range(1, 6)))
 def kmeans_k_sweep(spark: S, d: str) -> DataFrame:
     return rounded(cluster.kmeans_k_sweep(vectors(spark, d), EACH, range(1, 6)), wcss=3)
 
@@ -321,7 +344,11 @@ def cluster_members(spark: S, d: str) -> DataFrame:
     return m.select("cluster", "n", F.col("members")[0].alias("first"), F.element_at("members", -1).alias("last"))
 
 
-@query()
+NATIONS = """WITH RECURSIVE g AS (SELECT c_nationkey AS id, [avg(c_acctbal)::DOUBLE, count(*)::DOUBLE] AS x FROM customer GROUP BY 1), v AS (SELECT * FROM g),
+""" + LLOYD.split("\n", 1)[1] % (1, 5)
+
+
+@query(NATIONS + ", w AS (SELECT cluster, avg(x[1]) AS mean FROM A JOIN g USING (id) GROUP BY 1) SELECT cluster, round(mean, 4) AS mean, CAST(row_number() OVER (ORDER BY mean, cluster) - 1 AS INTEGER) AS region FROM w")
 def geo_regions(spark: S, d: str) -> DataFrame:
     """Groups of customers' nations by mean balance and size, numbered by balance."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
@@ -335,7 +362,23 @@ def summaries(spark: S, d: str) -> DataFrame:
     return zscore_fit_apply(g.withColumn("split", F.lit("train")), ["price", "qty"], train_rows(), ["seg"]).drop("split")
 
 
-@query()
+#: The closest pair's merges by method and dataset, with a row a cluster and step; ``of`` holds its members.
+MERGES = L.replace("WITH", "WITH RECURSIVE", 1) + """, g AS (SELECT seg, nation, avg(price) AS price, avg(qty) AS qty FROM L GROUP BY 1, 2),
+z AS (SELECT seg, CAST(row_number() OVER (PARTITION BY seg ORDER BY nation) - 1 AS INTEGER) AS i, (price - avg(price) OVER w) / stddev_pop(price) OVER w AS x, (qty - avg(qty) OVER w) / stddev_pop(qty) OVER w AS y, CAST(count(*) OVER w AS INTEGER) AS m FROM g WINDOW w AS (PARTITION BY seg)),
+s(method, seg, step, id, of, a, b, height) AS (
+ SELECT method, seg, 0, i, [{'x': x, 'y': y}], NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE FROM z, (SELECT unnest(['single', 'complete', 'average', 'centroid']) AS method)
+ UNION ALL
+ SELECT * FROM (WITH p AS (
+   SELECT u.method, u.seg, u.step, u.id AS a, v.id AS b, u.of || v.of AS of, flatten([[sqrt(power(k.x - l.x, 2) + power(k.y - l.y, 2)) FOR l IN v.of] FOR k IN u.of]) AS d,
+    sqrt(power(list_avg([k.x FOR k IN u.of]) - list_avg([l.x FOR l IN v.of]), 2) + power(list_avg([k.y FOR k IN u.of]) - list_avg([l.y FOR l IN v.of]), 2)) AS c
+   FROM s u JOIN s v ON u.method = v.method AND u.seg = v.seg AND u.id < v.id),
+  h AS (SELECT *, CASE method WHEN 'single' THEN list_min(d) WHEN 'complete' THEN list_max(d) WHEN 'average' THEN list_avg(d) ELSE c END AS height FROM p),
+  t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY method, seg ORDER BY height, a, b) = 1)
+  SELECT t.method, t.seg, t.step + 1, (SELECT max(m) FROM z WHERE z.seg = t.seg) + t.step, t.of, t.a, t.b, t.height FROM t
+  UNION ALL SELECT s.method, s.seg, s.step + 1, s.id, s.of, NULL, NULL, NULL FROM s JOIN t ON s.method = t.method AND s.seg = t.seg AND s.id <> t.a AND s.id <> t.b))"""
+
+
+@query(MERGES + " SELECT seg, CAST(step - 1 AS INTEGER) AS step, a, b, round(height, 6) AS height, CAST(len(of) AS INTEGER) AS size, method FROM s WHERE a IS NOT NULL")
 def agglomerate(spark: S, d: str) -> DataFrame:
     out = None
     for m in ("single", "complete", "average", "centroid"):
@@ -344,7 +387,8 @@ def agglomerate(spark: S, d: str) -> DataFrame:
     return rounded(out, height=6)
 
 
-@query()
+@query(MERGES + """, c AS (SELECT seg, CAST((SELECT max(m) FROM z WHERE z.seg = s.seg) - step AS INTEGER) AS k, len(of) * (list_var_pop([e.x FOR e IN of]) + list_var_pop([e.y FOR e IN of])) AS w FROM s WHERE method = 'average')
+       SELECT seg, k, round(sum(w), 5) AS wcss FROM c WHERE k <= 10 GROUP BY 1, 2""")
 def cut_wcss(spark: S, d: str) -> DataFrame:
     s = summaries(spark, d)
     cuts = cluster.cut_labels(cluster.agglomerate(s, "seg", "nation", ["price", "qty"], "average"), "seg", range(1, 11))
@@ -374,11 +418,30 @@ def purity(spark: S, d: str) -> DataFrame:
     return rounded(cluster.purity(cluster.kmeans_assign(vectors(spark, d), centers(spark, d), EACH), "cluster", "label"), purity=8)
 
 
-@query()
+def places(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+
+
+NEARBY = """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size AS x, p_partkey % 97 AS y FROM part),
+e AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)"""
+
+
+@query(NEARBY + ", r AS (SELECT id, id AS c FROM p UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY 1")
 def single_link_cut(spark: S, d: str) -> DataFrame:
-    """All parts; SQL would join all pairs, so a test holds it against brute force."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
-    return cluster.single_link_cut(p, "id", ["x", "y"], 2.0)
+    """All parts by size and the rest of their key, in groups no nearer to each other than 2."""
+    return cluster.single_link_cut(places(spark, d), "id", ["x", "y"], 2.0)
+
+
+#: Merges up to a height are as many as rows less components; distances here are roots of 0, 1, 2 and 4.
+LEVEL = "r{n} AS (SELECT {n} AS n, id, id AS c FROM p UNION SELECT {n}, e.b, r{n}.c FROM r{n} JOIN e ON e.a = r{n}.id WHERE w * w < {n} + 0.5)"
+
+
+@query(NEARBY + ", " + ", ".join(LEVEL.format(n=n) for n in (0, 1, 2, 4)) + """, c AS (SELECT n, count(DISTINCT c) AS left_ FROM (""" + " UNION ALL ".join(f"SELECT n, id, min(c) AS c FROM r{n} GROUP BY 1, 2" for n in (0, 1, 2, 4)) + """) GROUP BY 1)
+       SELECT round(sqrt(n), 6) AS height, coalesce(lag(left_) OVER (ORDER BY n), (SELECT count(*) FROM p)) - left_ AS n FROM c QUALIFY n > 0""")
+def single_link_forest(spark: S, d: str) -> DataFrame:
+    """How many of the parts' single-linkage merges up to a height of 2 there are at each height."""
+    forest = cluster.single_link_forest(places(spark, d), "id", ["x", "y"], 2.0)
+    return forest.groupBy(F.round("w", 6).alias("height")).agg(F.count("*").alias("n"))
 
 
 # Classification measures

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oremill.functions.columns import city_base_name, first_match_in_json_array, mcc, money_label
-from oremill.operators import clean, cluster, evaluate, image, linear, neighbours, prep, profile, ranking, sequence, tree
+from oremill.operators import clean, cluster, evaluate, hierarchy, image, linear, neighbours, prep, profile, ranking, selection, sequence, tree
 from oremill.sources import tabular
 from oremill.streaming import lookup
 
@@ -147,19 +147,93 @@ def test_kmeans_falls_and_keeps_empty_clusters(spark):
     assert sweep[0] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum()) and sweep[0] > sweep[1] > sweep[2]
 
 
-def test_single_link_cut_equals_agglomeration(spark):
+def greedy(x, method):
+    """Heights of the closest pair's merges, by distances between all rows."""
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    groups, out = [[i] for i in range(len(x))], []
+    far = {"single": lambda a, b: d[np.ix_(a, b)].min(), "complete": lambda a, b: d[np.ix_(a, b)].max(), "average": lambda a, b: d[np.ix_(a, b)].mean(), "centroid": lambda a, b: np.sqrt(((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum())}[method]
+    m = np.array([[far(a, b) if a != b else np.inf for b in groups] for a in groups])
+    while len(groups) > 1:
+        i, j = sorted(divmod(int(m.argmin()), len(groups)))
+        out.append(m[i, j])
+        groups[i] = groups[i] + groups[j]
+        del groups[j]
+        m = np.delete(np.delete(m, j, 0), j, 1)
+        for k, g in enumerate(groups):
+            m[i, k] = m[k, i] = far(groups[i], g) if k != i else np.inf
+    return out
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average", "centroid"])
+@pytest.mark.parametrize("table", [4000, 20])
+def test_linkages_equal_the_greedy_loop(method, table, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TABLE", table)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(60, 3)) + 5])
+    merges = hierarchy.LINKAGES[method](x)
+    assert np.allclose([m[2] for m in merges], greedy(x, method)) and len({m[1] for m in merges} | {m[0] for m in merges}) == 120
+
+
+def test_linkages_of_500_and_20000_rows():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 2))
+    for method in hierarchy.LINKAGES:
+        heights = [m[2] for m in hierarchy.LINKAGES[method](x)]
+        d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        size, c, want = np.ones(500), x.copy(), []
+        for _ in range(499):
+            i, j = sorted(divmod(int(d.argmin()), 500))
+            want.append(d[i, j])
+            both = np.stack([d[i], d[j]])
+            c[i] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j])
+            new = {"single": both.min(axis=0), "complete": both.max(axis=0), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "centroid": np.sqrt(((c - c[i]) ** 2).sum(axis=1))}[method]
+            size[i] += size[j]
+            new[np.isinf(both[0]) & np.isinf(both[1]) | np.isinf(both).any(axis=0)] = np.inf
+            d[i] = d[:, i] = new
+            d[j] = d[:, j] = np.inf
+            d[i, i] = np.inf
+        assert np.allclose(sorted(heights), sorted(want)), method
+    big = np.concatenate([rng.normal(size=(10000, 2)), rng.normal(size=(10000, 2)) + 100])
+    merges = hierarchy.single_linkage(big)
+    assert len(merges) == 19999 and merges[-1][2] > 50 > merges[-2][2]
+
+
+def mst_heights(x, most):
+    return np.sort(hierarchy.prim(x, most)[2])
+
+
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_spanning_forest_over_cells_and_rounds(spark, small, monkeypatch):
+    monkeypatch.setattr(hierarchy, "CELL", 20)
+    monkeypatch.setattr(hierarchy, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(size=(300, 2)) * 10, rng.normal(size=(60, 2)) * 0.05 + 4, np.repeat(rng.uniform(size=(5, 2)) * 10, 6, axis=0), np.arange(40)[:, None] * [0.3, 0] + [20, 0]])
+    df = spark.createDataFrame([(1000 - i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(5000, None, 1.0)], "id long, a double, b double")
+    forest, label, rounds = hierarchy.spanning_forest(hierarchy.near_forests(df, "id", ["a", "b"], 0.7), small)
+    print("rounds", rounds)
+    assert rounds <= np.log2(len(x)) and (rounds > 0) == (small == 0)
+    assert np.allclose(sorted(r["w"] for r in forest.collect()), mst_heights(x, 0.7))
+    near = ((x[:, None] - x) ** 2).sum(axis=2) <= 0.49
+    least = np.arange(len(x))[::-1] + 1000 - len(x) + 1
+    while (new := np.where(near, least, 10**6).min(axis=1)).tolist() != least.tolist():
+        least = new
+    got = {r["id"]: r["c"] for r in label.collect()}
+    assert all(got.get(1000 - i, 1000 - i) == least[i] for i in range(len(x)))
+    cut = {r["id"]: r["component"] for r in hierarchy.single_link_cut(df, "id", ["a", "b"], 0.7).collect()} if small else None
+    assert cut is None or cut == {5000: 5000, **{1000 - i: int(least[i]) for i in range(len(x))}}
+
+
+def test_single_link_forest_equals_agglomeration(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(size=(60, 2)) * 10
     df = spark.createDataFrame([(i, 0, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, g int, a double, b double")
-    merges = cluster.agglomerate(df, "g", "id", ["a", "b"], "single").where("height <= 1.0").count()
+    merges = [r["height"] for r in cluster.agglomerate(df, "g", "id", ["a", "b"], "single").orderBy("step").collect()]
+    forest = [r["w"] for r in cluster.single_link_forest(df, "id", ["a", "b"]).orderBy("w").collect()]
+    assert np.allclose(merges, forest)
     cut = cluster.single_link_cut(df, "id", ["a", "b"], 1.0)
-    assert cut.select("component").distinct().count() == 60 - merges and cut.count() == 60
-    with pytest.raises(Exception, match="summary"):
-        cluster.MOST, kept = 10, cluster.MOST
-        try:
-            cluster.agglomerate(df, "g", "id", ["a", "b"], "single").count()
-        finally:
-            cluster.MOST = kept
+    assert cut.select("component").distinct().count() == 60 - sum(h <= 1.0 for h in merges) and cut.count() == 60
+    assert cluster.single_link_cut(df.where("false"), "id", ["a", "b"], 1.0).count() == 0
 
 
 def test_linkages_by_hand(spark):
@@ -290,5 +364,81 @@ def test_no_pairs_and_no_single_task(spark):
     plan = neighbours.knn_join(v, v, "id", ["x"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     trials = prep.split_trials(v, "id", 4, 0.65, 0.15)._jdf.queryExecution().executedPlan().toString()
-    # ranks come from prefix sums over range partitions; what meets in one task is a row for each of these
-    assert "row_number" not in trials and "__first" in trials
+    # a row tells its own part from thresholds
+    assert "Exchange" not in trials and "Join" not in trials
+
+
+def test_thresholds_and_samples(spark):
+    df = spark.range(3000).withColumn("id", F.when(F.col("id") >= 2900, F.lit(7)).otherwise(F.col("id")))
+    rows = df.select(selection.hash60(3, F.col("id")).alias("h"), F.md5(F.concat_ws(":", F.lit("3"), F.col("id").cast("string")).cast("binary")).alias("m")).collect()
+    h = np.sort([r["h"] for r in rows])
+    assert [r["h"] for r in sorted(rows, key=lambda r: r["m"])] == h.tolist()
+    wanted = [(0, n) for n in (0, 1, 2, 500, 2999, 3000)]
+    last, equal = selection.thresholds(df, F.array(selection.hash60(3, F.col("id"))), wanted)
+    for (_, n), v, e in zip(wanted, last.tolist(), equal.tolist(), strict=True):
+        below, same = int((h < v).sum()), int((h == v).sum())
+        assert (h <= v).sum() == n if e > 3000 else below + e == n and 0 < e < same
+    # an id that 101 rows have is cut within its rows
+    seven = [r["id"] for r in df.orderBy(selection.hash_order(3, F.col("id")), "id").select("id").collect()]
+    inside = seven.index(7) + 40
+    for n in (0, 1, 777, inside, 3000, 5000):
+        for _ in range(2):
+            got = sorted(r["id"] for r in selection.random_sample(df, "id", n, 3).collect())
+            assert got == sorted(seven[:n])
+    plan = selection.random_sample(spark.range(1000), "id", 900, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Limit" not in plan
+
+
+def test_neighbours_by_cells(spark):
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=(30, 4)) * 20
+    x = np.concatenate([middle[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 4)), np.repeat(middle[:1], 40, axis=0)])
+    df = spark.createDataFrame([(i, *map(float, v), i % 7) for i, v in enumerate(x)], "id long, a double, b double, c double, d double, y long")
+    feats = ["a", "b", "c", "d"]
+    q = df.where("id % 10 = 0")
+    got = {}
+    for r in neighbours.knn_join(q, df.where("id % 10 != 0"), "id", feats, 6, neighbours.METRICS, per_block=300, carry=("y",)).collect():
+        got[r["metric"], r["qid"], r["rank"]] = (r["tid"], r["y"])
+    own, other = np.arange(0, len(x), 10), np.flatnonzero(np.arange(len(x)) % 10)
+    for metric in neighbours.METRICS:
+        d = neighbours._distances(x[own], x[other], metric, 3.0)
+        near = other[np.argsort(d, axis=1, kind="stable")[:, :6]]
+        assert all(got[metric, q, k + 1] == (t, t % 7) for q, row in zip(own.tolist(), near.tolist(), strict=True) for k, t in enumerate(row))
+    assert len(got) == 4 * 6 * len(own)
+    rows = neighbours._rows(df, "id", feats)
+    for metric in neighbours.METRICS:
+        cells = neighbours.Cells(rows, metric, 3.0, 60)
+        first = cells.visits(rows, 6, False)
+        bound = neighbours.knn_join(df, df, "id", feats, 6, (metric,), per_block=300).where("rank = 6").select(F.col("qid").alias("id"), F.col("d").alias("most"))
+        rest = cells.visits(rows.join(bound, "id"), 6, True)
+        visited = (first.count() + rest.count()) / (len(x) * len(cells.pivots))
+        print(metric, "share of pairs of query and cell visited", round(visited, 3))
+        assert visited < 0.25
+
+
+def accuracies(x, y, trials, ks, metric, p_train):
+    """By all distances, trial by trial."""
+    import hashlib
+
+    n = len(x)
+    take, out = round(n * p_train), np.zeros((trials, len(ks)))
+    d = neighbours._distances(x, x, metric, 3.0)
+    for t in range(trials):
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"{t}:{i}".encode()).hexdigest(), i))
+        train, test = np.sort(order[:take]), np.sort(order[take:])
+        near = train[np.argsort(d[np.ix_(test, train)], axis=1, kind="stable")]
+        for j, k in enumerate(ks):
+            counts = np.stack([(y[near[:, :k]] == v).sum(axis=1) for v in range(y.max() + 1)])
+            out[t, j] = (counts.argmax(axis=0) == y[test]).mean()
+    return out.mean(axis=0)
+
+
+@pytest.mark.parametrize("p_train", [0.75, 0.05])
+def test_grid_accuracy_over_trials_as_bitmaps(spark, p_train):
+    rng = np.random.default_rng(13)
+    y = rng.integers(0, 4, 400)
+    x = rng.normal(size=(400, 2)) + np.array([[0, 0], [1, 0], [0, 1], [1, 1]])[y]
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y int")
+    got = {(r["metric"], r["k"]): r["accuracy"] for r in neighbours.knn_grid_accuracy(df, "id", ["a", "b"], "y", 25, [1, 4, 5], ["euclidean", "chebyshev"], p_train).collect()}
+    for metric in ("euclidean", "chebyshev"):
+        assert np.allclose([got[metric, k] for k in (1, 4, 5)], accuracies(x, y, 25, [1, 4, 5], metric, p_train))
