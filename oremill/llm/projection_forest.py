@@ -49,6 +49,8 @@ K, TREES, LEAF, LEVELS, SAMPLE = 5, 6, 128, 10, 20_000
 PROBES, GOAL, MOST = 128, 0.98, 1024
 #: Rows of a cell that a task routes at once.
 ROUTED = 1 << 16
+#: Results that a task holds before it thins them out.
+HELD = 1 << 18
 
 
 @dataclass
@@ -321,8 +323,19 @@ def budget(forest: Forest, classes: DataFrame, queries: DataFrame, k: int, goal:
     return found[need - 1] if need <= len(found) else MOST
 
 
+def top(query: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, an id once, ties by id."""
+    order = np.lexsort((-score, vec_id, query))
+    new = np.ones(len(order), bool)
+    new[1:] = (query[order][1:] != query[order][:-1]) | (vec_id[order][1:] != vec_id[order][:-1])
+    order = order[new]
+    order = order[np.lexsort((vec_id[order], -score[order], query[order]))]
+    order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+    return query[order], vec_id[order], score[order]
+
+
 def compared(index: DataFrame, visits: DataFrame, kind: str, k: int, parts: int) -> DataFrame:
-    """(rep, vec_id, score): of each leaf the k best members of other classes for each query that takes it."""
+    """(rep, vec_id, score): of each task's leaves the k best members of other classes for each query that takes some of them."""
     rows = index.select("place", "rep", "vec", "ids").unionByName(visits.select("place", "rep", "vec", F.lit(None).cast("array<long>").alias("ids")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +348,7 @@ def compared(index: DataFrame, visits: DataFrame, kind: str, k: int, parts: int)
         order = np.lexsort((rep, asks, place))
         x = doubles(whole, kind)
         begin, _ = first_of(place[order])
+        found, pending = [], 0
         for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
             here = order[lo:hi]
             split = int(np.searchsorted(asks[here], True))
@@ -353,9 +367,14 @@ def compared(index: DataFrame, visits: DataFrame, kind: str, k: int, parts: int)
                 many = np.array([len(ids[j]) for j in own[b]], np.int64)
                 a, score = np.repeat(a, many), np.repeat(score, many)
                 vec_id = np.concatenate([ids[j] for j in own[b]]) if len(b) else np.zeros(0, np.int64)
-                best = np.lexsort((vec_id, -score, a))
-                best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < k]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some[a[best]]]), pa.array(vec_id[best]), pa.array(score[best])], ["rep", "vec_id", "score"])
+                found.append(top(rep[some[a]], vec_id, score, k))
+                pending += len(found[-1][0])
+                if pending > HELD:
+                    # a query's leaves share its k places
+                    found = [top(*map(np.concatenate, zip(*found, strict=True)), k)]
+                    pending = len(found[0][0])
+        if found:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, top(*map(np.concatenate, zip(*found, strict=True)), k))), ["rep", "vec_id", "score"])
 
     return rows.repartition(parts, "place").mapInArrow(work, "rep long, vec_id long, score double")
 
