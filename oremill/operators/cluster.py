@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.functions.columns import hash_order
-
 from .hierarchy import agglomerate, single_link_cut, single_link_forest
-from .ranking import distributed_rank
+from .ranking import checkpointed, distributed_rank, forget
+from .selection import hash60
 
 __all__ = ["agglomerate", "single_link_cut", "single_link_forest"]
 
@@ -42,56 +42,87 @@ def kmeans_wcss(df: DataFrame, centroids: DataFrame, feats: Sequence[str]) -> Da
     return kmeans_assign(df, centroids, feats).agg(F.sum("d2").alias("wcss"))
 
 
-def _starts(df: DataFrame, ident: str, feats: Sequence[str], k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:
-    """The k rows of least hash for each seed."""
-    out = {}
-    for s in seeds:
-        rows = df.orderBy(hash_order(s, F.col(ident)), ident).limit(k).select(_vector(feats).alias("x")).collect()
-        out[s] = np.array([r["x"] for r in rows])
-    return out
+def _packed(df: DataFrame, ident: str, feats: Sequence[str]) -> DataFrame:
+    """(id, x), kept once for all rounds."""
+    return checkpointed(df.select(F.col(ident).alias("id"), _vector(feats).alias("x")))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _starts(rows: DataFrame, k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:
+    """The k rows of least hash for each seed, in one pass: a task keeps its own k, of which the k least stay."""
+    hashed = rows.select("id", "x", F.array(*[hash60(s, F.col("id")) for s in seeds]).alias("h"))
+    kind = dict(rows.dtypes)["id"]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [None] * len(seeds)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for i in range(len(seeds)):
+                some = pa.table({"seed": np.full(b.num_rows, i, np.int32), "h": h[:, i], "id": b.column(0), "x": b.column(1)})
+                some = pa.concat_tables([held[i], some]) if held[i] is not None else some
+                held[i] = some.sort_by([("h", "ascending"), ("id", "ascending")]).slice(0, k).combine_chunks()
+        for t in held:
+            if t is not None:
+                yield from t.to_batches()
+
+    w = Window.partitionBy("seed").orderBy("h", "id")
+    found = hashed.mapInArrow(least, f"seed int, h long, id {kind}, x array<double>").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    # k rows a seed
+    out: dict[int, list] = {s: [] for s in seeds}
+    for r in found.orderBy("seed", "n").select("seed", "x").collect():
+        out[list(seeds)[r["seed"]]].append(r["x"])
+    return {s: np.array(x, float) for s, x in out.items()}
 
 
-def _lloyd(df: DataFrame, feats: Sequence[str], starts: dict, max_iter: int) -> tuple[dict, dict]:
-    """Lloyd's rounds of all runs at once: each round is one pass with k x d sums per run and task.
+def _lloyd(rows: DataFrame, starts: dict, max_iter: int) -> tuple[dict, dict]:
+    """Lloyd's rounds of all runs at once: each round is one pass over the kept rows with k x (d + 2) sums a run and task.
 
-    (centers, wcss) by run. A run ends when its centers stay.
+    (centers, wcss) by run. A run ends when its centers stay, and is left out from then on.
     """
-    spark, x = df.sparkSession, df.select(_vector(feats).alias("x"))
-    centers, open_, cost = dict(starts), set(starts), {}
+    spark, x = rows.sparkSession, rows.select("x")
+    centers, open_, cost = dict(starts), set(starts), {s: 0.0 for s in starts}
     for _ in range(max_iter + 1):
-        shared = spark.sparkContext.broadcast({s: centers[s] for s in open_})
+        runs = sorted(open_, key=str)
+        shared = spark.sparkContext.broadcast([centers[s] for s in runs])
 
-        def work(batches, shared=shared):
-            sums: dict = {}
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((len(c), c.shape[1] + 2)) for c in shared.value]
             for b in batches:
-                if not len(b):
-                    continue
-                p = np.stack(b["x"].to_numpy())
-                for s, c in shared.value.items():
-                    d2 = ((p[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) if p.size * len(c) < 5e7 else np.stack([((p - q) ** 2).sum(axis=1) for q in c], axis=1)
-                    at = d2.argmin(axis=1)
-                    part = np.zeros((len(c), p.shape[1] + 2))
-                    part[:, 0] = np.bincount(at, minlength=len(c))
-                    part[:, 1] = np.bincount(at, d2[np.arange(len(p)), at], len(c))
-                    for j in range(p.shape[1]):
-                        part[:, 2 + j] = np.bincount(at, p[:, j], len(c))
-                    sums[s] = sums[s] + part if s in sums else part
-            yield pd.DataFrame([{"run": str(s), "cluster": i, "s": r.tolist()} for s, m in sums.items() for i, r in enumerate(m)], columns=["run", "cluster", "s"])
-
-        width = len(feats) + 2
-        parts = x.mapInPandas(work, "run string, cluster int, s array<double>")
-        total = parts.groupBy("run", "cluster").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s")).collect()
-        by = {(r["run"], r["cluster"]): np.array(r["s"]) for r in total}
-        for s in list(open_):
-            new = centers[s].copy()
-            cost[s] = sum(by[str(s), i][1] for i in range(len(new)) if (str(s), i) in by)
-            for i in range(len(new)):
-                got = by.get((str(s), i))
-                if got is not None and got[0] > 0:
-                    new[i] = got[2:] / got[0]
-            if np.abs(new - centers[s]).max(initial=0) < 1e-12:
+                for at in range(0, b.num_rows, 4096):
+                    p = _matrix(b.slice(at, 4096))
+                    for c, part in zip(shared.value, sums, strict=True):
+                        d2 = np.empty((len(p), len(c)))
+                        for i, q in enumerate(c):
+                            gap = p - q
+                            d2[:, i] = np.einsum("ij,ij->i", gap, gap)
+                        near = d2.argmin(axis=1)
+                        one = np.zeros((len(c), len(p)))
+                        one[near, np.arange(len(p))] = 1
+                        part[:, 0] += one.sum(axis=1)
+                        part[:, 1] += one @ d2[np.arange(len(p)), near]
+                        part[:, 2:] += one @ p
+            flat = np.concatenate([s.ravel() for s in sums])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "s"])
+
+        total = np.zeros(sum(centers[s].size + 2 * len(centers[s]) for s in runs))
+        got = x.mapInArrow(work, "place long, s double").groupBy("place").agg(F.sum("s").alias("s")).toArrow()
+        total[got["place"].to_numpy()] = got["s"].to_numpy()
+        at = 0
+        for s in runs:
+            c = centers[s]
+            m = total[at : at + c.size + 2 * len(c)].reshape(len(c), -1)
+            at += m.size
+            used = m[:, 0] > 0
+            new = c.copy()
+            new[used] = m[used, 2:] / m[used, :1]
+            cost[s], centers[s] = float(m[:, 1].sum()), new
+            if np.abs(new - c).max(initial=0) < 1e-12:
                 open_.discard(s)
-            centers[s] = new
         if not open_:
             break
     return centers, cost
@@ -103,23 +134,29 @@ def centroid_table(spark, centers: np.ndarray) -> DataFrame:
 
 def kmeans_fit(df: DataFrame, feats: Sequence[str], k: int, max_iter: int = 100, seed: int = 0, init: np.ndarray | None = None, ident: str = "id") -> tuple[DataFrame, DataFrame, float]:
     """(rows with cluster and d2, centroids, wcss) from k rows of least hash or a given start."""
-    start = {seed: np.asarray(init, float)} if init is not None else _starts(df, ident, feats, k, [seed])
-    centers, cost = _lloyd(df, feats, start, max_iter)
+    rows = _packed(df, ident, feats)
+    start = {seed: np.asarray(init, float)} if init is not None else _starts(rows, k, [seed])
+    centers, cost = _lloyd(rows, start, max_iter)
+    forget(rows)
     table = centroid_table(df.sparkSession, centers[seed])
     return kmeans_assign(df, table, feats), table, float(cost[seed])
 
 
 def kmeans_best_of_restarts(df: DataFrame, feats: Sequence[str], k: int, restarts: int = 20, ident: str = "id", max_iter: int = 100) -> tuple[DataFrame, float]:
     """(centroids, wcss) of the best of several starts, which run together."""
-    centers, cost = _lloyd(df, feats, _starts(df, ident, feats, k, range(restarts)), max_iter)
+    rows = _packed(df, ident, feats)
+    centers, cost = _lloyd(rows, _starts(rows, k, range(restarts)), max_iter)
+    forget(rows)
     best = min(cost, key=lambda s: (cost[s], s))
     return centroid_table(df.sparkSession, centers[best]), float(cost[best])
 
 
 def kmeans_k_sweep(df: DataFrame, feats: Sequence[str], ks: Sequence[int], restarts: int = 20, ident: str = "id", max_iter: int = 100) -> DataFrame:
     """(k, wcss): the best of the restarts for each k; all runs share each pass."""
-    starts = {f"{k}:{s}": c[:k] for s, c in _starts(df, ident, feats, max(ks), range(restarts)).items() for k in ks}
-    cost = _lloyd(df, feats, starts, max_iter)[1]
+    rows = _packed(df, ident, feats)
+    starts = {f"{k}:{s}": c[:k] for s, c in _starts(rows, max(ks), range(restarts)).items() for k in ks}
+    cost = _lloyd(rows, starts, max_iter)[1]
+    forget(rows)
     best = {k: min(v for r, v in cost.items() if r.startswith(f"{k}:")) for k in ks}
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in best.items()], "k int, wcss double")
 

@@ -77,7 +77,12 @@ def slr_closed_form(spark: S, d: str) -> DataFrame:
     return rounded(s, beta=6, alpha=4, sse=2)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(p_size)::DOUBLE AS sx, sum(p_retailprice) AS sy, sum(p_size * p_size)::DOUBLE AS sxx, sum(p_retailprice * p_retailprice) AS syy, sum(p_size * p_retailprice) AS sxy FROM part),
+x AS (SELECT CASE WHEN i = 100 THEN 0 ELSE sign(i - 100) * pow(10.0::DOUBLE, -6 + 6 * abs(i - 100) / 100.0::DOUBLE) END AS d FROM range(201) r(i)),
+g(beta, alpha, sse, rounds, still) AS (SELECT regr_slope(p_retailprice, p_size) + 0.05::DOUBLE, regr_intercept(p_retailprice, p_size) - 0.5::DOUBLE, NULL::DOUBLE, 0, false FROM part UNION ALL
+ SELECT * FROM (SELECT c.b, c.a, syy + c.b * c.b * sxx + c.a * c.a * n - 2 * c.b * sxy - 2 * c.a * sy + 2 * c.a * c.b * sx AS sse, c.rounds + 1, abs(c.d1) < 5e-4 AND abs(c.d2) < 5e-4
+   FROM (SELECT g.beta + p.d AS b, g.alpha + q.d AS a, p.d AS d1, q.d AS d2, rounds FROM g, x p, x q WHERE NOT still AND rounds < 50) c, s ORDER BY sse, c.b, c.a LIMIT 1))
+SELECT round(beta, 4) AS beta, round(alpha, 3) AS alpha, round(sse, 0) AS sse, CAST(rounds AS INTEGER) AS rounds FROM g ORDER BY rounds DESC LIMIT 1""")
 def sse_grid_search(spark: S, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     start = linear.slr_closed_form(p, "x", "y").head()
@@ -201,19 +206,46 @@ def best_split_regression(spark: S, d: str) -> DataFrame:
     return rounded(s.withColumn("gain", F.col("gain") / 1000), gain=2)
 
 
-@query()
+def tree_sql(rows: str, depth: int, least: int) -> str:
+    """A tree in SQL, three tables a level: r, where rows (id, size, bucket, y, train) are; b, each node's best cut; s, its nodes."""
+    out = [f"r0 AS (SELECT *, 1 AS node_id FROM {rows})"]
+    for i in range(depth + 1):
+        stats = f"n{i} AS (SELECT node_id, count(*) AS n, avg(y) AS value, var_pop(y) * count(*) AS sse FROM r{i} WHERE train GROUP BY 1)"
+        if i == depth:
+            return ", ".join([*out, stats, f"s{i} AS (SELECT node_id, n, value, true AS is_leaf, NULL::VARCHAR AS feat, NULL::DOUBLE AS thr FROM n{i})"])
+        cut = f"""b{i} AS (SELECT node_id, feat, (x + nx) / 2 AS thr, sl * sl / nl + (t - sl) * (t - sl) / (n - nl) - t * t / n AS gain FROM (
+          SELECT *, sum(c) OVER o AS nl, sum(s) OVER o AS sl, sum(c) OVER w AS n, sum(s) OVER w AS t, lead(x) OVER (PARTITION BY node_id, place ORDER BY x) AS nx FROM (
+            SELECT node_id, place, any_value(feat) AS feat, x, count(*)::DOUBLE AS c, sum(y) AS s FROM (SELECT node_id, y, unnest([1, 2]) AS place, unnest(['size', 'bucket']) AS feat, unnest([size, bucket]) AS x FROM r{i} WHERE train) GROUP BY node_id, place, x)
+          WINDOW o AS (PARTITION BY node_id, place ORDER BY x ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY node_id, place))
+          WHERE nx IS NOT NULL AND nl >= {least} AND n - nl >= {least} AND sl * sl / nl + (t - sl) * (t - sl) / (n - nl) - t * t / n > 0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY gain DESC, place, thr) = 1)"""
+        nodes = f"""s{i} AS (SELECT node_id, n, value, leaf AS is_leaf, CASE WHEN NOT leaf THEN feat END AS feat, CASE WHEN NOT leaf THEN thr END AS thr
+          FROM (SELECT *, feat IS NULL OR n < {2 * least} OR sse < 1e-9 AS leaf FROM n{i} LEFT JOIN b{i} USING (node_id)))"""
+        down = f"r{i + 1} AS (SELECT r.* EXCLUDE (node_id), 2 * node_id + CASE WHEN CASE s.feat WHEN 'size' THEN size ELSE bucket END <= thr THEN 0 ELSE 1 END AS node_id FROM r{i} r JOIN s{i} s USING (node_id) WHERE NOT s.is_leaf)"
+        out += [stats, cut, nodes, down]
+    raise AssertionError("the last level returns")
+
+
+TREE = "WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, (p_partkey % 17)::DOUBLE AS bucket, p_retailprice AS y, true AS train FROM part), "
+#: A row's prediction at depth d: the value of the deepest node that it reaches by then.
+REACHED = lambda depth: "e AS (" + " UNION ALL ".join(f"SELECT id, y, train, {i} AS depth, value FROM r{i} JOIN s{i} USING (node_id)" for i in range(depth + 1)) + ")"
+
+
+@query(TREE + tree_sql("p", 4, 10) + " SELECT CAST(node_id AS BIGINT) AS node_id, is_leaf, round(value, 4) AS value, feat, thr, n FROM (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(5)) + ")")
 def tree_fit_regression(spark: S, d: str) -> DataFrame:
     return rounded(tree.tree_fit_regression(parts(spark, d), ["size", "bucket"], "y", 4, 10), value=4)
 
 
-@query()
+@query(TREE + tree_sql("p", 3, 10) + ", " + REACHED(3) + """, l AS (SELECT id, any_value(y) AS y, arg_max(value, depth) AS pred FROM e GROUP BY 1), d AS (SELECT pred - y AS e FROM l)
+       SELECT round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(sum(e * e), -2) AS sse, round(median(abs(e)), 3) AS median_abs, round(max(abs(e)), 3) AS max_abs,
+        avg((abs(e) <= 50000)::INT) AS within_50k, avg((abs(e) <= 100000)::INT) AS within_100k, avg((abs(e) <= 200000)::INT) AS within_200k, count(*) AS n FROM d""")
 def tree_predict(spark: S, d: str) -> DataFrame:
     p = parts(spark, d)
     out = tree.tree_predict(p, tree.tree_fit_regression(p, ["size", "bucket"], "y", 3, 10), ["size", "bucket"])
     return rounded(profile.regression_metrics(out, "y", "pred"), mae=3, rmse=3, sse=-2, median_abs=3, max_abs=3)
 
 
-@query()
+@query(TREE.replace("true AS train FROM part", "CAST('0x' || substr(md5('42:' || p_partkey), 1, 7) AS BIGINT) / 268435456.0::DOUBLE < 0.65 AS train FROM part") + tree_sql("p", 4, 10) + ", " + REACHED(4) + """, l AS (SELECT d.depth, id, any_value(y) AS y, arg_max(value, e.depth) AS pred FROM e JOIN (SELECT unnest([1, 2, 3, 4]) AS depth) d ON e.depth <= d.depth WHERE NOT train GROUP BY 1, 2)
+       SELECT CAST(depth AS INTEGER) AS depth, round(avg(abs(pred - y)), 3) AS mae, count(*) AS n FROM l GROUP BY 1""")
 def tree_depth_sweep(spark: S, d: str) -> DataFrame:
     p = split_hash(parts(spark, d), "id")
     s = tree.tree_depth_sweep(p, ["size", "bucket"], "y", train_rows(), [1, 2, 3, 4], 10)
@@ -436,8 +468,8 @@ def single_link_cut(spark: S, d: str) -> DataFrame:
 LEVEL = "r{n} AS (SELECT {n} AS n, id, id AS c FROM p UNION SELECT {n}, e.b, r{n}.c FROM r{n} JOIN e ON e.a = r{n}.id WHERE w * w < {n} + 0.5)"
 
 
-@query(NEARBY + ", " + ", ".join(LEVEL.format(n=n) for n in (0, 1, 2, 4)) + """, c AS (SELECT n, count(DISTINCT c) AS left_ FROM (""" + " UNION ALL ".join(f"SELECT n, id, min(c) AS c FROM r{n} GROUP BY 1, 2" for n in (0, 1, 2, 4)) + """) GROUP BY 1)
-       SELECT round(sqrt(n), 6) AS height, coalesce(lag(left_) OVER (ORDER BY n), (SELECT count(*) FROM p)) - left_ AS n FROM c QUALIFY n > 0""")
+@query(NEARBY + ", " + ", ".join(LEVEL.format(n=n) for n in (0, 1, 2, 4)) + """, c AS (SELECT n AS square, count(DISTINCT c) AS left_ FROM (""" + " UNION ALL ".join(f"SELECT n, id, min(c) AS c FROM r{n} GROUP BY 1, 2" for n in (0, 1, 2, 4)) + """) GROUP BY 1)
+       SELECT * FROM (SELECT round(sqrt(square), 6) AS height, coalesce(lag(left_) OVER (ORDER BY square), (SELECT count(*) FROM p)) - left_ AS n FROM c) WHERE n > 0""")
 def single_link_forest(spark: S, d: str) -> DataFrame:
     """How many of the parts' single-linkage merges up to a height of 2 there are at each height."""
     forest = cluster.single_link_forest(places(spark, d), "id", ["x", "y"], 2.0)
