@@ -415,7 +415,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     # equal texts are encoded once
     split_up = large.select("__sp_key", "text").dropDuplicates(["__sp_key"]).mapInArrow(split, "__sp_key string, k int, n int, lo int, hi int, s string")
     pieces = cut(split_up.repartition(fanout(docs), "__sp_key", "k"))
-    tasks = max(1, pieces.count())
+    # chunks by their bytes, some sixteen in a task, and no more tasks than chunks
+    tasks = max(1, min(pieces.count(), fanout(pieces, mb=1)))
     states = scanned(pieces.repartition(tasks, "__sp_key", "k").mapInArrow(matrices, MATRIX))
     traced = pieces.join(states, ["__sp_key", "k"]).select("__sp_key", "k", "n", "lo", "hi", "s", "enter", "leave").repartition(tasks, "__sp_key", "k").mapInArrow(trace, "__sp_key string, k int, ids array<int>")
     whole = traced.groupBy("__sp_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
