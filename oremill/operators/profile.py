@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import checkpointed, prefix_sums
+
 WITHIN = (50_000, 100_000, 200_000)
 
 
@@ -36,8 +38,43 @@ def count_by_group(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def order_statistics(df: DataFrame, col: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by.., n, at): exact values of each group at ``shares`` of its sorted values, between two of them in proportion; nulls are left out.
+
+    Values are counted first; prefix sums of the counts over range partitions
+    give every value its ranks, and only values that hold a wanted rank go on,
+    two for each share at most. So no task holds or sorts a group.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    counts = df.where(F.col(col).isNotNull()).groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(col).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    run = checkpointed(prefix_sums(counts, [*keys, "__x"], ["__c"]).select(*keys, "__x", (F.col("cum___c") - F.col("__c")).alias("__lo"), F.col("cum___c").alias("__hi")))
+    groups = run.groupBy(*keys).agg(F.min("__lo").alias("__base"), F.max("__hi").alias("__end")).where("__end is not null")
+    at = [F.lit(float(p)) * (F.col("__end") - F.col("__base") - 1) for p in shares]
+    groups = groups.select(*[F.col(k).alias(f"{k}g") for k in keys], "__base", (F.col("__end") - F.col("__base")).alias("n"), F.array(*at).alias("__at"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}g"))
+    joined = run.join(groups, same) if keys else run.crossJoin(F.broadcast(groups))
+    wanted = F.array_distinct(F.flatten(F.transform("__at", lambda a: F.array(F.floor(a), F.ceil(a)))))
+    held = F.filter(wanted, lambda r: (r >= F.col("__lo") - F.col("__base")) & (r < F.col("__hi") - F.col("__base")))
+    found = joined.select(*keys, "n", "__at", "__x", F.explode(held).alias("__r"))
+    found = found.groupBy(*keys, "n", "__at").agg(F.map_from_entries(F.collect_list(F.struct("__r", "__x"))).alias("__v"))
+    value = lambda a: F.element_at("__v", F.floor(a)) * (1 - (a - F.floor(a))) + F.element_at("__v", F.ceil(a)) * (a - F.floor(a))
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "n", F.transform("__at", value).alias("at"))
+
+
+def with_order(df: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Aggregates of ``df`` by ``by`` with the groups' order statistics ``at``, null for groups without values."""
+    if not by:
+        return df.crossJoin(F.broadcast(found.agg(F.first("at").alias("at"))))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"__g_{b}"))
+    return df.join(found.select(*[F.col(b).alias(f"__g_{b}") for b in by], "at"), same, "left").drop(*[f"__g_{b}" for b in by])
+
+
 def mean_median(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(col).alias("mean"), F.median(col).alias("median"))
+    return with_order(df.agg(F.avg(col).alias("mean")), order_statistics(df, col, [0.5]), ()).select("mean", F.col("at")[0].alias("median"))
 
 
 def hist_equal_width(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -68,11 +105,12 @@ def cap_pileup(df: DataFrame, col: str, cap: float | None = None, floor: float |
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """n, quartiles, whiskers at the furthest points within 1.5 spreads, outliers, mean.
 
-    Values are counted first, so that a large group is summed from its distinct values.
+    Exact quartiles are ``order_statistics``; ``approx`` takes sketches in one pass.
     """
     x = F.col(col)
-    q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quart = df.groupBy(*by).agg(q.alias("q"), F.avg(x).alias("mean"), F.count(x).alias("n"))
+    quart = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.count(x).alias("n"), *([F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias("q")] if approx else []))
+    if not approx:
+        quart = with_order(quart, order_statistics(df, col, [0.25, 0.5, 0.75], by), by).withColumnRenamed("at", "q")
     quart = quart.select(*by, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     joined = df.where(x.isNotNull()).select(*by, x.alias("__x"))
     joined = joined.join(quart, list(by)) if by else joined.crossJoin(F.broadcast(quart))
@@ -104,7 +142,8 @@ def subgroup_metrics(df: DataFrame, key: str, y: str, preds: Sequence[str], top:
 
 
 def cv_summary(trials: DataFrame, by: Sequence[str] = ("model", "features"), value: str = "mae") -> DataFrame:
-    return trials.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.05)).alias("p05"), F.percentile(value, F.lit(0.95)).alias("p95"), F.count("*").alias("n"))
+    sums = trials.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return with_order(sums, order_statistics(trials, value, [0.5, 0.05, 0.95], by), by).select(*by, "mean", *[F.col("at")[i].alias(c) for i, c in enumerate(("median", "p05", "p95"))], "n")
 
 
 def cv_best_param(trials: DataFrame, group: str = "metric", param: str = "k", value: str = "mae") -> DataFrame:

@@ -9,8 +9,9 @@ from oremill.functions.columns import distance
 from oremill.operators import cluster, evaluate, image, linear, neighbours, profile, sequence, tree
 from oremill.operators.prep import minmax_fit_apply, region_relabel, split_hash, zscore_fit_apply
 from oremill.operators.ranking import checkpointed, k_sweep_running_mean
+from oremill.sources import tabular
 
-from .base import L, listings, query, rounded, table, train_rows
+from .base import L, listings, query, rounded, scratch, table, train_rows
 
 S = SparkSession
 FEATS = ["items", "qty", "disc", "tax"]
@@ -655,9 +656,42 @@ def image_features(spark: S, d: str) -> DataFrame:
     return out.select("image_id", *[F.round(c, 3).alias(c) for c in out.columns if c != "image_id"])
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS failed FROM embeddings")
+#: Header of an 8 x 8 bitmap of 24 bits: the signature, a size that is large enough and where pixels begin, then 40 bytes on the picture.
+BITMAP = [66, 77, 0, 1, *[0] * 6, 54, 0, 0, 0, 40, 0, 0, 0, 8, 0, 0, 0, 8, 0, 0, 0, 1, 0, 24, *[0] * 25]
+
+
+def picture_files(spark: S, d: str) -> str:
+    """A folder with an 8 x 8 bitmap for each embedding; of every ninth only 40 or 100 bytes, in turn.
+
+    Levels go to 127, so a file's bytes are characters too, and Spark's writer
+    of texts makes a file for each in its own folder.
+    """
+    folder = scratch(spark)
+    level = lambda v, s: F.floor(F.least(F.greatest(v.cast("double") * s + 0.5, F.lit(0.0)), F.lit(1.0)) * 127).cast("int")
+    up = F.flatten(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda y: F.slice("embedding", y * 8 + 1, F.lit(8))))
+    # from the last line to the first, blue before green before red
+    data = F.flatten(F.transform(up, lambda v: F.array(level(v, -1.0), level(v, 0.5), level(v, 1.0))))
+    text = F.array_join(F.transform(F.concat(F.array(*[F.lit(b) for b in BITMAP]), data), lambda b: F.char(b)), "")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), text.alias("value"))
+    cut = F.when(F.col("image_id") % 18 == 4, 40).when(F.col("image_id") % 18 == 13, 100)
+    rows = rows.withColumn("value", F.when(cut.isNotNull(), F.substring("value", F.lit(1), cut)).otherwise(F.col("value")))
+    rows.repartition("image_id").write.partitionBy("image_id").text(folder)
+    return folder
+
+
+@query("""SELECT vec_id AS image_id, CASE WHEN vec_id % 9 <> 4 THEN 8 ELSE -1 END AS height, CASE WHEN vec_id % 9 <> 4 THEN 8 ELSE -1 END AS width, CASE WHEN vec_id % 9 <> 4 THEN 3 ELSE -1 END AS channels,
+          CASE WHEN vec_id % 9 <> 4 THEN flatten([[CAST(floor(least(greatest(embedding[i]::DOUBLE * s + 0.5, 0), 1) * 127) AS INTEGER) FOR s IN [1.0::DOUBLE, 0.5::DOUBLE, -1.0::DOUBLE]] FOR i IN range(1, 65)]) ELSE []::INTEGER[] END AS rgb FROM embeddings""")
+def read_images(spark: S, d: str) -> DataFrame:
+    """Bitmap files of the embeddings as Spark's image source reads them, their pixels from red on; files cut short have no pixels."""
+    images = tabular.read_images(spark, picture_files(spark, d), r"image_id=(\d+)/")
+    return images.select("image_id", *[F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"))], F.coalesce(image.rgb_of("image"), F.array().cast("array<int>")).alias("rgb"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (vec_id % 9 = 4) AS failed FROM embeddings")
 def feature_failures(spark: S, d: str) -> DataFrame:
-    return image.feature_failures(image.pixel_features(pictures(spark, d), ["base"]))
+    """Features of picture files, some of them cut short."""
+    images = tabular.read_images(spark, picture_files(spark, d), r"image_id=(\d+)/")
+    return image.feature_failures(image.image_features(images, ["base"]))
 
 
 # Jobs

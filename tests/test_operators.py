@@ -442,3 +442,20 @@ def test_grid_accuracy_over_trials_as_bitmaps(spark, p_train):
     got = {(r["metric"], r["k"]): r["accuracy"] for r in neighbours.knn_grid_accuracy(df, "id", ["a", "b"], "y", 25, [1, 4, 5], ["euclidean", "chebyshev"], p_train).collect()}
     for metric in ("euclidean", "chebyshev"):
         assert np.allclose([got[metric, k] for k in (1, 4, 5)], accuracies(x, y, 25, [1, 4, 5], metric, p_train))
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(14)
+    rows = [("a", float(v)) for v in rng.integers(0, 9, 500)] + [(None, float(v)) for v in rng.normal(size=37)] + [("b", 2.5), ("c", None), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {r["g"]: r for r in profile.order_statistics(df, "v", shares, ["g"]).collect()}
+    assert set(got) == {"a", None, "b", "d"}
+    for g, r in got.items():
+        own = np.array([v for k, v in rows if k == g])
+        assert r["n"] == len(own) and np.allclose(r["at"], np.quantile(own, shares))
+    whole = np.array([v for _, v in rows if v is not None])
+    assert np.allclose(profile.order_statistics(df, "v", shares).head()["at"], np.quantile(whole, shares))
+    assert profile.mean_median(df.where("g = 'c'"), "v").head()["median"] is None and profile.order_statistics(df.where("false"), "v", shares).count() == 0
+    boxes = {r["g"]: r for r in profile.box_stats(df, "v", ["g"]).collect()}
+    assert boxes["a"]["median"] == np.median([v for k, v in rows if k == "a"]) and boxes["b"]["q3"] == 2.5
