@@ -174,7 +174,7 @@ class Forest:
     def places(self, classes: DataFrame, vec: bool) -> DataFrame:
         """(place, rep, vec, ids) of each class in each tree: place is the tree's number with the path after it."""
         forest = classes.sparkSession.sparkContext.broadcast((self.trees, self.kind))
-        kept = ["rep", "vec", "ids"]
+        kept, top = ["rep", "vec", "ids"], self.levels[0]
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trees, kind = forest.value
@@ -183,7 +183,7 @@ class Forest:
                     continue
                 x, (rep,) = unit(doubles(batch, kind)), numbers(batch, "rep")
                 for t, tree in enumerate(trees):
-                    place = (t + 1 << self.levels[0]) + tree.leaves(x, rep)
+                    place = (t + 1 << top) + tree.leaves(x, rep)
                     yield pa.RecordBatch.from_arrays([pa.array(place), *(column(batch, c) for c in kept)], ["place", *kept])
 
         out = classes.select(*kept).mapInArrow(route, "place long, rep long, vec binary, ids array<long>")
@@ -192,10 +192,12 @@ class Forest:
         return out if vec else out.select("place", "rep")
 
     def routed(self, level: int):
+        kind = self.kind
+
         def f(rows: pa.Table, tree: Tree) -> pa.Table:
             batch = rows.combine_chunks().to_batches()[0]
             place, rep = numbers(batch, "place", "rep")
-            leaf = tree.leaves(unit(doubles(batch, self.kind)), rep)
+            leaf = tree.leaves(unit(doubles(batch, kind)), rep)
             return pa.table({"place": (place << level) + leaf, **{c: rows[c] for c in ("rep", "vec", "ids")}})
 
         return f
@@ -220,7 +222,7 @@ class Forest:
     def visits(self, queries: DataFrame, limit: int) -> DataFrame:
         """(place, rep, vec, position): the first ``limit`` leaves of each query in the shared queue's order."""
         forest = queries.sparkSession.sparkContext.broadcast((self.trees, self.kind))
-        schema = "place long, rep long, vec binary, penalty double, position int"
+        schema, own, top = "place long, rep long, vec binary, penalty double, position int", self.kind, self.levels[0]
 
         def listed(batch: pa.RecordBatch, found: list[list[tuple]], place) -> pa.Table:
             n = np.array([len(f) for f in found])
@@ -237,12 +239,12 @@ class Forest:
                     x = unit(doubles(batch, kind))
                     margins = [(x @ t.normals.T - t.cuts).tolist() for t in trees]
                     found = [walk([m[i] for m in margins], trees[0].inner, limit) for i in range(len(x))]
-                    yield from listed(batch, found, lambda i, tree, leaf: (tree + 1 << self.levels[0]) + leaf).to_batches()
+                    yield from listed(batch, found, lambda i, tree, leaf: (tree + 1 << top) + leaf).to_batches()
 
         def deeper(level: int):
             def f(rows: pa.Table, tree: Tree) -> pa.Table:
                 batch = rows.combine_chunks().to_batches()[0]
-                margins = (unit(doubles(batch, self.kind)) @ tree.normals.T - tree.cuts).tolist()
+                margins = (unit(doubles(batch, own)) @ tree.normals.T - tree.cuts).tolist()
                 place, penalty = numbers(batch, "place", "penalty")
                 found = [walk([m], tree.inner, limit, p) for m, p in zip(margins, penalty.tolist(), strict=True)]
                 return listed(batch, found, lambda i, _, leaf: (place[i] << level) + leaf)
@@ -257,6 +259,18 @@ class Forest:
         return out.drop("penalty")
 
 
+def fitted(level: int, kind: str):
+    """A tree of ``level`` levels on the rows of a cell."""
+
+    def fit(cell: pa.Table) -> pa.Table:
+        batch = cell.combine_chunks().to_batches()[0]
+        place = int(numbers(batch, "place")[0][0])
+        tree = grown(unit(doubles(batch, kind)), level, place)
+        return pa.table({"place": [place], "normals": [tree.normals.tobytes()], "cuts": [tree.cuts.tobytes()]})
+
+    return fit
+
+
 def planted(classes: DataFrame, kind: str, size: int, trees: int, leaf: int, most: int, sample: np.ndarray) -> Forest:
     """A forest for all ``classes``, its first block fitted to ``sample``, rows of length 1."""
     rows = classes.count()
@@ -267,16 +281,9 @@ def planted(classes: DataFrame, kind: str, size: int, trees: int, leaf: int, mos
     # a tree without a split is the whole table
     forest = Forest(kind, [grown(sample, levels[0], t) for t in range(trees if depth else 1)], levels[:1], [], rows)
     for k, level in enumerate(levels[1:]):
-
-        def fit(cell: pa.Table, level: int = level) -> pa.Table:
-            batch = cell.combine_chunks().to_batches()[0]
-            place = int(numbers(batch, "place")[0][0])
-            tree = grown(unit(doubles(batch, kind)), level, place)
-            return pa.table({"place": [place], "normals": [tree.normals.tobytes()], "cuts": [tree.cuts.tobytes()]})
-
         share = min(1.0, SAMPLE * (1 << sum(levels[: k + 1])) / max(rows, 1))
         picked = forest.places(classes, True).where(F.pmod(F.xxhash64("vec", F.lit(k)), F.lit(1 << 30)) < int(share * (1 << 30)))
-        cells = cut(picked.groupBy("place").applyInArrow(fit, "place long, normals binary, cuts binary"))
+        cells = cut(picked.groupBy("place").applyInArrow(fitted(level, kind), "place long, normals binary, cuts binary"))
         forest = Forest(kind, forest.trees, levels[: k + 2], [*forest.cells, cells], rows)
     return forest
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import SLICE, column, pair, slices, spread
-from .tables import cut, fanout, sieve, sifted
+from .tables import cut, fanout, marked, sieve, sifted
 
 #: Windows looked at together; a longer document goes in overlapping blocks.
 BLOCK = 1 << 20
@@ -124,14 +124,14 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> list[np.ndarr
 
 
 PACKED = "bucket int, packed binary"
-KINDS = ["<u8", "<u8", "<i8", "<u2", "<u4", "<u2", "<u2"]
+KINDS = ["<u8", "<u8", "<i8", "<i8", "<u4", "<u2", "<u2"]
 
 
 def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "packed"])
 
 
-LISTS = "doc_id long, row int, start array<int>, n array<int>, src array<long>, src_row array<int>, src_start array<int>, lead array<int>, open array<boolean>"
+LISTS = "doc_id long, row long, start array<int>, n array<int>, src array<long>, src_row array<long>, src_start array<int>, lead array<int>, open array<boolean>"
 
 
 def by_document(doc, row, start, n, src, src_row, src_start, lead, left) -> pa.RecordBatch:
@@ -140,8 +140,8 @@ def by_document(doc, row, start, n, src, src_row, src_start, lead, left) -> pa.R
     doc, row = doc[order], row[order]
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])) if len(doc) else np.zeros(0, int)
     off = pa.array(np.append(new, len(doc)), pa.int32())
-    lists = [pa.ListArray.from_arrays(off, pa.array(v[order].astype(k))) for v, k in ((start, np.int32), (n, np.int32), (src, np.int64), (src_row, np.int32), (src_start, np.int32), (lead, np.int32), (left, bool))]
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(row[new].astype(np.int32)), *lists], [f.split()[0] for f in LISTS.split(", ")])
+    lists = [pa.ListArray.from_arrays(off, pa.array(v[order].astype(k))) for v, k in ((start, np.int32), (n, np.int32), (src, np.int64), (src_row, np.int64), (src_start, np.int32), (lead, np.int32), (left, bool))]
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(row[new]), *lists], [f.split()[0] for f in LISTS.split(", ")])
 
 
 def first_of(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +197,19 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, text) of the rows that can have repeats: row tells texts of one doc_id apart."""
-    row = F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row, F.lit(0)).alias("row"), "text")
+    """(doc_id, row, text): row tells texts of one doc_id apart, by 64 bits of their hash; it is 0 for ids that only one row has.
+
+    Which ids several rows have is told by a sieve; a row that passes it for
+    nothing has a hash and no other row of its id.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = cut(own.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    out = marked(own, sieve(several), "doc_id", "several")
+    return out.select("doc_id", F.when(F.col("several"), F.coalesce(F.xxhash64("text"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("row"), "text")
 
 
 def ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return column(rows, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64), column(rows, "row").to_numpy(zero_copy_only=False).astype(np.uint16)
+    return column(rows, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64), column(rows, "row").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Open:

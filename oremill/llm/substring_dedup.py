@@ -39,8 +39,8 @@ from .tables import cut
 #: Words of reference in a shard, words of documents in a task, windows of a run, words of a reference block.
 SHARD, TASK, RUN, GRID = 100_000, 200_000, 4096, 64
 OUT = "doc_id long, n_words long, spans array<struct<start:int,len:int>>, kept string"
-RUNS = "doc_id long, row int, start int, n int, src long, src_row int, src_start int"
-PASSAGE = "shard int, salt int, doc_id long, row int, start int, words binary"
+RUNS = "doc_id long, row long, start int, n int, src long, src_row long, src_start int"
+PASSAGE = "shard int, salt int, doc_id long, row long, start int, words binary"
 
 
 class SuffixAutomaton:
@@ -149,7 +149,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * RUN
         d, start, src, src_row, src_start, total = (np.repeat(x, count) for x in (d, start, src, src_row, src_start, total))
         cols = [column(batch, "doc_id").take(pa.array(d)), column(batch, "row").take(pa.array(d))]
-        cols += [pa.array(x.astype(k)) for x, k in ((start + step, np.int32), (np.minimum(RUN, total - step), np.int32), (src, np.int64), (src_row, np.int32), (src_start + step, np.int32))]
+        cols += [pa.array(x.astype(k)) for x, k in ((start + step, np.int32), (np.minimum(RUN, total - step), np.int32), (src, np.int64), (src_row, np.int64), (src_start + step, np.int32))]
         yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in RUNS.split(", ")])
 
 
@@ -196,7 +196,7 @@ def streamed(width: int):
                 begin, size = i - width + 1, 1
             if size > 0:
                 out.append((doc, row, start + begin, size))
-        kinds = [("doc_id", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]
+        kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
         return pa.table([pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
 
     return work
@@ -238,7 +238,7 @@ def dedup_words(docs: DataFrame, width: int = 20, gram: int = 10) -> DataFrame:
     reference = own.join(blocks.hint("shuffle_hash"), ["doc_id", "row"]).mapInArrow(passages, PASSAGE)
     reference = reference.drop("salt").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "doc_id", "row", "start", "words")
 
-    sure = reference.groupBy("shard", "salt").cogroup(streams.groupBy("shard", "salt")).applyInArrow(streamed(width), "doc_id long, row int, start int, n int")
+    sure = reference.groupBy("shard", "salt").cogroup(streams.groupBy("shard", "salt")).applyInArrow(streamed(width), "doc_id long, row long, start int, n int")
     gone = sure.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("z"))
     judged = own.join(gone.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "z").mapInArrow(kept_words(width), OUT)
     none = F.expr("cast(null as array<struct<start:int,n:int>>)").alias("z")

@@ -68,7 +68,7 @@ def run_lists(rows: pa.RecordBatch, name: str = "z") -> tuple[np.ndarray, np.nda
 
 #: Runs that go on from one to the next are joined, to at most so many windows.
 LONGEST = 1 << 16
-PLACED = "doc_id long, row int, start int, n int, src long, src_row int, src_start int"
+PLACED = "doc_id long, row long, start int, n int, src long, src_row long, src_start int"
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = np.maximum.reduceat(start + n, new) if len(d) else new
         k = pa.array(d[new])
         cols = [column(batch, "doc_id").take(k), column(batch, "row").take(k)]
-        cols += [pa.array(x.astype(t)) for x, t in ((start[new], np.int32), (stop - start[new], np.int32), (src[new], np.int64), (src_row[new], np.int32), (src_start[new], np.int32))]
+        cols += [pa.array(x.astype(t)) for x, t in ((start[new], np.int32), (stop - start[new], np.int32), (src[new], np.int64), (src_row[new], np.int64), (src_start[new], np.int32))]
         yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PLACED.split(", ")])
 
 
@@ -114,7 +114,7 @@ def with_sources(own: DataFrame, found: DataFrame, width: int) -> DataFrame:
     asked = cut(runs.groupBy(*place).agg(F.count("*").alias("times")))
     by_text = asked.groupBy(F.col("src").alias("doc_id"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("src_start", "n")).alias("z"))
     texts = sifted(own, sieve(asked.select(F.col("src").alias("id"))), "doc_id")
-    sums = texts.join(by_text.hint("shuffle_hash"), ["doc_id", "row"]).mapInArrow(digested(width), "src long, src_row int, src_start int, n int, sum binary")
+    sums = texts.join(by_text.hint("shuffle_hash"), ["doc_id", "row"]).mapInArrow(digested(width), "src long, src_row long, src_start int, n int, sum binary")
     sums = cut(asked.join(sums.distinct(), place))
     told = labelled(runs, place, sums, "times", runs.count())
     return told.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "sum")).alias("z"))

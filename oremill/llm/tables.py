@@ -6,11 +6,13 @@ import math
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from oremill.operators.ranking import checkpointed, forget, shared_folder
 
@@ -20,8 +22,8 @@ UNKNOWN = 1 << 60
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT such keys.
 HOT = 256
-#: A sieve has 2^SIEVE bits (2 MB) whatever the table's size.
-SIEVE = 24
+#: A sieve has 2^SIEVE bits at most.
+SIEVE = 28
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,30 +100,56 @@ def labelled(rows: DataFrame, keys: Sequence[str], classes: DataFrame, size: str
     return found.unionByName(rest.select(*rows.columns, *values))
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ``id`` column as 64-bit words, of 2^SIEVE bits.
+@dataclass
+class Sieve:
+    """A Bloom filter of ids as 64-bit words, with 2^log bits."""
+
+    log: int
+    words: np.ndarray
+
+    def passes(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _places(key: str, log: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << log)) for k in (1, 2)]
+
+
+def sieve(ids: DataFrame) -> Sieve:
+    """A Bloom filter of the ``id`` column with 16 bits for each of its rows, 2^SIEVE at most (32 MB).
 
     It only spares rows a journey: whatever passes is joined exactly after it.
+    From some ten million ids on more and more pass that are not in it.
     """
-    at = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << SIEVE)) for k in (1, 2)]
-    words = ids.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (SIEVE - 6), np.uint64)
+    log = min(SIEVE, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
+    words = ids.select(F.explode(F.array(*_places("id", log))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (log - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+    return Sieve(log, out)
+
+
+def marked(rows: DataFrame, kept: Sieve, key: str, name: str) -> DataFrame:
+    """``rows`` and ``name``: whether ``key`` passes a sieve, as all that are in it do, and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+    hashed = rows.select("*", *[at.alias(f"__at{k}") for k, at in enumerate(_places(key, kept.log))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (shared.value.passes(batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)) for k in (-2, -1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(first & second)], [*batch.schema.names[:-2], name])
+
+    return hashed.mapInArrow(work, StructType([*rows.schema.fields, StructField(name, BooleanType())]))
 
 
-def sifted(rows: DataFrame, bits: np.ndarray, key: str, inside: bool = True) -> DataFrame:
+def sifted(rows: DataFrame, kept: Sieve, key: str, inside: bool = True) -> DataFrame:
     """Rows whose ``key`` passes a sieve: all that are in it, and a few others; or, not ``inside``, the rest."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    hashed = rows.select("*", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << SIEVE)).alias(f"__at{k}") for k in (1, 2)])
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+    hashed = rows.select("*", *[at.alias(f"__at{k}") for k, at in enumerate(_places(key, kept.log))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passed = np.ones(batch.num_rows, bool)
-            for k in (-2, -1):
-                at = batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)
-                passed &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(passed == inside))
+            first, second = (shared.value.passes(batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)) for k in (-2, -1))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array((first & second) == inside))
 
     return hashed.mapInArrow(work, rows.schema)
 
