@@ -322,7 +322,33 @@ def test_lookup_follows_files(spark, tmp_path):
     for batch in (["a", "b"], ["b", "c"]):
         spark.createDataFrame([(k,) for k in batch], "key string").write.mode("append").parquet(source)
         lookup.follow(spark, source, "key string", str(tmp_path / "out"), str(tmp_path / "check"), enrich, "key", "version")
-    assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out/1")).collect()) == ["a", "b", "c"]
+    assert sorted(r["key"] for r in lookup.read_lookup(spark, str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_lookup_rewrites_only_touched_buckets(spark, tmp_path):
+    table, asked = str(tmp_path / "t"), []
+
+    def enrich(k):
+        asked.append(sorted(r[0] for r in k.collect()))
+        return k.select("key", F.lit(1).alias("version"), F.concat("key", F.lit("!")).alias("x"))
+
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    first = lookup.merge(keys(*map(str, range(40)), None), 0, table, enrich, "key", "version", 8)
+    assert first == list(range(8))
+    assert lookup.merge(keys("1", "2"), 1, table, enrich, "key", "version", 8) == [] and len(asked) == 1
+    touched = lookup.merge(keys("2", "new"), 2, table, enrich, "key", "version", 8)
+    assert len(touched) == 1 and asked[-1] == ["new"]
+    assert lookup.manifest(spark, table) == dict.fromkeys(range(8), 0) | {touched[0]: 2}
+    # the same batch again, as after a failure before its manifest was written
+    import shutil
+
+    shutil.rmtree(tmp_path / "t/manifest/2")
+    assert lookup.merge(keys("2", "new"), 2, table, enrich, "key", "version", 8) == touched
+    assert sorted(r["key"] for r in lookup.read_lookup(spark, table).collect()) == sorted([*map(str, range(40)), "new"])
+    for n in range(3, 6):
+        lookup.merge(keys(*(f"{n}-{i}" for i in range(40))), n, table, enrich, "key", "version", 8)
+    assert sorted(x.name for x in (tmp_path / "t/rows").iterdir()) == ["4", "5"] and sorted(x.name for x in (tmp_path / "t/manifest").iterdir()) == ["4", "5"]
+    assert lookup.read_lookup(spark, table).count() == 161 and lookup.read_lookup(spark, str(tmp_path / "none")) is None
 
 
 def png(pixels):
