@@ -56,6 +56,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
 
 
+def ends_of(label: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """``links`` (a, b), of which there are ``total``, with the components of both ends in ``label`` as a_c and b_c."""
+    mine = label.select("id", F.col("component").alias("c"))
+    out = links
+    for end in ("a", "b"):
+        out = looked_up(out, end, mine, busy(links, end, total))
+    return out
+
+
+def apart_still(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ends aren't in one component of ``label``; an id without a component is one of its own."""
+    kept = ends_of(label, pairs, pairs.count())
+    return kept.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+
+
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` of the links behind ``label``, which is its result, and of ``links`` (a, b) besides.
 
@@ -67,8 +82,7 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     if not total:
         return label
     mine = label.select("id", F.col("component").alias("c"))
-    for end in ("a", "b"):
-        ends = looked_up(ends, end, mine, busy(links, end, total))
+    ends = ends_of(label, ends, total)
     more = components(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
     sizes = mine.groupBy("c").agg(F.count("*").alias("n"))
     whole = sizes.join(more.select(F.col("id").alias("c"), "component"), "c", "left").select("c", "n", F.coalesce("component", "c").alias("component"))

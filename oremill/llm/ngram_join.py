@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import MULT, Words, column, pair, slices, spread
-from .components import components, merged
+from .components import apart_still, components, merged
 from .repeats import PACKED, deal, first_of, gather, packed_batch
 from .tables import cut, drop, fanout, labelled, sieve, sifted
 
@@ -432,18 +432,23 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     company = cut(by_doc.select("doc", F.explode(F.array_union(F.array_union(stay(OWN), stay(BELOW)), tight)).alias("sig")))
     total = company.count()
 
-    # first round: each set with the least of its leaders and with the leader that it meets most
+    # first round: each set with the leader that it meets most, then with the least of its leaders where that is in another component still
     leaders = company.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count("*").alias("members")).where("a != z").drop("z")
     met = labelled(company, ["sig"], leaders, "members", total).where("doc != a").groupBy("doc", "a").count()
-    met = met.groupBy("doc").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("count", -F.col("a"))))).alias("as")).select(F.explode("as").alias("a"), F.col("doc").alias("b"))
+    met = cut(met.groupBy("doc").agg(F.min("a").alias("least"), F.max_by("a", F.struct("count", -F.col("a"))).alias("most")))
     sketched = classes.select("doc", "n_shingles", "sketch")
-    c = met.alias("c").join(sketched.alias("x"), F.col("c.a") == F.col("x.doc")).join(sketched.alias("y"), F.col("c.b") == F.col("y.doc"))
-    first = verified(docs, c.where(may_link("x", "y", percent)).select("c.a", "c.b").distinct(), n, percent)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        c = pairs.alias("c").join(sketched.alias("x"), F.col("c.a") == F.col("x.doc")).join(sketched.alias("y"), F.col("c.b") == F.col("y.doc"))
+        return verified(docs, c.where(may_link("x", "y", percent)).select("c.a", "c.b").distinct(), n, percent)
+
+    label = components(compared(met.select(F.col("most").alias("a"), F.col("doc").alias("b"))))
+    rest = met.where("least != most").select(F.col("least").alias("a"), F.col("doc").alias("b"))
+    rest = compared(apart_still(label, rest))
     # an id with several texts links the sets of all of them
     several = known.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t")).where("s != t").select("doc_id")
     ties = known.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
-    first = first.unionByName(ties)
-    label = components(first)
+    label = merged(label, cut(rest.unionByName(ties)))
 
     # second round: sets of one group that are in different components
     marked = company.join(label, company.doc == label.id, "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
@@ -455,7 +460,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     parts = fanout(docs)
     second = verified(docs, members.repartition(parts, "sig", "i", "j").mapInArrow(apart(percent), "a long, b long").distinct(), n, percent)
     final = merged(label, second)
-    drop(company, marked)
+    drop(company, marked, met)
 
     named = classes.join(final, classes.doc == final.id, "left").select(*key, "copies", F.coalesce("component", "doc").alias("component"))
     rows = profile.select("doc_id", *key)
