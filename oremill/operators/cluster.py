@@ -168,19 +168,53 @@ def kmeans_ml(df: DataFrame, feats: Sequence[str], k: int, seed: int = 0, max_it
     return model.transform(rows).drop("__v")
 
 
-def kmeans_adjacency(edges: DataFrame, nodes: int, k: int, seed: int = 0) -> DataFrame:
-    """(src, cluster): nodes by their rows of the adjacency matrix, as sparse vectors."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    sparse = F.udf(lambda cells: SparseVector(nodes, {int(c["dst"]): float(c["w"]) for c in cells}), VectorUDT())
-    rows = edges.groupBy("src").agg(F.collect_list(F.struct("dst", "w")).alias("cells")).select("src", sparse("cells").alias("__v"))
-    model = KMeans(k=k, seed=seed, tol=0.0, maxIter=100, featuresCol="__v", predictionCol="cluster").fit(rows)
-    return model.transform(rows).select("src", "cluster")
+def kmeans_adjacency(edges: DataFrame, k: int, seed: int = 0, max_iter: int = 100) -> DataFrame:
+    """(src, cluster): Lloyd's rounds on the rows of a weighted adjacency matrix, which stays a list of edges (src, dst, w).
+
+    Repeated edges add up. Centres are sparse too, (cluster, dst, v); a row's
+    products with all of them are a join by dst and a sum by src, and with the
+    squared lengths give its distances. Starts are the k nodes of least hash,
+    distances equal to nine places go to the lowest cluster, and an empty
+    cluster keeps its centre. k lengths and counts come to the driver in a round.
+    """
+    e = checkpointed(edges.groupBy("src", "dst").agg(F.sum(F.col("w").cast("double")).alias("w")))
+    own = checkpointed(e.groupBy("src").agg(F.sum(F.col("w") * F.col("w")).alias("xx")))
+    first = [r["src"] for r in own.orderBy(hash60(seed, F.col("src")), "src").limit(k).select("src").collect()]
+    at = F.array_position(F.array(*[F.lit(v) for v in first]), F.col("src")) - 1
+    centers = checkpointed(e.where(F.col("src").isin(first)).select(at.cast("int").alias("cluster"), "dst", F.col("w").alias("v")))
+    before, kept = None, []
+    for _ in range(max_iter + 1):
+        lengths = {r["cluster"]: r["cc"] for r in centers.groupBy("cluster").agg(F.sum(F.col("v") * F.col("v")).alias("cc")).collect()}
+        dots = e.join(centers, "dst").groupBy("src", "cluster").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+        dots = dots.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots"))
+        gap = F.array(*[F.struct(F.round(F.col("xx") + lengths.get(c, 0.0) - 2 * F.coalesce(F.element_at("dots", c), F.lit(0.0)), 9).alias("d2"), F.lit(c).alias("cluster")) for c in range(len(first))])
+        after = checkpointed(own.join(dots, "src", "left").select("src", F.array_min(gap)["cluster"].alias("cluster")))
+        kept.append(after)
+        if before is not None and not after.join(before.withColumnRenamed("cluster", "was"), "src").where("cluster != was").limit(1).count():
+            break
+        counts = {r["cluster"]: r["count"] for r in after.groupBy("cluster").count().collect()}
+        size = F.element_at(F.create_map(*[F.lit(v) for c in counts.items() for v in c]), F.col("cluster"))
+        new = e.join(after, "src").groupBy("cluster", "dst").agg(F.sum("w").alias("v")).withColumn("v", F.col("v") / size)
+        moved = checkpointed(new.unionByName(centers.where(~F.col("cluster").isin(list(counts)))))
+        forget(centers)
+        before, centers = after, moved
+    forget(e, own, centers, *kept[:-1])
+    return after
+
+
+def cluster_members(df: DataFrame, cluster: str, ident: str, most: int = 1_000_000) -> DataFrame:
+    """Sorted members and size of each cluster in a row; clusters of more than ``most`` members are an error before any is gathered."""
+    largest = df.groupBy(cluster).count().agg(F.max("count")).head()[0] or 0
+    if largest > most:
+        raise ValueError(f"a cluster has {largest} members; take cluster_places")
+    return df.groupBy(cluster).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(ident)).alias("members"))
 
 
-def cluster_members(df: DataFrame, cluster: str, ident: str) -> DataFrame:
-    """Sorted members and size of each cluster; for clusters that fit a row."""
-    return df.groupBy(cluster).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(ident)).alias("members"))
+def cluster_places(df: DataFrame, cluster: str, ident: str) -> DataFrame:
+    """The same in long form for clusters of any size: (cluster, id, place), places from 1 on; ids are a key."""
+    ranked = distributed_rank(df.select(cluster, ident), [cluster, ident], "__r")
+    first = ranked.groupBy(F.col(cluster).alias("__c")).agg((F.min("__r") - 1).alias("__before"))
+    return ranked.join(first, F.col(cluster).eqNullSafe(F.col("__c"))).select(cluster, ident, (F.col("__r") - F.col("__before")).alias("place"))
 
 
 def cut_labels(merges: DataFrame, by: str, ks: Sequence[int]) -> DataFrame:

@@ -363,12 +363,17 @@ def kmeans_ml(spark: S, d: str) -> DataFrame:
     return cluster.kmeans_ml(vectors(spark, d), EACH, 3).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+TOGETHER = """WITH RECURSIVE e AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
+v AS (SELECT s.id, list(coalesce(w, 0) ORDER BY d.id) AS x FROM (SELECT DISTINCT src AS id FROM e) s CROSS JOIN (SELECT DISTINCT dst AS id FROM e) d LEFT JOIN e ON e.src = s.id AND e.dst = d.id GROUP BY 1),
+""" + LLOYD.split("\n", 1)[1] % (1, 5)
+
+
+@query(TOGETHER + " SELECT id AS src, cluster FROM A")
 def kmeans_adjacency(spark: S, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    edges = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))).select(F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"), F.lit(1.0).alias("w"))
-    return cluster.kmeans_adjacency(edges, 25, 5)
+    """Suppliers by how often they deliver to one order with each other supplier."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    both = li.withColumnRenamed("l_suppkey", "src").join(li.withColumnRenamed("l_suppkey", "dst"), "l_orderkey").where("src != dst")
+    return cluster.kmeans_adjacency(both.groupBy("src", "dst").agg(F.count("*").alias("w")), 5)
 
 
 @query("SELECT c_nationkey AS cluster, count(*) AS n, CAST(min(c_custkey) AS BIGINT) AS first, CAST(max(c_custkey) AS BIGINT) AS last FROM customer GROUP BY 1")
@@ -377,6 +382,11 @@ def cluster_members(spark: S, d: str) -> DataFrame:
     return m.select("cluster", "n", F.col("members")[0].alias("first"), F.element_at("members", -1).alias("last"))
 
 
+@query("SELECT c_nationkey AS cluster, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer")
+def cluster_places(spark: S, d: str) -> DataFrame:
+    return cluster.cluster_places(table(spark, d, "customer").select(F.col("c_nationkey").alias("cluster"), "c_custkey"), "cluster", "c_custkey")
+
+
 NATIONS = """WITH RECURSIVE g AS (SELECT c_nationkey AS id, [avg(c_acctbal)::DOUBLE, count(*)::DOUBLE] AS x FROM customer GROUP BY 1), v AS (SELECT * FROM g),
 """ + LLOYD.split("\n", 1)[1] % (1, 5)
 
