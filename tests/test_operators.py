@@ -485,3 +485,92 @@ def test_order_statistics(spark):
     assert profile.mean_median(df.where("g = 'c'"), "v").head()["median"] is None and profile.order_statistics(df.where("false"), "v", shares).count() == 0
     boxes = {r["g"]: r for r in profile.box_stats(df, "v", ["g"]).collect()}
     assert boxes["a"]["median"] == np.median([v for k, v in rows if k == "a"]) and boxes["b"]["q3"] == 2.5
+
+
+def best_cut(x, y, least, gain):
+    """(gain, feature, cut) by trying each midpoint."""
+    best = None
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for lo, hi in zip(v, v[1:], strict=False):
+            left = x[:, f] <= lo
+            if left.sum() >= least and (~left).sum() >= least:
+                g = gain(y[left], y[~left], y)
+                if best is None or g > best[0] + 1e-9:
+                    best = (g, f, (lo + hi) / 2)
+    return best
+
+
+@pytest.mark.parametrize("bins", [256, 8, 2])
+def test_best_splits_over_bins(spark, bins, monkeypatch):
+    monkeypatch.setattr(tree, "BINS", bins)
+    rng = np.random.default_rng(15)
+    x = np.round(rng.normal(size=(600, 3)), 2)
+    x[:, 2] = rng.integers(0, 3, 600)
+    y = np.where(x[:, 1] > 0.37, 3.0, 0.0) + rng.normal(size=600) * 0.3
+    node = rng.integers(0, 4, 600)
+    df = spark.createDataFrame([(int(k), *map(float, r), float(v), int(v > 1.5)) for k, r, v in zip(node, x, y, strict=True)], "node_id long, a double, b double, c double, y double, l int")
+    error = lambda v: ((v - v.mean()) ** 2).sum()
+    got = {r["node_id"]: r for r in tree.best_split_regression(df, ["a", "b", "c"], "y", 5).collect()}
+    for k in range(4):
+        g, f, cut = best_cut(x[node == k], y[node == k], 5, lambda p, q, w: error(w) - error(p) - error(q))
+        assert got[k]["feat"] == "abc"[f] and got[k]["thr"] == pytest.approx(cut) and got[k]["gain"] == pytest.approx(g)
+
+    def bits(v):
+        p = v.mean()
+        return -sum(q * np.log2(q) for q in (p, 1 - p) if q > 0)
+
+    got = {r["node_id"]: r for r in tree.best_split_entropy(df, ["a", "b", "c"], "l").collect()}
+    for k in range(4):
+        g, f, cut = best_cut(x[node == k], (y > 1.5)[node == k], 1, lambda p, q, w: bits(w) - len(p) / len(w) * bits(p) - len(q) / len(w) * bits(q))
+        assert got[k]["feat"] == "abc"[f] and got[k]["thr"] == pytest.approx(cut) and got[k]["gain"] == pytest.approx(g)
+
+
+def test_few_bins_are_looked_into(spark):
+    """With a clear cut the bounds leave a few of 2 x 256 bins."""
+    rng = np.random.default_rng(16)
+    x = rng.uniform(size=(4000, 2))
+    df = spark.createDataFrame([(1, float(a), float(b), float(a > 0.4321) + float(e)) for (a, b), e in zip(x, rng.uniform(size=4000) * 0.1, strict=True)], "node_id long, a double, b double, y double")
+    counted = []
+    cuts = tree._cuts
+
+    def spied(values, bins, by, names):
+        counted.append((bins.count(), values.select("place", "bin").distinct().count()))
+        return cuts(values, bins, by, names)
+
+    tree._cuts = spied
+    try:
+        found = tree.best_split_regression(df, ["a", "b"], "y", 5).head()
+    finally:
+        tree._cuts = cuts
+    assert found["feat"] == "a" and abs(found["thr"] - 0.4321) < 0.01
+    print("bins looked into", counted)
+    assert counted[0][1] > 400 and counted[0][0] <= 4
+
+
+def test_kmeans_on_edges_equals_dense_rounds(spark):
+    rng = np.random.default_rng(17)
+    w = np.round(rng.uniform(size=(30, 30)), 3) * (rng.uniform(size=(30, 30)) < 0.3)
+    w[:15, :10] += 2
+    edges = [(i, j, float(w[i, j])) for i in range(30) for j in range(30) if w[i, j]] + [(0, 1, 0.5)]
+    w[0, 1] += 0.5
+    got = {r["src"]: r["cluster"] for r in cluster.kmeans_adjacency(spark.createDataFrame(edges, "src long, dst long, w double"), 3).collect()}
+    import hashlib
+
+    order = sorted(range(30), key=lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest())[:3]
+    c, at = w[order], None
+    while True:
+        new = ((w[:, None] - c) ** 2).sum(axis=2).round(9).argmin(axis=1)
+        if at is not None and (new == at).all():
+            break
+        at = new
+        c = np.stack([w[at == k].mean(axis=0) if (at == k).any() else c[k] for k in range(3)])
+    assert got == dict(enumerate(at.tolist()))
+
+
+def test_cluster_members_guard(spark):
+    df = spark.createDataFrame([(0, i) for i in range(9)] + [(1, 50), (None, 51)], "c int, id long")
+    with pytest.raises(ValueError, match="cluster_places"):
+        cluster.cluster_members(df, "c", "id", most=8)
+    got = {(r["c"], r["id"]): r["place"] for r in cluster.cluster_places(df, "c", "id").collect()}
+    assert got == {**{(0, i): i + 1 for i in range(9)}, (1, 50): 1, (None, 51): 1}
