@@ -56,6 +56,45 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN o.text END AS text, d.lang, d
 FROM documents d LEFT JOIN o USING (doc_id)
 """
 
+#: Windows of 20 words that start again, and the words that they cover.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i, true AS gone FROM g, range(20) r(k)),
+o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept FROM o LEFT JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: The same for strings of 100 bytes: starts of repeats, the runs that they cover, and what is left between runs.
+BYTES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS t FROM documents),
+v AS (SELECT doc_id, i, md5_number(array_slice(t, i, i + 99)::VARCHAR) AS s FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM g),
+u AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS e FROM u GROUP BY doc_id, k),
+x AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f FROM r),
+z AS (SELECT doc_id, count(*) AS n_spans, sum(e - a + 1) AS n_removed, max(e) AS last, string_agg(CASE WHEN a > f THEN hex(array_slice(t, f, a - 1)) ELSE '' END, '' ORDER BY a) AS kept FROM x JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(t) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || CASE WHEN octet_length(t) > coalesce(last, 0) THEN hex(array_slice(t, coalesce(last, 0) + 1, octet_length(t))) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
+
+#: All pairs that share a shingle, and the components of those that are similar enough.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id AS doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 #: Parts of four components a row; three assignments to the nearest of 64 entries, two moves of the entries between them.
 NEAREST = """{to} AS (SELECT t.vec_id, t.p, t.a, t.b, t.c, t.d, min((power(t.a - k.a, 2) + power(t.b - k.b, 2) + power(t.c - k.c, 2) + power(t.d - k.d, 2))::BIGINT * 64 + k.e) AS best FROM parts t JOIN {books} k USING (p) GROUP BY ALL)"""
 MOVED = """{to} AS (SELECT k.p, k.e, {means} FROM {books} k LEFT JOIN (SELECT p, best % 64 AS e, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM {rows} GROUP BY 1, 2) s USING (p, e))"""
@@ -158,4 +197,4 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixture, op2_sentencepiece, op3_language_id, op4_quality, op5_substring_dedup, op6_ngram_join, op7_embedding_dedup, op8_line_dedup, op9_transport_stream, op10_suffix_array_dedup, op11_vector_codes, op12_projection_forest, op13_lexical_search)}
-ORACLE = {"op1_mixture": MIX_SQL, "op8_line_dedup": LINE_SQL, "op11_vector_codes": CODES_SQL, "op13_lexical_search": SEARCH_SQL}
+ORACLE = {"op1_mixture": MIX_SQL, "op5_substring_dedup": REPEATS_SQL, "op6_ngram_join": JACCARD_SQL, "op8_line_dedup": LINE_SQL, "op10_suffix_array_dedup": BYTES_SQL, "op11_vector_codes": CODES_SQL, "op13_lexical_search": SEARCH_SQL}
