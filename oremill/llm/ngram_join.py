@@ -248,7 +248,30 @@ def planned(percent: int, counts: np.ndarray, sample: list[np.ndarray]) -> Plan:
     return Plan(percent, plan.bands, found[hot], often[hot])
 
 
-PROFILE = "doc_id long, n_shingles long, same long, other long, sketch array<long>, elements binary"
+PROFILE = "doc_id long, n_shingles long, same long, other long, sketch array<long>, elements binary, wide binary"
+#: Sets of more elements than the bits of a sketch have a wide one too.
+WIDE = SKETCH * 64
+
+
+def wide_sketches(s: Sets) -> list[bytes | None]:
+    """Parities of large sets' elements in as many bits as the next power of two; null for others."""
+    at, out = np.concatenate([[0], np.cumsum(s.size)]), []
+    for i, n in enumerate(s.size.tolist()):
+        if n <= WIDE:
+            out.append(None)
+            continue
+        bits = 1 << (n - 1).bit_length()
+        odd = np.bincount((spread(s.hash[at[i] : at[i + 1]] + MULT[24]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Places in which two wide sketches differ, the longer one folded; no more than the elements in which the sets do."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def profiles(docs: DataFrame, n: int, share: float) -> DataFrame:
@@ -269,7 +292,7 @@ def profiles(docs: DataFrame, n: int, share: float) -> DataFrame:
                 wanted = column(rows, "__picked").to_numpy(zero_copy_only=False).astype(bool) & (s.size > 0) & (s.size <= SAMPLED_SIZE)
                 at = np.concatenate([[0], np.cumsum(s.size)])
                 elements = [s.hash[at[i] : at[i + 1]].tobytes() if wanted[i] else None for i in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(s.size), *(pa.array(x.view(np.int64)) for x in sums), lists, pa.array(elements, pa.binary())], [f.split()[0] for f in PROFILE.split(", ")])
+                yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(s.size), *(pa.array(x.view(np.int64)) for x in sums), lists, pa.array(elements, pa.binary()), pa.array(wide_sketches(s), pa.binary())], [f.split()[0] for f in PROFILE.split(", ")])
 
     return docs.select("doc_id", "text", F.coalesce(picked, F.lit(False)).alias("__picked")).mapInArrow(work, PROFILE)
 
@@ -383,6 +406,7 @@ def apart(percent: int):
         words = column(t, "sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH)
         order = np.lexsort((own, j, i, sig))
         sig, i, j, own, c, doc, size, words = (x[order] for x in (sig, i, j, own, c, doc, size, words))
+        wide = column(t, "wide").take(pa.array(order)).to_pylist()
         begin, _ = first_of(sig, i, j)
         for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(sig)], strict=True):
             across = i[lo] != j[lo]
@@ -394,7 +418,12 @@ def apart(percent: int):
                 ok = (least * 100 >= most * percent) & (c[mine, None] != c[other]) & (mine[:, None] < other)
                 far = sum(np.bitwise_count(words[mine, None, k] ^ words[None, other, k]).astype(np.int64) for k in range(SKETCH))
                 x, y = np.nonzero(ok & (far * (100 + percent) <= (least + most) * (100 - percent)))
-                a, b = doc[mine[x]], doc[other[y]]
+                x, y = mine[x], other[y]
+                # sketches of large sets are full, so they are compared by their wide ones
+                large = np.flatnonzero((size[x] > WIDE) & (size[y] > WIDE))
+                near = np.ones(len(x), bool)
+                near[large] = [differing_bits(wide[i], wide[j]) * (100 + percent) <= int(size[i] + size[j]) * (100 - percent) for i, j in zip(x[large].tolist(), y[large].tolist(), strict=True)]
+                a, b = doc[x[near]], doc[y[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return work
@@ -408,7 +437,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     known = profile.where("doc_id is not null and n_shingles > 0").drop("elements")
     # equal sets are one: the document of the least id stands for all of them
     key = ["n_shingles", "same", "other"]
-    classes = cut(known.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    classes = cut(known.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.count("*").alias("copies")))
     e = [int(x) for x in edges(percent)[:-1]]
     band = F.array_size(F.filter(F.array(*[F.lit(x) for x in e]), lambda x: x <= F.col("n_shingles"))) - 1
     counts = np.zeros(len(e) + 1)
@@ -454,9 +483,9 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     marked = company.join(label, company.doc == label.id, "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
     marked = cut(marked)
     open_ = marked.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members")).where("c1 != c2").select("sig", "members")
-    members = labelled(marked, ["sig"], open_, "members", total).join(sketched, "doc")
+    members = labelled(marked, ["sig"], open_, "members", total).join(classes.select("doc", "n_shingles", "sketch", "wide"), "doc")
     members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc", "sketch"), F.col("blocks")).cast("int"))
-    members = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "c", "doc", "n_shingles", "sketch")
+    members = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "c", "doc", "n_shingles", "sketch", "wide")
     parts = fanout(docs)
     second = verified(docs, members.repartition(parts, "sig", "i", "j").mapInArrow(apart(percent), "a long, b long").distinct(), n, percent)
     final = merged(label, second)

@@ -238,6 +238,19 @@ def test_op6_pairs_meet_in_a_signature():
         assert similar > 10
 
 
+def test_op6_wide_sketches_never_rule_out_too_much():
+    """Differing places are no more than differing elements, nearly as many while these are few, and many for sets apart."""
+    rng = np.random.default_rng(4)
+    for n, m, apart in ((600, 600, 40), (600, 1500, 300), (5000, 5200, 900), (3000, 3000, 3000)):
+        a = np.unique(rng.integers(1, 2**62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[apart:], rng.integers(1, 2**62, max(0, m - n + apart)).astype(np.uint64)]))
+        x, y = ngram_join.wide_sketches(ngram_join.Some([a, b]))
+        differ = len(np.setxor1d(a, b))
+        got = ngram_join.differing_bits(x, y)
+        assert got <= differ and (got > 0.6 * differ if differ < n / 2 else got > n / 3)
+    assert ngram_join.wide_sketches(ngram_join.Some([np.arange(1, 500).astype(np.uint64)])) == [None]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(100, 180)] + [(5, 500 + i) for i in range(60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(7, 7)]
