@@ -1,11 +1,14 @@
 """Removing byte strings that also start earlier, by bucket-pointer refinement.
 
-The suffixes of all documents, cut at ``width`` bytes, are put into buckets by
-their first 32 bytes and refined by the bucket identifiers of later offsets, as
-``repeats`` describes: identifiers double in reach (32, 64, 100), each refined
-from the last, and only suffixes whose bucket has company go on. Sorting the
-last buckets by place leaves each string's first start. Identifiers are 64-bit
-hashes of their strings, so what they find is checked on the bytes: a run of
+Not all suffixes are sorted: of each window of ``width`` bytes only the suffix
+at its least q-gram of 32 bytes travels, with the identifier of the run's whole
+context, as ``repeats`` describes. A task computes the identifiers of its own
+texts by doubling (32, 64, ``width`` bytes: that of a pair of identifiers at two
+offsets), as 64-bit hashes that every task makes alike, not as ranks of a sort
+that are handed back. Buckets of suffixes with an equal q-gram are sorted by
+context and place; where a bucket has several contexts, its runs are cut into
+pieces and sorted again by the longer string that a piece shares, and what is
+still left window by window. What this finds is checked on the bytes: a run of
 repeats and the place it repeats are digested (md5) where each of them is, and
 every byte covered by a run goes only if the two digests are equal. What
 travels for that is places and digests, and the texts of documents that have
