@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import SLICE, column, pair, slices, spread
-from .tables import cut, fanout, marked, sieve, sifted
+from .tables import Sieve, cut, fanout, places, sieve
 
-#: Windows looked at together; a longer document goes in overlapping blocks.
-BLOCK = 1 << 20
+#: Windows looked at together, whose identifiers take some dozen arrays of 8 bytes each; what is longer goes in overlapping blocks.
+BLOCK = 1 << 18
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -196,16 +196,43 @@ def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, text): row tells texts of one doc_id apart, by 64 bits of their hash; it is 0 for ids that only one row has.
+KEYED = "doc_id long, row long, text string"
+
+
+class Keyed:
+    """Texts as ``KEYED``: row tells texts of one doc_id apart, by 64 bits of their hash; it is 0 for ids that only one row has.
 
     Which ids several rows have is told by a sieve; a row that passes it for
-    nothing has a hash and no other row of its id.
+    nothing has a hash and no other row of its id. Rows with a null doc_id are
+    left out. The sieves are looked at in the task that does the work on the
+    texts, so a task has one Python worker and texts go to it once.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    several = cut(own.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
-    out = marked(own, sieve(several), "doc_id", "several")
-    return out.select("doc_id", F.when(F.col("several"), F.coalesce(F.xxhash64("text"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("row"), "text")
+
+    def __init__(self, docs: DataFrame):
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+        self.several = sieve(cut(own.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")))
+        self.plain = own.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text")
+
+    def through(self, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, kept: Sieve | None = None, inside: bool = True) -> DataFrame:
+        """``work`` on all texts; or on those whose doc_id passes ``kept``, as all that are in it do, and a few others; or, not ``inside``, on the rest."""
+        context = self.plain.sparkSession.sparkContext
+        several, wanted = context.broadcast(self.several), context.broadcast(kept)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, row, text, *at = batch.columns
+                at = [a.to_numpy(zero_copy_only=False) for a in at]
+                row = np.where(several.value.passes(at[0]) & several.value.passes(at[1]), row.to_numpy(zero_copy_only=False), 0)
+                out = pa.RecordBatch.from_arrays([doc, pa.array(row), text], [f.split()[0] for f in KEYED.split(", ")])
+                if len(at) > 2:
+                    out = out.filter(pa.array((wanted.value.passes(at[2]) & wanted.value.passes(at[3])) == inside))
+                yield out
+
+        at = [at for s in (self.several, kept) if s for at in places("doc_id", s.log)]
+        return self.plain.select("*", *[x.alias(f"__at{k}") for k, x in enumerate(at)]).mapInArrow(lambda batches: work(rows(batches)), schema)
+
+    def rows(self, kept: Sieve | None = None) -> DataFrame:
+        return self.through(lambda batches: batches, KEYED, kept)
 
 
 def ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +270,8 @@ class Open:
             lo = hi
 
 
-def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: int = 0, at_once: int = SLICE) -> tuple[DataFrame, DataFrame]:
-    """(texts, found): ``keyed`` texts, and ``LISTS`` of the runs of windows that also start earlier, and where.
+def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: int = 0, at_once: int = SLICE) -> tuple[Keyed, DataFrame]:
+    """(texts, found): the texts with their keys, and ``LISTS`` of the runs of windows that also start earlier, and where.
 
     ``units`` makes hashes and the first unit of each row from a slice's bytes
     and offsets; slices have ``at_once`` bytes. Rows with a null doc_id or text have none. In ``found`` runs
@@ -252,17 +279,19 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
     """
     parts = fanout(docs, 1.5)
     buckets = 1 << max(8, (parts - 1).bit_length())
-    own = keyed(docs).where("doc_id is not null")
+    own = Keyed(docs)
 
-    def dealt(first, *rest):
-        return packed_batch(list(deal((first & np.uint64(buckets - 1)).astype(np.int64), buckets, first, *rest)))
+    def dealt(blocks):
+        """The records of a slice's blocks, dealt together."""
+        if blocks:
+            first, *rest = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            yield packed_batch(list(deal((first & np.uint64(buckets - 1)).astype(np.int64), buckets, first, *rest)))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in slices(batch, limit=at_once):
                 doc, row = ids(rows)
-                for grams, context, d, start, n, lead in runs(*units(data, off), width, gram):
-                    yield dealt(grams, context, doc[d], row[d], start.astype("<u4"), n.astype("<u2"), lead.astype("<u2"))
+                yield from dealt([(grams, context, doc[d], row[d], start.astype("<u4"), n.astype("<u2"), lead.astype("<u2")) for grams, context, d, start, n, lead in runs(*units(data, off), width, gram)])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +300,7 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
                 u, first = units(data, off)
                 o = Open(rows, first)
                 o.spread_out(piece)
+                blocks = []
                 for base, k in o.blocks(BLOCK):
                     part = u[base : base + BLOCK + 2 * width]
                     by_size = levels(part, width, width - piece + 1)
@@ -279,7 +309,8 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
                     a = o.at[k] - base
                     shape = ((o.shared[k] - o.at[k]) << 16 | o.n[k]).astype(np.uint64)
                     context = pair(pair(whole[a], whole[a + o.n[k] - 1]), spread(shape))
-                    yield dealt(shared[o.shared[k] - base], context, doc[o.d[k]], row[o.d[k]], o.start[k].astype("<u4"), o.n[k].astype("<u2"), o.lead[k].astype("<u2"))
+                    blocks.append((shared[o.shared[k] - base], context, doc[o.d[k]], row[o.d[k]], o.start[k].astype("<u4"), o.n[k].astype("<u2"), o.lead[k].astype("<u2")))
+                yield from dealt(blocks)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,19 +319,21 @@ def repeated_runs(docs: DataFrame, units: Units, width: int, gram: int, piece: i
                 u, first = units(data, off)
                 o = Open(rows, first)
                 o.spread_out(1)
+                blocks = []
                 for base, k in o.blocks(BLOCK):
                     part = u[base : base + BLOCK + width - 1]
                     whole = identifiers(levels(part, width), width, len(part) - width + 1)
-                    yield dealt(whole[o.at[k] - base], doc[o.d[k]], row[o.d[k]], o.start[k].astype("<u4"))
+                    blocks.append((whole[o.at[k] - base], doc[o.d[k]], row[o.d[k]], o.start[k].astype("<u4")))
+                yield from dealt(blocks)
 
     def left_over(lists: DataFrame) -> DataFrame:
         """Texts that have left-over runs, with these; only such texts travel."""
         left = lists.where("exists(open, x -> x)").select("doc_id", "row", F.filter(F.arrays_zip("start", "n", "lead", "open"), lambda z: z["open"]).alias("z"))
         left = cut(left.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z")))
-        texts = sifted(own, sieve(left.select(F.col("doc_id").alias("id"))), "doc_id")
+        texts = own.rows(sieve(left.select(F.col("doc_id").alias("id"))))
         return texts.join(left.hint("shuffle_hash"), ["doc_id", "row"])
 
-    found = cut(own.mapInArrow(records, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS))
+    found = cut(own.through(records, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS))
     last, out = found, found.where("exists(open, x -> not x)")
     if piece:
         last = cut(left_over(found).mapInArrow(pieces, PACKED).repartition(parts, "bucket").mapInArrow(sort_contexts, LISTS))

@@ -217,7 +217,8 @@ def kept_words(width: int):
 
 def dedup_words(docs: DataFrame, width: int = 20, gram: int = 10) -> DataFrame:
     """``OUT``: one row per document with its removed spans, in words, and its remaining words."""
-    own, found = repeats.repeated_runs(docs, as_words, width, gram)
+    texts, found = repeats.repeated_runs(docs, as_words, width, gram)
+    own = texts.rows()
     z = F.filter(F.arrays_zip("start", "n", "src", "src_row", "src_start", "open"), lambda x: ~x["open"])
     runs = cut(found.select("doc_id", "row", z.alias("z")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z")).mapInArrow(merged, RUNS))
     words = int(runs.agg(F.sum(F.col("n") + width)).head()[0] or 0)

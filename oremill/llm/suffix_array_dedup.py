@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .batches import BYTE, column, slices
-from .tables import cut, labelled, sieve, sifted
+from .tables import cut, labelled, sieve
 
+#: Bytes of text whose runs are digested or taken out together.
+AT_ONCE = 1 << 18
 OUT = "doc_id long, n_bytes long, spans array<struct<start:int,len:int>>, kept binary"
 
 
@@ -98,7 +100,7 @@ def digested(width: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch, limit=1 << 20):
+            for rows, data, off in slices(batch, limit=AT_ONCE):
                 d, start, n = run_lists(rows)
                 raw, at = data.tobytes(), off[d] + start
                 sums = [hashlib.md5(raw[a:b]).digest() for a, b in zip(at.tolist(), (at + n + width - 1).tolist(), strict=True)]
@@ -108,7 +110,7 @@ def digested(width: int):
     return work
 
 
-def with_sources(own: DataFrame, found: DataFrame, width: int) -> DataFrame:
+def with_sources(own: repeats.Keyed, found: DataFrame, width: int) -> DataFrame:
     """(doc_id, row, z): the runs of each document that are results, each with the digest of what it repeats."""
     z = F.filter(F.arrays_zip("start", "n", "src", "src_row", "src_start", "open"), lambda x: ~x["open"])
     lists = found.select("doc_id", "row", z.alias("z")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("z")).alias("z"))
@@ -116,7 +118,7 @@ def with_sources(own: DataFrame, found: DataFrame, width: int) -> DataFrame:
     place = ["src", "src_row", "src_start", "n"]
     asked = cut(runs.groupBy(*place).agg(F.count("*").alias("times")))
     by_text = asked.groupBy(F.col("src").alias("doc_id"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("src_start", "n")).alias("z"))
-    texts = sifted(own, sieve(asked.select(F.col("src").alias("id"))), "doc_id")
+    texts = own.rows(sieve(asked.select(F.col("src").alias("id"))))
     sums = texts.join(by_text.hint("shuffle_hash"), ["doc_id", "row"]).mapInArrow(digested(width), "src long, src_row long, src_start int, n int, sum binary")
     sums = cut(asked.join(sums.distinct(), place))
     told = labelled(runs, place, sums, "times", runs.count())
@@ -129,7 +131,7 @@ def dedup_bytes(docs: DataFrame, width: int = 100, gram: int = 32, piece: int =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch, limit=1 << 20):
+            for rows, data, off in slices(batch, limit=AT_ONCE):
                 d, start, n = run_lists(rows)
                 at, raw = off[d] + start, data.tobytes()
                 lists = column(rows, "z")
@@ -143,8 +145,12 @@ def dedup_bytes(docs: DataFrame, width: int = 100, gram: int = 32, piece: int =
 
     runs = cut(with_sources(own, found, width))
     bits = sieve(runs.select(F.col("doc_id").alias("id")))
-    z = "cast(null as array<struct<start:int,n:int,sum:binary>>) as z"
-    touched = sifted(own, bits, "doc_id").join(runs.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "z").mapInArrow(keep, OUT)
-    judged = touched.unionByName(sifted(own, bits, "doc_id", inside=False).selectExpr("doc_id", "text", z).mapInArrow(keep, OUT))
+    none = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("sum", pa.binary())]))
+
+    def keep_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return keep(pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "text"), pa.array([[]] * b.num_rows, none)], ["doc_id", "text", "z"]) for b in batches)
+
+    touched = own.rows(bits).join(runs.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "z").mapInArrow(keep, OUT)
+    judged = touched.unionByName(own.through(keep_all, OUT, bits, inside=False))
     rest = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:int,len:int>>)").alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
     return judged.unionByName(rest)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oremill.llm import components, embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, queries, sentencepiece, substring_dedup, suffix_array_dedup, tables, transport_stream
+from oremill.llm import components, embedding_dedup, language_id, line_dedup, mixture, ngram_join, quality, queries, repeats, sentencepiece, substring_dedup, suffix_array_dedup, tables, transport_stream
 from oremill.llm.tables import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,24 @@ def test_op10_removes_what_brute_force_removes(spark, width, gram, piece):
     assert got == want
 
 
+def test_op10_holds_little_at_once(spark):
+    """A slice of 1 MB took 73 MB of arrays, and tasks had two or three Python workers in a row."""
+    import tracemalloc
+
+    data = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8)
+    u = suffix_array_dedup.as_bytes(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    windows = sum(int(r[4].sum()) for r in repeats.runs(*u, 100, 32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == len(data) - 99 and peak < 48 << 20
+    docs = spark.createDataFrame([(i, f"{i % 3} " * 80) for i in range(30)], "doc_id long, text string")
+    lines = suffix_array_dedup.dedup_bytes(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    steps = [i for i, x in enumerate(lines) if "MapInArrow" in x]
+    assert len(steps) == 3 and not any(depth[j] == depth[i] + 3 for i, j in zip(steps, [x + 1 for x in steps], strict=True) if "MapInArrow" in lines[j])
+
+
 def test_texts_of_one_id_are_told_apart(spark):
     """400 texts of one id share a passage, which all but the first of them lose, whichever that is."""
     shared = " ".join(f"s{i}" for i in range(30))
