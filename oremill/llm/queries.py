@@ -157,7 +157,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids of every whole text, and whether they decode to it; the vocabulary of ``path``."""
     path = path or tokenizer_path()
-    out = sentencepiece.decode(sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = sentencepiece.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return out.select("doc_id", "n_tokens", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
 
 

@@ -359,16 +359,44 @@ def scanned(matrices: DataFrame) -> DataFrame:
     return states
 
 
+def texts_of(lists: pa.Array, size: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """The text of each list of ids (null: null); piece i has the next ``size[i]`` bytes of ``flat``."""
+    per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    n = size[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = flat[np.repeat((np.cumsum(size) - size)[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
+    at = ends[np.concatenate([[0], np.cumsum(per)])].tolist()
+    return pa.array([None if none else out[a + (out[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b, none in zip(at[:-1], at[1:], lists.is_null().to_pylist(), strict=True)], pa.string())
+
+
+def byte_table(bytes_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of all pieces' bytes, and these bytes in a row."""
+    return np.array([len(b) for b in bytes_of]), np.frombuffer(b"".join(bytes_of), np.uint8)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """All columns of ``docs`` and n_tokens, ids (array<int>)."""
+    return _encoded(docs, path, False)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode`` of ``encode``; texts that are not giant are encoded and decoded where they are, in one pass."""
+    return _encoded(docs, path, True)
+
+
+def _encoded(docs: DataFrame, path: str, back: bool) -> DataFrame:
     vocabulary = load(path)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    own = docs.drop("ids", "n_tokens")
+    own = docs.drop("ids", "n_tokens", *["decoded"] * back)
     giant = F.coalesce(F.length("text") > CHUNK, F.lit(False))
-    schema = StructType([*own.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*own.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * back])
+
+    made = schema.names[len(own.columns) :]
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = byte_table(shared.value.bytes_of)
         for batch in batches:
             texts = column(batch, "text")
             if pc.any(pc.match_substring(texts, MARK)).as_py():
@@ -379,7 +407,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 null = column(rows, "text").is_null()
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null)
                 count = pc.if_else(null, pa.scalar(None, pa.int64()), pa.array(np.diff(at)))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], count, lists], [*rows.schema.names[:-1], "n_tokens", "ids"])
+                decoded = [texts_of(lists, *tables)] if back else []
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], count, lists, *decoded], [*rows.schema.names[:-1], *made])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = shared.value.longest
@@ -421,30 +450,19 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     traced = pieces.join(states, ["__sp_key", "k"]).select("__sp_key", "k", "n", "lo", "hi", "s", "enter", "leave").repartition(tasks, "__sp_key", "k").mapInArrow(trace, "__sp_key string, k int, ids array<int>")
     whole = traced.groupBy("__sp_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     encoded = large.join(whole, "__sp_key").select(*own.columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return own.where(~giant).mapInArrow(small, schema).unionByName(encoded)
+    return own.where(~giant).mapInArrow(small, schema).unionByName(decode(encoded, path) if back else encoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """All columns and ``decoded``: the text of ``ids`` (null: null)."""
-    bytes_of = load(path).bytes_of
     own = encoded.drop("decoded")
-    tables = encoded.sparkSession.sparkContext.broadcast((np.array([len(b) for b in bytes_of]), np.frombuffer(b"".join(bytes_of), np.uint8)))
+    tables = encoded.sparkSession.sparkContext.broadcast(byte_table(load(path).bytes_of))
     schema = StructType([*own.schema.fields, StructField("decoded", StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, flat = tables.value
-        start = np.cumsum(size) - size
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 rows = batch.slice(lo, 512)
-                lists = column(rows, "ids")
-                per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                n = size[ids]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                out = flat[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
-                at = ends[np.concatenate([[0], np.cumsum(per)])].tolist()
-                texts = [None if none else out[a + (out[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b, none in zip(at[:-1], at[1:], lists.is_null().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts_of(column(rows, "ids"), *tables.value)], [*rows.schema.names, "decoded"])
 
     return own.mapInArrow(work, schema)

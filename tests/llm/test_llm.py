@@ -389,6 +389,20 @@ def test_op2_equals_the_library_and_round_trips(spark, odd, empty, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["ids"])) for r in giant) == sorted((str(r["doc_id"]), str(r["ids"])) for r in out)
 
 
+def test_op2_encodes_and_decodes_in_one_pass(spark, odd, empty, monkeypatch):
+    """One worker a task reads the texts, and the rows are those of the two operators."""
+    path = tokenizer_path()
+    rows = lambda df: sorted((str(r["doc_id"]), str(r["text"]), str(r["ids"]), r["n_tokens"] or 0, str(r["decoded"])) for r in df.collect())
+    want = rows(sentencepiece.decode(sentencepiece.encode(odd, path), path))
+    assert rows(sentencepiece.round_trip(odd, path)) == want
+    assert sentencepiece.round_trip(empty, path).count() == 0
+    lines = sentencepiece.round_trip(odd, path)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # one step for the texts, and for giant ones that which decodes what comes of several
+    assert "MapInArrow" in lines[1] and "MapInArrow" not in lines[2]
+    monkeypatch.setattr(sentencepiece, "CHUNK", 37)
+    assert rows(sentencepiece.round_trip(odd, path)) == want
+
+
 def test_op2_giant_texts_at_the_real_chunk_size(spark):
     import sentencepiece as library
 
