@@ -97,8 +97,8 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (1.0, 2.0, 3.0), cap: float =
             out = F.when((F.col("rank") - 1) % len(schedules) == i, inverse_demand(place(c), knots)).otherwise(out)
         return out
 
-    most = int(cap) + 1
-    positions = F.slice(F.array(*[progress(F.lit(c)) for c in range(most)]), 1, F.col("copies"))
+    # one expression for all places: written out for each, the step's code is too long for Spark to compile
+    positions = F.transform(F.slice(F.array(*[F.lit(c) for c in range(int(cap) + 1)]), 1, F.col("copies")), progress)
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"), *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
 
 

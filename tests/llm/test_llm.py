@@ -362,6 +362,15 @@ def test_op1_on_odd_rows(spark, odd, empty):
     assert mixture.training_order(mixture.mix(empty), 2).count() == 0
 
 
+def test_op1_places_are_one_expression(spark):
+    """Written out for each place, the code of the step that takes documents was too long for Spark to compile."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 5}") for i in range(50)], "doc_id long, text string, source string")
+    plan = mixture.training_order(mixture.mix(docs), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("SQRT(") <= 30  # 120 before
+    rows = mixture.mix(docs).collect()
+    assert {len(r["positions"]) - r["copies"] for r in rows} == {0} and max(r["copies"] for r in rows) > 1
+
+
 def test_op1_schedule_inverse(spark):
     knots = ((0.0, 0.25), (0.6, 1.0), (1.0, 2.0))
     u = np.linspace(0, 1, 50)
