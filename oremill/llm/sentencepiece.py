@@ -15,7 +15,9 @@ text has one such path. So:
   factors. Each chunk is traced back on its own, in its own task.
 * No piece has a space mark after another character, so between words the
   state is a single one and the matrix of a word is 1 x 1: words are encoded
-  once for all their places in a batch.
+  once for all their places in a batch. A walk down a tree of the pieces finds
+  the lattice's edges at all bytes of the batch's words at once; then all words
+  look for their paths together, an edge of each at a time.
 
 ``decode`` joins the pieces' bytes. Nothing is trained; the vocabulary file's
 path is a parameter, read on the driver only and sent to tasks (some 32,000
@@ -40,13 +42,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .batches import column, slices
+from .batches import column, slices, text_bytes
 from .tables import cut, drop, fanout
 
 MARK = "▁"
 CHUNK, KEPT = 1 << 16, 300_000
 #: Bytes of text whose distinct words are encoded together.
 TOGETHER = 2 << 20
+#: Bytes of words that are searched together, and how few of them are no longer; bits of the places for pairs met lately.
+SEARCHED, FEW, MET = 1 << 19, 16, 20
+
+
+class Tree:
+    """Prefix tree of the pieces' bytes, a space for the mark; it finds the edges of the lattice for many words at once."""
+
+    def __init__(self, ids: dict[str, int], names: int):
+        #: of each piece: the longest other piece that it begins with (-1: none), its bytes, whether its first character is a piece (last: of no piece)
+        self.shorter, self.size, self.single = np.full(names, -1, np.int32), np.zeros(names, np.int64), np.zeros(names + 1, bool)
+        # node 0 is that of no piece, node 1 the root
+        down: list[dict[int, int]] = [{}, {}]
+        piece = [-1, -1]
+        for text, i in sorted(ids.items()):  # a piece comes after those that it begins with
+            raw, at = text.replace(MARK, " ").encode(), 1
+            for b in raw:
+                if piece[at] >= 0:
+                    self.shorter[i] = piece[at]
+                if b not in down[at]:
+                    down[at][b] = len(down)
+                    down.append({})
+                    piece.append(-1)
+                at = down[at][b]
+            piece[at], self.size[i], self.single[i] = i, len(raw), text[0] in ids
+        self.piece = np.array(piece, np.int32)
+        # only nodes that go on have a row; row 0 is that of the others
+        inner = [k for k, x in enumerate(down) if x]
+        self.row = np.zeros(len(down), np.int32)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.next = np.zeros((len(inner) + 1, 256), np.int32)
+        for r, k in enumerate(inner, 1):
+            self.next[r, list(down[k])] = list(down[k].values())
+
+    def longest(self, data: np.ndarray) -> np.ndarray:
+        """The longest piece that starts at each byte (-1: none); byte 255 is in no piece."""
+        out = np.full(len(data), -1, np.int32)
+        at, row, k = np.arange(len(data)), np.full(len(data), self.row[1]), 0
+        while len(at):
+            node = self.next[row, data[at + k]]
+            found = self.piece[node]
+            some = found >= 0
+            out[at[some]] = found[some]
+            row = self.row[node]
+            on = (row > 0) & (at + k + 1 < len(data))
+            at, row, k = at[on], row[on], k + 1
+        return out
 
 
 @dataclass
@@ -62,9 +110,12 @@ class Vocabulary:
     pairs: dict[int, bool] = field(default_factory=dict)
     words: dict[bytes, list[int]] = field(default_factory=dict)
     courses: dict[str, tuple | None] = field(default_factory=dict)
+    tree: Tree | None = None
+    names: dict[int, str] = field(default_factory=dict)
+    met: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": {}, "words": {}, "courses": {}}
+        return self.__dict__ | {"pairs": {}, "words": {}, "courses": {}, "tree": None, "names": {}, "met": None}
 
     def course(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
         """How merges build a piece: scores in order, and its last and first part before each and at the end.
@@ -183,14 +234,88 @@ class Vocabulary:
     def word(self, raw: bytes) -> list[int]:
         got = self.words.get(raw)
         if got is None:
-            s = raw.decode().replace(" ", MARK)
-            got = self.numbers(self.path(s))
+            got = self.numbers(self.path(raw.decode().replace(" ", MARK)))
             if len(self.words) >= KEPT:
                 self.words.clear()
             if len(raw) <= 64:
                 self.words[raw] = got
         return got
 
+    def may_follow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``allowed_ids`` of pairs of pieces; pairs met lately are kept in ``met``, each in the place that its hash gives."""
+        key = i.astype(np.int64) << 20 | j
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MET)).astype(np.int64)
+        got = self.met[at]
+        new = np.flatnonzero(got >> 1 != key)
+        if len(new):
+            keys, of = np.unique(key[new], return_inverse=True)
+            ok = np.array([self.allowed_ids(k >> 20, k & (1 << 20) - 1, self.names[k >> 20], self.names[k & (1 << 20) - 1]) for k in keys.tolist()], np.int64)
+            got[new] = keys[of] << 1 | ok[of]
+            self.met[at[new]] = got[new]
+        return (got & 1).astype(bool)
+
+    def search(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``path`` of many words at once, a step of each at a time: the piece that starts at each byte (-1: none), and the words left to ``path``.
+
+        These are words with a character that is no piece, and the last few that take the most steps. Byte 255 ends each word.
+        """
+        tree = self.tree
+        first = tree.longest(data)
+        taken, origin = np.full(len(data), -1, np.int32), np.full(len(data), -1)
+        left = [np.zeros(0, np.int64)]
+        k, at, before, j = np.arange(len(start)), start.copy(), np.full(len(start), -1), first[start]
+        while len(k) >= FEW:
+            ok = j >= 0
+            ask = np.flatnonzero(ok & (before >= 0))
+            ok[ask] = self.may_follow(taken[before[ask]], j[ask])
+            none = np.flatnonzero(j < 0)
+            j_next = tree.shorter[j]
+            on = np.flatnonzero(ok)
+            p = at[on]
+            taken[p], origin[p] = j[on], before[on]
+            before[on], at[on] = p, p + tree.size[j[on]]
+            j_next[on] = first[at[on]]
+            # all pieces from here are tried: back to the last one, for which a shorter one may stand
+            stuck = (before[none] < 0) | ~tree.single[first[at[none]]]
+            left.append(k[none[stuck]])
+            back = none[~stuck]
+            p = before[back]
+            j_next[back] = tree.shorter[taken[p]]
+            taken[p] = -1
+            at[back], before[back] = p, origin[p]
+            going = at < stop[k]
+            going[none[stuck]] = False
+            k, at, before, j = k[going], at[going], before[going], j_next[going]
+        return taken, np.concatenate([*left, k])
+
+    def encoded(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        if self.tree is None:
+            self.tree, self.names, self.met = Tree(self.ids, len(self.bytes_of)), {i: x for x, i in self.ids.items()}, np.full(1 << MET, -1)
+        data, off = text_bytes(words)
+        parts, counts, lo = [], [], 0
+        while lo < len(words):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SEARCHED, side="right")) - 1)
+            own = off[lo : hi + 1] - off[lo]
+            start, stop = own[:-1] + np.arange(hi - lo), own[1:] + np.arange(hi - lo)
+            taken, left = self.search(np.insert(data[off[lo] : off[hi]], own[1:], 255), start, stop)
+            for k in left.tolist():
+                taken[start[k] : stop[k]] = -1
+            found = np.flatnonzero(taken >= 0)
+            count = np.diff(np.searchsorted(found, np.append(start, len(taken))))
+            slow = {k: self.word(data[off[lo + k] : off[lo + k + 1]].tobytes()) for k in left.tolist()}
+            count[list(slow)] = [len(x) for x in slow.values()]
+            by_steps = np.ones(len(count), bool)
+            by_steps[list(slow)] = False
+            ids, at = np.zeros(count.sum(), np.int32), np.cumsum(count) - count
+            ids[np.repeat(by_steps, count)] = taken[found]
+            for k, x in slow.items():
+                ids[at[k] : at[k] + len(x)] = x
+            parts.append(ids)
+            counts.append(count)
+            lo = hi
+        return np.concatenate(parts), np.concatenate(counts)
+
     # chunks of a giant text, with `longest` characters of context on each side
 
     def states(self, s: str, at: int) -> list[tuple[int, str]]:
@@ -281,9 +406,8 @@ def encode_slice(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     new[first] = True
     begin = np.flatnonzero(new)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
-    lists = [v.word(w) for w in words.dictionary.to_pylist()]
-    size = np.array([len(x) for x in lists], np.int64)
-    flat, at = np.array([i for x in lists for i in x], np.int32), np.cumsum(size) - size
+    flat, size = v.encoded(words.dictionary)
+    at = np.cumsum(size) - size
     code = words.indices.to_numpy()
     n = size[code]
     ends = np.cumsum(n)

@@ -448,6 +448,26 @@ def test_op2_odd_characters():
         assert sentencepiece.encode_slice(v, data, np.array([0, len(data)]))[0].tolist() == lib.encode(t), t
 
 
+def test_op2_searches_words_together(monkeypatch):
+    import sentencepiece as library
+
+    path = tables.tokenizer_path()
+    lib, v = library.SentencePieceProcessor(model_file=path), sentencepiece.load(path)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeèiknßoprstuzжи" if k % 9 else "ab語🙂ก0-_") for _ in range(rng.randint(1, 24))) for k in range(4000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + ["ab" * 3000, "  x  ", ""]
+    one_by_one = []
+    path_of = sentencepiece.Vocabulary.path
+    monkeypatch.setattr(sentencepiece.Vocabulary, "path", lambda self, s: one_by_one.append(s) or path_of(self, s))
+    raw = [t.encode() for t in texts]
+    ids, at = sentencepiece.encode_slice(v, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, t in enumerate(texts):
+        if "  " not in t:
+            assert ids[at[k] : at[k + 1]].tolist() == lib.encode(t), t
+    # left to the search of single words: those with characters that are no piece, and the last few
+    assert len([w for w in one_by_one if all(c in v.ids for c in w)]) <= sentencepiece.FEW
+
+
 def test_op3_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = queries.op3_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
