@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE = 1 << 20
+#: The same where each word or byte takes many times its own size in arrays.
+FINE = 1 << 18
 #: Random odd multipliers, the same in every task and run.
 MULT = np.random.default_rng(20240229).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE = np.random.default_rng(77).integers(1, 2**63, size=256, dtype=np.uint64)

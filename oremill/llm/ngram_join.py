@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import MULT, Words, column, pair, slices, spread
+from .batches import FINE, MULT, Words, column, pair, slices, spread
 from .components import apart_still, components, merged
 from .repeats import PACKED, deal, first_of, gather, packed_batch
 from .tables import cut, drop, fanout, labelled, sieve, sifted
@@ -280,7 +280,7 @@ def profiles(docs: DataFrame, n: int, share: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=FINE):
                 s = Sets(data, off, n)
                 sums = np.zeros((2, rows.num_rows), np.uint64)
                 np.add.at(sums[0], s.row, spread(s.hash + MULT[21]))
@@ -313,12 +313,16 @@ def companies(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
-                doc = column(rows, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                sig, row, kind, left, hot = signatures(Sets(data, off, n), shared.value)
-                d = doc[row]
+            for rows, _, _ in slices(batch):
+                # signatures are found in finer slices and dealt together
+                found = []
+                for part, data, off in slices(rows, limit=FINE):
+                    sig, row, kind, left, hot = signatures(Sets(data, off, n), shared.value)
+                    doc = column(part, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    found.append((sig, doc[row], kind.astype("u1"), np.minimum(left, 65535).astype("<u2"), hot))
+                sig, d, kind, left, hot = (np.concatenate(x) for x in zip(*found, strict=True))
                 at = np.where(hot, spread(sig ^ d.astype(np.uint64) * MULT[31]), sig)
-                yield packed_batch(list(deal((at & np.uint64(buckets - 1)).astype(np.int64), buckets, sig, d, kind.astype("u1"), np.minimum(left, 65535).astype("<u2"), hot)))
+                yield packed_batch(list(deal((at & np.uint64(buckets - 1)).astype(np.int64), buckets, sig, d, kind, left, hot)))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, doc, kind, left, hot = gather(batches, kinds)

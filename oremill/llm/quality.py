@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .batches import Words, column, slices
+from .batches import FINE, Words, column, slices
 from .tables import cut, fanout, held_out
 from .word_features import shapes
 
@@ -80,7 +80,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, table = index_vectors(), np.zeros((UNITS + SHAPES, DIM + 1), np.float32)
         for batch in batches:
-            for _, data, off in slices(batch):
+            for _, data, off in slices(batch, limit=FINE):
                 w = Words(data, off)
                 if len(w):
                     found, sums = added(index, w)
@@ -182,7 +182,7 @@ def features(docs: DataFrame, vectors, label: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=FINE):
                 x = pooled(vectors.value, Words(data, off), rows.num_rows)
                 yield pa.RecordBatch.from_arrays([column(rows, "id"), column(rows, "label"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=FINE):
                 s = net.scores(pooled(vectors, Words(data, off), rows.num_rows)) if net else np.full(rows.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], [*rows.schema.names, "score"])
 

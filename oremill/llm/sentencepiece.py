@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .batches import column, slices, text_bytes
+from .batches import FINE, column, slices, text_bytes
 from .tables import cut, drop, fanout
 
 MARK = "▁"
@@ -488,8 +488,12 @@ def texts_of(lists: pa.Array, size: np.ndarray, flat: np.ndarray) -> pa.Array:
     per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     ids = lists.flatten().to_numpy(zero_copy_only=False)
     n = size[ids]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    out = flat[np.repeat((np.cumsum(size) - size)[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
+    ends, begin, parts, lo = np.concatenate([[0], np.cumsum(n)]), np.cumsum(size) - size, [], 0
+    while lo < len(ids):  # each byte takes two dozen in arrays
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + FINE, side="right")) - 1)
+        parts.append(flat[np.repeat(begin[ids[lo:hi]] - ends[lo:hi], n[lo:hi]) + np.arange(ends[lo], ends[hi])].tobytes())
+        lo = hi
+    out = b"".join(parts)
     at = ends[np.concatenate([[0], np.cumsum(per)])].tolist()
     return pa.array([None if none else out[a + (out[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b, none in zip(at[:-1], at[1:], lists.is_null().to_pylist(), strict=True)], pa.string())
 
