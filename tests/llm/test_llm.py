@@ -293,6 +293,32 @@ def test_components_of_more_links(spark):
     assert components.merged(label, table([(7, 7), (None, 5)])) is label
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(6)
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = [(i + 1, i) for i in range(40)] + [(900 + i, 950) for i in range(30)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(25)] + [(None, 3), (4, None), (8, 8)]
+    second = [(20, 910), (2005, 3), (7000, 6999), (1, 2), (950, 5000)] * 2
+    named = lambda df: {r["id"]: r["component"] for r in df.collect()}
+    one, rounds = components.components(table(first)), components.components(table(first), small=0)
+    assert named(one) == named(rounds) and named(one)[40] == 0
+    assert named(components.merged(one, table(second))) == named(components.merged(rounds, table(second), small=0))
+    assert components.components(table([(None, 3), (8, 8)])).count() == 0
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    sc = spark.sparkContext
+    for group, work in (("chain", lambda: components.components(chain)), ("merge", lambda: components.merged(label, more))):
+        chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
+        label, more = components.components(chain), spark.createDataFrame([(1, 2), (300, 999)], "a long, b long")
+        sc.setJobGroup(group, group)
+        try:
+            assert {r["component"] for r in work().collect()} == {0}
+            # not several in each round, which the driver plans and keeps count of
+            assert len(sc.statusTracker().getJobIdsForGroup(group)) <= 10
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_op7_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(150, 64))
