@@ -4,11 +4,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from oremill.functions.columns import city_base_name, first_match_in_json_array, mcc, money_label
-from oremill.operators import clean, cluster, evaluate, hierarchy, image, linear, neighbours, prep, profile, ranking, selection, sequence, tree
+from oremill.operators import clean, cluster, dense, evaluate, hierarchy, image, linear, neighbours, prep, profile, ranking, selection, sequence, tree
 from oremill.sources import tabular
 from oremill.streaming import lookup
 
@@ -442,6 +443,78 @@ def test_neighbours_by_cells(spark):
         assert visited < 0.25
 
 
+def test_neighbours_without_structure_stream_past_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=(1500, 20)), np.zeros((40, 20))]).round(2)
+    feats = [f"c{i}" for i in range(20)]
+    df = spark.createDataFrame([(f"r{i:04d}", *map(float, v), i % 7 or None) for i, v in enumerate(x)], "id string, " + ", ".join(f"{c} double" for c in feats) + ", y long")
+    df = df.withColumn("c3", F.when(F.col("id") != "r0011", F.col("c3")))
+    q = df.where("substr(id, 5) = '0'")
+    # before, each query went to nearly all cells, with a copy of its columns for each
+    monkeypatch.setattr(neighbours, "Cells", None)
+    near = neighbours.knn_join(q, df.where("substr(id, 5) != '0'"), "id", feats, 6, neighbours.METRICS, per_block=300, carry=("y",))
+    got = {(r["metric"], int(r["qid"][1:]), r["rank"]): (int(r["tid"][1:]), r["y"], r["d"]) for r in near.collect()}
+    x[11, 3] = np.nan
+    own, other = np.arange(0, len(x), 10), np.flatnonzero(np.arange(len(x)) % 10)
+    for metric in neighbours.METRICS:
+        d = neighbours._distances(x[own], x[other], metric, 3.0)
+        order = np.argsort(d, axis=1, kind="stable")[:, :6]
+        for i, row in enumerate(order):
+            for k, j in enumerate(row):
+                t = int(other[j])
+                assert got[metric, int(own[i]), k + 1] == (t, t % 7 or None, d[i, j])
+    assert len(got) == 4 * 6 * len(own)
+
+
+def test_rows_among_themselves_without_structure_are_no_case_for_cells(spark):
+    rows = neighbours._rows(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.random.default_rng(24).normal(size=(300, 20)))], "id long, " + ", ".join(f"c{i} double" for i in range(20))), "id", [f"c{i}" for i in range(20)])
+    assert neighbours._open_share(rows, rows, 3, ["euclidean"], 3.0, 300) > 0.9
+
+
+def test_blocks_keep_exact_order_at_any_scale():
+    rng = np.random.default_rng(22)
+    wild = rng.normal(size=(400, 5))
+    wild[::40] *= 1e5
+    wild[3, 0], wild[9, 4], wild[5] = np.nan, np.inf, 1e200
+    for x in (rng.normal(size=(400, 30)) + 1e7, rng.integers(0, 3, (400, 4)).astype(float), wild, np.zeros((400, 2))):
+        for metric in neighbours.METRICS:
+            for k in (3, 150):
+                s, ids = dense.Search(x[:50], k, metric, 3.0), rng.permutation(len(x))
+                for at in range(0, len(x), 100):
+                    s.add(x[at : at + 100], ids[at : at + 100], pa.table({"tid": ids[at : at + 100]}))
+                with np.errstate(all="ignore"):
+                    d = neighbours._distances(x[:50], x, metric, 3.0)
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                found = s.found()
+                assert found[3]["tid"].to_pylist() == ids[order].ravel().tolist()
+                assert np.array_equal(found[2], np.take_along_axis(d, order, axis=1).ravel(), equal_nan=True)
+
+
+def test_neighbours_of_trials_are_not_copied_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    rows = [(i, int(t), *map(float, v)) for i, (t, v) in enumerate(zip(rng.choice([0, 1, 2], 900, p=[0.5, 0.45, 0.05]), rng.normal(size=(900, 3)), strict=True))]
+    df = spark.createDataFrame(rows, "id long, trial int, a double, b double, c double")
+    q, t = df.where("id % 5 = 0"), df.where("id % 5 != 0")
+    near = neighbours.knn_join(q, t, "id", ["a", "b", "c"], 7, ("euclidean", "manhattan"), by=["trial"], per_block=100)
+    # before, each row was copied for each block of all trials
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {(r["metric"], r["trial"], r["qid"], r["rank"]): r["tid"] for r in near.collect()}
+    want = {}
+    for metric in ("euclidean", "manhattan"):
+        for trial in range(3):
+            own, other = ([r for r in rows if r[1] == trial and (r[0] % 5 == 0) == asked] for asked in (True, False))
+            d = neighbours._distances(np.array([r[2:] for r in own]), np.array([r[2:] for r in other]), metric, 3.0)
+            for r, o in zip(own, np.argsort(d, axis=1, kind="stable")[:, :7], strict=True):
+                want |= {(metric, trial, r[0], k + 1): other[j][0] for k, j in enumerate(o)}
+    assert got == want
+    # groups that fit in a block are dealt as they are
+    asked = []
+    monkeypatch.setattr(neighbours, "_block", lambda n, made=neighbours._block: asked.append(n) or made(n))
+    small = neighbours.knn_join(q, t, "id", ["a", "b", "c"], 7, by=["trial"], per_block=400)
+    assert {(r["trial"], r["qid"], r["rank"]): r["tid"] for r in small.collect()} == {k[1:]: v for k, v in want.items() if k[0] == "euclidean"}
+    assert asked == [1, 1]
+
+
 def accuracies(x, y, trials, ks, metric, p_train):
     """By all distances, trial by trial."""
     import hashlib
