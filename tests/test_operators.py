@@ -484,8 +484,8 @@ def test_neighbours_without_structure_stream_past_blocks(spark, monkeypatch):
 
 
 def test_rows_among_themselves_without_structure_are_no_case_for_cells(spark):
-    rows = neighbours._rows(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.random.default_rng(24).normal(size=(300, 20)))], "id long, " + ", ".join(f"c{i} double" for i in range(20))), "id", [f"c{i}" for i in range(20)])
-    assert neighbours._open_share(rows, rows, 3, ["euclidean"], 3.0, 300) > 0.9
+    rows = neighbours._rows(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.random.default_rng(24).normal(size=(3000, 20)))], "id long, " + ", ".join(f"c{i} double" for i in range(20))), "id", [f"c{i}" for i in range(20)])
+    assert neighbours._open_share(rows, rows, 3, ["euclidean"], 3.0, 3000) > neighbours.OPEN
 
 
 def test_blocks_keep_exact_order_at_any_scale():
